@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op9_decontamination
+from .html_extract import op7_html
 from .langid import op2_langid
 from .mixing import OP1_SQL, op1_mixing
 from .simhash import op6_simhash
@@ -22,7 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,
     "op6_simhash": op6_simhash,
+    "op7_html": op7_html,
     "op8_tiff": op8_tiff,
+    "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
