@@ -1,10 +1,20 @@
-"""The registry that the query modules fill."""
+"""The registry that the query modules fill, the frames they share, and the same frames as SQL.
+
+The tables hold no business records, so linkage records are derived from ``documents``: tokens 1-6 are the name, 7-18 the
+address, the language is the country, and the id modulo 3 gives the source. Equal texts across sources serve as gold.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import similarity as S
+from ..functions import text as T
+from ..operators import candidates as C
+from ..session import ensure_importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,3 +32,178 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return function
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_importable(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def linkage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tokens = F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " "), lambda t: t != "")
+    source = (1 + F.col("doc_id") % 3).cast("int")
+    return docs.withColumn("t", tokens).select(
+        F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
+        source.alias("source"),
+        F.coalesce("lang", F.lit("")).alias("country"),
+        F.array_join(F.slice("t", 1, 6), " ").alias("name"),
+        F.array_join(F.slice("t", 7, 12), " ").alias("address"),
+        "text",
+    )
+
+
+def gold(records: DataFrame) -> DataFrame:
+    """(s1_id, t_id) with byte-identical texts."""
+    s = records.where(F.col("source") == 1).select(F.col("entity_id").alias("s1_id"), F.md5(F.col("text").cast("binary")).alias("h"))
+    t = records.where(F.col("source") > 1).select(F.col("entity_id").alias("t_id"), F.md5(F.col("text").cast("binary")).alias("h"))
+    return s.join(t, "h").select("s1_id", "t_id")
+
+
+def entities(records: DataFrame) -> DataFrame:
+    """(s1_id, truth_len) of all queries."""
+    n = gold(records).groupBy("s1_id").agg(F.count("*").alias("truth_len"))
+    q = records.where(F.col("source") == 1).select(F.col("entity_id").alias("s1_id"))
+    return q.join(n, "s1_id", "left").withColumn("truth_len", F.coalesce("truth_len", F.lit(0)).cast("long"))
+
+
+def scored_pairs(records: DataFrame) -> DataFrame:
+    """Rare-token candidates with the Jaccard similarity of their names as score, and the gold label."""
+    pairs = C.rare_names(records).select("s1_id", "t_id")
+    names = records.select("entity_id", F.array_distinct(T.words(F.col("name"))).alias("w"))
+    p = pairs.join(names.select(F.col("entity_id").alias("s1_id"), F.col("w").alias("a")), "s1_id").join(names.select(F.col("entity_id").alias("t_id"), F.col("w").alias("b")), "t_id")
+    labelled = p.join(gold(records).withColumn("label", F.lit(1)), ["s1_id", "t_id"], "left")
+    return labelled.select("s1_id", "t_id", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("score"), F.coalesce("label", F.lit(0)).alias("label"))
+
+
+def filter_list(records: DataFrame) -> DataFrame:
+    """Scored pairs as a filter's output: filter_score, filter_rank (from 0), label."""
+    from ..operators.lists import ranked
+
+    return ranked(scored_pairs(records).withColumnRenamed("score", "filter_score"), "filter_score", "filter_rank")
+
+
+ROUTE_NAMES = ["exact_name", "suffix_exact", "rare_name", "rare_digits"]
+
+
+def query_routes(records: DataFrame) -> DataFrame:
+    """Four routes over the records; digits come from the whole text."""
+    return C.all_routes(records, {"exact_name": C.exact_name, "suffix_exact": C.suffix_exact, "rare_name": C.rare_names, "rare_digits": lambda r: C.rare_digits(r, "text")})
+
+
+def dense_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every fifth embedding is a query, the others are targets; the label is the place."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("place"), F.col("embedding").alias("vector"))
+    return e.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "s1_id"), e.where("vec_id % 5 <> 0").withColumnRenamed("vec_id", "t_id")
+
+
+# ---- the same frames in SQL ----
+
+R_SQL = r"""
+tok AS (
+  SELECT doc_id, coalesce(lang, '') AS country, text,
+         list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS t
+  FROM documents
+), r AS (
+  SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, CAST(1 + doc_id % 3 AS INTEGER) AS source, country,
+         array_to_string(t[1:6], ' ') AS name, array_to_string(t[7:18], ' ') AS address, text
+  FROM tok
+), q AS (SELECT * FROM r WHERE source = 1), g AS (SELECT * FROM r WHERE source > 1)
+"""
+
+GOLD_SQL = """
+gold AS (SELECT q.entity_id AS s1_id, g.entity_id AS t_id FROM q JOIN g ON md5(q.text) = md5(g.text)),
+ent AS (
+  SELECT q.entity_id AS s1_id, CAST(count(gold.t_id) AS BIGINT) AS truth_len FROM q LEFT JOIN gold ON gold.s1_id = q.entity_id GROUP BY 1
+)
+"""
+
+
+def rare_sql(prefix: str, tokens: str) -> str:
+    """CTEs of the rare-token route over a token expression; the result is ``{prefix}_top`` (s1_id, t_id, source, score, rank)."""
+    return f"""
+{prefix}_t AS (SELECT source, country, entity_id AS t_id, unnest(list_distinct({tokens})) AS token FROM g),
+{prefix}_df AS (SELECT source, country, token, count(*) AS df FROM {prefix}_t GROUP BY ALL HAVING count(*) <= 128),
+{prefix}_q AS (SELECT country, entity_id AS s1_id, unnest(list_distinct({tokens})) AS token FROM q),
+{prefix}_pick AS (
+  SELECT * FROM (SELECT s1_id, source, country, token, df, row_number() OVER (PARTITION BY s1_id, source ORDER BY df, token) AS n FROM {prefix}_q JOIN {prefix}_df USING (country, token)) WHERE n <= 2
+),
+{prefix}_score AS (
+  SELECT s1_id, t_id, source, round(sum(1 / log2(2 + df)), 9) AS score FROM {prefix}_pick JOIN {prefix}_t USING (source, country, token) GROUP BY ALL
+),
+{prefix}_top AS (
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id, source ORDER BY score DESC, t_id) AS INTEGER) AS rank FROM {prefix}_score) WHERE rank <= 100
+)
+"""
+
+
+NAME_TOKENS = "list_filter(string_split(name, ' '), lambda x: length(x) >= 2)"
+TEXT_DIGITS = r"list_filter(regexp_extract_all(coalesce(text, ''), '\p{Nd}+'), lambda x: length(x) >= 2)"
+
+SCORED_SQL = (
+    R_SQL
+    + ","
+    + GOLD_SQL
+    + ","
+    + rare_sql("rare", NAME_TOKENS)
+    + """,
+scored AS (
+  SELECT p.s1_id, p.t_id,
+         round(len(list_intersect(list_distinct(list_filter(string_split(a.name, ' '), lambda x: x <> '')), list_distinct(list_filter(string_split(b.name, ' '), lambda x: x <> ''))))::DOUBLE
+           / len(list_distinct(list_filter(list_concat(string_split(a.name, ' '), string_split(b.name, ' ')), lambda x: x <> ''))), 6) AS score,
+         CASE WHEN gold.t_id IS NULL THEN 0 ELSE 1 END AS label
+  FROM rare_top p JOIN r a ON a.entity_id = p.s1_id JOIN r b ON b.entity_id = p.t_id LEFT JOIN gold ON gold.s1_id = p.s1_id AND gold.t_id = p.t_id
+),
+listed AS (
+  SELECT s1_id, t_id, score AS filter_score, label, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, t_id) - 1 AS INTEGER) AS filter_rank FROM scored
+)
+"""
+)
+
+KEY_SQL = """
+exact_top AS (
+  SELECT q.entity_id AS s1_id, g.entity_id AS t_id, g.source, 1.0::DOUBLE AS score,
+         CAST(row_number() OVER (PARTITION BY q.entity_id, g.source ORDER BY g.entity_id) AS INTEGER) AS rank
+  FROM q JOIN g ON q.country = g.country AND q.name = g.name WHERE q.name <> ''
+),
+cut AS (
+  SELECT entity_id, source, country, regexp_replace(name, '(\\S)(?: (?:corp|corporation|pvt|private|ltd|limited)){1,2}$', '\\1') AS name FROM r
+),
+suffix_top AS (
+  SELECT a.entity_id AS s1_id, b.entity_id AS t_id, b.source, 1.0::DOUBLE AS score,
+         CAST(row_number() OVER (PARTITION BY a.entity_id, b.source ORDER BY b.entity_id) AS INTEGER) AS rank
+  FROM cut a JOIN cut b ON a.source = 1 AND b.source > 1 AND a.country = b.country AND a.name = b.name WHERE a.name <> ''
+)
+""".replace("\\\\", "\\")
+
+ROUTES_SQL = (
+    R_SQL
+    + ","
+    + GOLD_SQL
+    + ","
+    + KEY_SQL
+    + ","
+    + rare_sql("rare", NAME_TOKENS)
+    + ","
+    + rare_sql("digit", TEXT_DIGITS)
+    + """,
+routes AS (
+  SELECT *, 'exact_name' AS route, 1 AS bit FROM exact_top UNION ALL SELECT *, 'suffix_exact', 2 FROM suffix_top
+  UNION ALL SELECT *, 'rare_name', 4 FROM rare_top UNION ALL SELECT *, 'rare_digits', 8 FROM digit_top
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY s1_id, route ORDER BY score DESC, t_id) AS position FROM routes),
+sums AS (
+  SELECT s1_id, t_id, CAST(bit_or(bit) AS BIGINT) AS route_bits, CAST(count(DISTINCT route) AS BIGINT) AS n_routes, round(sum(1.0::DOUBLE / (60 + position)), 9) AS rrf FROM placed GROUP BY ALL
+),
+fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY rrf DESC, t_id) - 1 AS INTEGER) AS rrf_rank FROM sums)
+"""
+)
+
+DENSE_SQL = """
+dq AS (SELECT vec_id AS s1_id, label AS place, embedding AS v FROM embeddings WHERE vec_id % 5 = 0),
+dt AS (SELECT vec_id AS t_id, label AS place, embedding AS v FROM embeddings WHERE vec_id % 5 <> 0),
+ds AS (SELECT s1_id, t_id, round(list_cosine_similarity(CAST(dq.v AS DOUBLE[]), CAST(dt.v AS DOUBLE[])), 6) AS dense_score FROM dq JOIN dt USING (place)),
+dense AS (
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY dense_score DESC, t_id) - 1 AS INTEGER) AS dense_rank FROM ds) WHERE dense_rank < 10
+)
+"""
