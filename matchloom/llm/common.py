@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_importable
+from ..session import ensure_importable, materialise, shared_dir
+
+__all__ = ["WORD_PATTERN", "byte_groups", "hash_sample", "id_bucket", "map_batches", "materialise", "read_table", "release_memory", "shared_dir", "word_count"]
 
 # ASCII white space of the word rule used across the operators; everything else belongs to words.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -24,24 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one where it is unset (tests, local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="matchloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back: lineage ends at files that survive a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(
     df: DataFrame,
     schema: str,
@@ -81,3 +62,24 @@ def word_count(column: str = "text") -> F.Column:
 def id_bucket(column: str, modulus: int) -> F.Column:
     """crc32 of the id's decimal text, modulo ``modulus``: the split rule of the learning operators (null id: 0)."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(0)).cast("int")
+
+
+def hash_sample(df: DataFrame, key: F.Column, most: int, salt: str) -> DataFrame:
+    """About ``most`` rows, chosen by a seeded digest of ``key``: all rows while there are no more than that.
+
+    The rows are counted first and the digest's bound follows from the count, so nothing but chosen rows is ever moved;
+    the sample's size stays within a few square roots of ``most``.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(key.cast("string"), F.lit(salt)), F.lit(1 << 32)) < int(most / n * (1 << 32)))
+
+
+def release_memory() -> None:
+    """Give memory that a worker no longer uses back to the system, where the platform can (glibc)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return

@@ -22,7 +22,9 @@ work is therefore dealt out by content, so that equal strings meet:
 5. Strings whose class has a smaller id than their document give spans; spans go back to the documents' chunks, where
    they are united and cut out.
 
-A chunk is met three times, but its rows are moved once: all three plans read the same exchange.
+A chunk is met three times, but its rows are moved once: all three plans read the same exchange. Chunks grow with the cube root
+of the corpus (4 MB at 1 GB, 200 MB at 100 TB) and there are four times as many ranges as chunks, so a range holds a few MB
+at any size while a chunk's parcels to the ranges do not become too small.
 
 Defined cases: null texts are empty; texts under 50 bytes lose nothing; rows with the same id never remove from one another;
 a null id counts as larger than any other; rows repeated in full get equal results; a text that loses everything
@@ -43,13 +45,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_importable
-from .common import read_table
+from .common import read_table, release_memory
 
 WINDOW = 50
 GRAM = 16
 CHUNK_BYTES = 1 << 22
-SHARD_BYTES = 1 << 20
-MOST_RANGES = 512
+SHARD_BYTES = 1 << 19
+RANGES_PER_CHUNK = 4
 _REACH = WINDOW - GRAM + 1
 _BLOCK = 1 << 19
 _LONGEST_RUN = 4096
@@ -130,13 +132,14 @@ def suffix_array(data: np.ndarray, depth: int = WINDOW, prefixes: np.ndarray | N
     """Positions sorted by (at least) their next ``depth`` bytes: Larsson-Sadakane refinement, starting from 8 bytes."""
     n = len(data)
     first = (_prefixes(data) if prefixes is None else prefixes)[:n]
-    sa = np.argsort(first, kind="stable")
+    sa = np.argsort(first, kind="stable").astype(np.int32)
     ordered = first[sa]
     head = np.empty(n, dtype=bool)
     head[:1] = True
     np.not_equal(ordered[1:], ordered[:-1], out=head[1:])
-    rank = np.empty(n, dtype=np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    del ordered
+    rank = np.empty(n, dtype=np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
     order = 8
     while order < depth:
         single = head & np.append(head[1:], True)
@@ -146,8 +149,7 @@ def suffix_array(data: np.ndarray, depth: int = WINDOW, prefixes: np.ndarray | N
         items = sa[slots]
         beyond = items + order
         next_rank = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        group = rank[items]
-        key = group * (n + 1) + next_rank
+        key = rank[items].astype(np.int64) * (n + 1) + next_rank
         by = np.argsort(key, kind="stable")
         sa[slots] = items[by]
         key = key[by]
@@ -167,13 +169,13 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, cap: int = WINDOW, prefixe
     """
     n = len(data)
     words = _prefixes(data) if prefixes is None else prefixes
-    before = np.empty(n, dtype=np.int64)
+    before = np.empty(n, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
     before[sa[:1]] = -1
-    place = np.empty(n + 1, dtype=np.int64)
+    place = np.empty(n + 1, dtype=np.int32)
     place[sa] = np.arange(n)
     place[n] = n
-    found = np.zeros(n, dtype=np.int64)
+    found = np.zeros(n, dtype=np.int32)
     lanes = max(1, min(n, 1 << 12))
     length = -(-n // lanes)
     start = np.arange(lanes) * length
@@ -217,29 +219,33 @@ class Shard:
         words = _prefixes(data)
         sa = suffix_array(data, prefixes=words)
         lcp = common_prefixes(data, sa, prefixes=words)
-        owner = np.repeat(np.arange(len(segments)), sizes)
+        owner = np.repeat(np.arange(len(segments), dtype=np.int32), sizes)
         whole = np.arange(len(data)) + WINDOW <= np.repeat(np.cumsum(sizes), sizes)
         kept = np.flatnonzero(whole[sa])
         starts_class = np.cumsum(lcp < WINDOW)[kept]
         head = np.append(True, starts_class[1:] != starts_class[:-1])
         self.owner = owner
         self.position = sa[kept]
-        self.class_of = np.cumsum(head) - 1
+        self.class_of = np.cumsum(head, dtype=np.int32) - 1
         self.smallest = np.minimum.reduceat(ids[owner[self.position]], np.flatnonzero(head)) if len(kept) else np.zeros(0, dtype=np.int64)
         self.best = self.smallest.copy()
-        p = self.position[head] if len(kept) else self.position
-        self.keys = [words[p + k] for k in (0, 8, 16, 24, 32, 40, 42)]
+        self.first = self.position[head] if len(kept) else self.position
+        self.words = words
+
+    def key(self, level: int) -> np.ndarray:
+        """Bytes 8 x level to 8 x level + 7 of each class's string (the last level overlaps the one before)."""
+        return self.words[self.first + min(8 * level, WINDOW - 8)]
 
     def merge(self, other: Shard) -> None:
         """Binary search of this shard's classes in the other's; classes found in both take the smaller id."""
-        low = np.searchsorted(other.keys[0], self.keys[0], side="left")
-        high = np.searchsorted(other.keys[0], self.keys[0], side="right")
+        there, want = other.key(0), self.key(0)
+        low, high = np.searchsorted(there, want, side="left"), np.searchsorted(there, want, side="right")
         mine = np.flatnonzero(low < high)
         low, high = low[mine], high[mine]
-        for level in range(1, len(self.keys)):
+        for level in range(1, -(-WINDOW // 8)):
             if not len(mine):
                 return
-            want, there = self.keys[level][mine], other.keys[level]
+            want, there = self.key(level)[mine], other.key(level)
             low, high = _bound(there, want, low, high, False), _bound(there, want, low, high, True)
             found = low < high
             mine, low, high = mine[found], low[found], high[found]
@@ -443,10 +449,12 @@ def _bundle_spans(shard_bytes: int) -> Callable[[pa.Table], pa.Table]:
                 at = firsts[np.repeat(low, times) + np.arange(len(span)) - np.repeat(np.cumsum(times) - times, times)]
                 spans.append(np.stack([chunks[at], occurrence[at, 1], occurrence[at, 3] + begin[span], occurrence[at, 3] + end[span]], axis=1))
             found = np.concatenate(spans)
+            del segments, known, occurrence, spans
             found = found[np.argsort(found[:, 0], kind="stable")]
             for chunk in np.unique(found[:, 0]).tolist():
                 a, b = np.searchsorted(found[:, 0], [chunk, chunk + 1])
                 mail.append({"target": chunk, "kind": _SPANS, "uid": None, "a": found[a:b, 1:].astype("<i8").tobytes(), "b": None, "c": None})
+        release_memory()
         return pa.Table.from_pylist(mail, _MAIL_ARROW)
 
     return run
@@ -495,8 +503,9 @@ def _plan(docs: DataFrame, chunk_bytes: int, shard_bytes: int) -> tuple[DataFram
     spark = docs.sparkSession
     ensure_importable(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk_bytes = max(chunk_bytes, int(4400 * total ** (1 / 3)))
     chunks = max(1, -(-total // chunk_bytes))
-    ranges = min(chunks, MOST_RANGES)
+    ranges = RANGES_PER_CHUNK * chunks
     uid = F.xxhash64("doc_id", "text")
     rows = docs.withColumns({"__uid": uid, "__id": F.coalesce(F.col("doc_id"), F.lit(_LAST)).cast("long"), "__chunk": F.pmod(uid, F.lit(chunks)).cast("int")})
     light = rows.select("__uid", "__id", "__chunk", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
