@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import word_count
 
-_ORDER = [F.col("__key"), F.col("doc_id").asc_nulls_last(), F.col("size")]
-
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_ratio: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """Water-filling over one row per source (source, source_size) → adds weight, target.
@@ -78,7 +76,7 @@ def mix(
         .join(starts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.__run") == F.col("b.__run")))
         .select("a.*", "source_size", "target", "__start")
     )
-    within = Window.partitionBy("source", "__run").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "__run").orderBy("__key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     return (
         joined.withColumn("whole", whole)
