@@ -3,7 +3,7 @@
 A text is the average of the embeddings of its hashed byte 3- and 4-grams (lower-cased UTF-8, blanks included, so word
 starts and ends are subwords too); a linear softmax on that average gives the language. Embeddings and softmax are trained
 together by stochastic gradient descent in numpy on the driver, from a bounded, documented sample of labelled rows
-(``max_rows`` rows of at most ``max_chars`` characters, lowest digests first). A fifth of the sample is held back to
+(about ``max_rows`` rows of at most ``max_chars`` characters, by a digest of the id). A fifth of the sample is held back to
 fit a temperature and the rejection threshold: the lowest score above which the accepted texts are right in at least
 ``precision`` of the cases.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, map_batches, read_table
+from .common import hash_sample, id_bucket, map_batches, read_table
 
 UNKNOWN = "und"
 _SLICE = 1 << 18
@@ -123,14 +123,10 @@ def train(
 
 
 def training_sample(labelled: DataFrame, max_rows: int = 3000, max_chars: int = 20000) -> tuple[list[str], list[str]]:
-    """At most ``max_rows`` labelled texts of at most ``max_chars`` characters, lowest digest of the id first."""
-    rows = (
-        labelled.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-        .select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("h"))
-        .orderBy("h", "lang", F.md5(F.col("text").cast("binary")))
-        .limit(max_rows)
-        .collect()
-    )
+    """About ``max_rows`` labelled texts of at most ``max_chars`` characters, by a digest of their id."""
+    fit = labelled.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
+    rows = hash_sample(fit.select("doc_id", "text", "lang"), F.col("doc_id"), max_rows, "language").select("text", "lang").collect()
+    rows.sort()
     return [r.text for r in rows], [r.lang for r in rows]
 
 
