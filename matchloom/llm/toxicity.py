@@ -6,18 +6,19 @@ on them by gradient descent in numpy, with a counterfactual term: in every label
 terms are swapped for each of a few other terms, and squared differences between the two scores are penalised. A group
 term that merely travels with the label thus loses its weight, and neutral mentions of a group are left alone.
 
-Training uses a bounded, documented sample (``max_rows`` labelled texts of at most ``max_chars`` characters, lowest digests
-first) that is collected to the driver; scoring reads every whole text, slice by slice.
+Training uses a bounded, documented sample (about ``max_rows`` labelled texts of at most ``max_chars`` characters, by a digest
+of the id) that is collected to the driver; scoring reads every whole text, slice by slice.
 
-Defined cases: null and empty texts get the score of a text without features; without any labelled row, or with labels of
-one kind only, every score is the share of toxic rows (0 without rows); labels, language, source and id are never
-inputs of a score; repeated label rows count once per row; extra columns are ignored.
+Defined cases: null and empty texts get the score of a text without features; without labels of both
+kinds there is nothing to learn and every score is (nearly) 0; labels, language, source and id are never
+inputs of a score; repeated rows of documents and labels count once (the highest label holds); extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, map_batches, read_table
+from .common import hash_sample, id_bucket, map_batches, read_table
 
 # Group terms whose exchange must not move a score.
 IDENTITY_TERMS = (
@@ -36,7 +37,7 @@ IDENTITY_TERMS = (
 
 _WORD = re.compile(r"\w+")
 _SLICE = 1 << 20
-_MEMO = 200_000
+_MEMO = 100_000
 
 
 def pieces(word: str) -> set[str]:
@@ -92,32 +93,44 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _select(bags: list[set[str]], y: np.ndarray, most: int, ratio: float, least: int) -> list[str]:
-    """Pieces at least ``ratio`` times as frequent among toxic texts, and group terms, by strength."""
+def _select(texts: list[str], y: np.ndarray, most: int, ratio: float, least: int) -> list[str]:
+    """Pieces at least ``ratio`` times as frequent among toxic texts, and group terms, by strength.
+
+    Only pieces of at least ``least`` toxic texts are counted in the others; no text's pieces outlive its turn.
+    """
     toxic: Counter[str] = Counter()
-    clean: Counter[str] = Counter()
-    for words, label in zip(bags, y):
-        found: set[str] = set()
-        for word in words:
-            found |= pieces(word)
-        (toxic if label else clean).update(found)
+    for text, label in zip(texts, y):
+        if label:
+            found: set[str] = set()
+            for word in words_of(text):
+                found |= pieces(word)
+            toxic.update(found)
+    wanted = [p for p, n in toxic.items() if n >= least] + [f"<{t}>" for t in IDENTITY_TERMS]
+    counter = ToxicityModel({p: i for i, p in enumerate(wanted)}, np.zeros(0), 0.0)
+    clean = np.zeros(len(wanted))
+    for text, label in zip(texts, y):
+        if not label:
+            clean[list(counter.features(words_of(text)))] += 1
     positives, negatives = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    kept = []
-    for piece, n in toxic.items():
-        share, other = n / positives, (clean.get(piece, 0) + 0.5) / negatives
-        if n >= least and share >= ratio * other:
-            kept.append((-(share - other), piece))
-    chosen = [piece for _, piece in sorted(kept)[:most]]
-    groups = [f"<{t}>" for t in IDENTITY_TERMS if toxic.get(f"<{t}>") or clean.get(f"<{t}>")]
-    return list(dict.fromkeys(chosen + groups))
-
-
-def _matrix(model: ToxicityModel, bags: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+    kept, groups = [], []
+    for piece, i in counter.index.items():
+        share, other = toxic.get(piece, 0) / positives, (clean[i] + 0.5) / negatives
+        if piece[1:-1] in IDENTITY_TERMS:
+            if toxic.get(piece) or clean[i]:
+                groups.append(piece)
+        elif share >= ratio * other:
+            kept.append((other - share, piece))
+    return list(dict.fromkeys([piece for _, piece in sorted(kept)[:most]] + groups))
+
+
+def _matrix(model: ToxicityModel, bags: Iterable[set[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of every feature present."""
-    rows, cols = [], []
+    rows: list[int] = []
+    cols: list[int] = []
     for i, words in enumerate(bags):
-        for j in model.features(words):
-            rows.append(i), cols.append(j)
+        found = sorted(model.features(words))
+        rows += [i] * len(found)
+        cols += found
     return np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
 
 
@@ -144,14 +157,12 @@ def train(
     """Full-batch gradient descent (Adam) on log loss + ridge + ``fairness`` x mean squared counterfactual score change."""
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return ToxicityModel({}, np.zeros(0), float(np.clip(np.log((share + 1e-12) / (1 - share + 1e-12)), -40, 40)))
-    bags = [words_of(t) for t in texts]
-    names = _select(bags, y.astype(int), most, ratio, least)
+        return ToxicityModel({}, np.zeros(0), -40.0)
+    names = _select(texts, y.astype(int), most, ratio, least)
     model = ToxicityModel({p: i for i, p in enumerate(names)}, np.zeros(len(names)), 0.0)
     rng = np.random.default_rng(seed)
-    pairs = [(i, other) for i, words in enumerate(bags) for other in swapped(words, rng)]
-    rows, cols = _matrix(model, bags)
+    pairs = [(i, other) for i, text in enumerate(texts) for other in swapped(words_of(text), rng)]
+    rows, cols = _matrix(model, map(words_of, texts))
     base = np.array([i for i, _ in pairs], dtype=np.int64)
     rows2, cols2 = _matrix(model, [other for _, other in pairs])
     n, k, m = len(y), len(names), max(1, len(pairs))
@@ -177,21 +188,13 @@ def train(
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 20000) -> tuple[list[str], list[int]]:
-    """At most ``max_rows`` labelled texts. The ids are chosen first, so that side of the join is bounded and broadcast."""
-    chosen = (
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")).alias("h"))
-        .orderBy("h", "toxic")
-        .limit(max_rows)
-    )
-    rows = (
-        docs.where(F.length("text") <= max_chars)
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-        .select("text", "toxic", "h")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r.h, r.toxic, r.text))
-    return [r.text for r in rows[:max_rows]], [int(r.toxic > 0) for r in rows[:max_rows]]
+    """About ``max_rows`` labelled texts. The ids are chosen first, so that side of the join is bounded and broadcast."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = hash_sample(known, F.col("labelled"), max_rows, "toxicity")
+    short = docs.where(F.length("text") <= max_chars).select("doc_id", "text")
+    rows = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "toxic", "text").collect()
+    rows = sorted(set(rows))
+    return [r.text for r in rows], [int(r.toxic > 0) for r in rows]
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
