@@ -96,19 +96,16 @@ def benchmark_windows(benchmark: DataFrame, width: int, least_words: int = 4) ->
     return rows.where(F.col("item_width") >= least_words).select("item_id", "item_at", "hash", "n_windows", "item_width", F.slice("slots", F.col("item_at") + 1, width).alias("item_slots")).distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows, n_slots, changed) of every item found in a document."""
+def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: float, broadcast_windows: int) -> DataFrame:
+    """(doc_id, uid, item_id, n_matched, n_windows, pairs) of every consistent alignment; uid is a digest of the text."""
     known = benchmark_windows(benchmark, width)
     sizes = known.agg(F.count("*").alias("n"), F.collect_set("item_width").alias("widths")).first()
-    if not sizes["n"]:
-        return docs.select("doc_id").where(F.lit(False)).select(
-            "doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_slots"), F.lit(False).alias("changed")
-        )
+    widths = sorted(sizes["widths"]) or [width]
     small = sizes["n"] <= broadcast_windows
     hint = F.broadcast if small else (lambda x: x)
     rows = _with_template(_marked(docs.select("doc_id", "text"), "text").select("doc_id", F.xxhash64("text").alias("uid"), "words"))
     found = []
-    for w in sorted(sizes["widths"]):
+    for w in widths:
         hashes = F.when(
             F.size("template") >= w,
             F.transform(F.sequence(F.lit(0), F.size("template") - w), lambda i: F.struct(i.alias("doc_at"), F.xxhash64(F.slice("template", i + 1, w)).alias("hash"))),
@@ -127,10 +124,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
     lined = lined.where(F.col("n_matched") >= F.col("n_windows") * share)
     a = F.transform("pairs", lambda x: x["a"])
     b = F.transform("pairs", lambda x: x["b"])
-    lined = lined.where((F.size(F.array_distinct(a)) == F.size("pairs")) & (F.size(F.array_distinct(b)) == F.size("pairs")))
+    return lined.where((F.size(F.array_distinct(a)) == F.size("pairs")) & (F.size(F.array_distinct(b)) == F.size("pairs")))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
+    """(doc_id, item_id, n_matched, n_windows, n_slots, changed) of every item found in a document."""
     changed = F.exists("pairs", lambda x: x["a"] != x["b"])
     best = F.max(F.struct("n_matched", (-F.size("pairs")).alias("fewer"), "n_windows", changed.alias("changed"))).alias("best")
-    return lined.groupBy("doc_id", "item_id").agg(best).select(
+    return _found(docs, benchmark, width, share, broadcast_windows).groupBy("doc_id", "item_id").agg(best).select(
         "doc_id",
         "item_id",
         F.col("best.n_matched").cast("long").alias("n_matched"),
@@ -140,10 +141,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found, with all their columns."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = _found(docs, benchmark, width, share, broadcast_windows).select(F.col("doc_id").alias("__bad_id"), F.col("uid").alias("__bad_uid")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_uid")), "left_anti")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, read_table
@@ -75,13 +75,13 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, uid, fp) for every row; uid is a digest of id and text, fp holds the 64 bits as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+        fps = np.array([fingerprint(x.as_py()) for x in batch.column(2)], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "uid", "fp"])
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, fp long", run)
+    return map_batches(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text"), "doc_id long, uid long, fp long", run)
 
 
 def bucket_keys(fp: str = "fp") -> F.Column:
@@ -252,21 +252,32 @@ def connect(edges: DataFrame, label: str = "stars") -> DataFrame:
         current, before = following, digest
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text)."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, uid, fp, root, component_id) for every row of ``docs`` (doc_id, text)."""
     rows = materialise(fingerprints(docs), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     links = connect(near_edges(classes))
     rooted = classes.join(links, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    lookup = rooted.join(named, "root").select(F.col("fp").alias("known"), "component_id")
-    return rows.join(lookup, F.col("fp") == F.col("known")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    lookup = rooted.join(named, "root").select(F.col("fp").alias("known"), "root", "component_id")
+    return rows.join(lookup, F.col("fp") == F.col("known")).select("doc_id", "uid", "fp", "root", "component_id")
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text)."""
+    return _labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each near-duplicate group stays."""
-    heads = near_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
+    """One row of ``docs`` per near-duplicate group, the one with the smallest id (null ids last), with all its columns.
+
+    Rows repeated in full count as one.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("first")
+    heads = _labelled(docs).groupBy("root").agg(first).select(F.col("first.uid").alias("__head"))
+    rows = docs.withColumn("__uid", F.xxhash64("doc_id", "text")).join(heads, F.col("__uid") == F.col("__head"), "left_semi")
+    once = Window.partitionBy("__uid").orderBy(F.lit(0))
+    return rows.withColumn("__n", F.row_number().over(once)).where(F.col("__n") == 1).drop("__uid", "__n")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
