@@ -132,11 +132,14 @@ def suffix_array(data: np.ndarray, depth: int = WINDOW, prefixes: np.ndarray | N
     """Positions sorted by (at least) their next ``depth`` bytes: Larsson-Sadakane refinement, starting from 8 bytes."""
     n = len(data)
     first = (_prefixes(data) if prefixes is None else prefixes)[:n]
-    sa = np.argsort(first, kind="stable").astype(np.int32)
+    sa = (n - 1 - np.argsort(first[::-1], kind="stable")).astype(np.int32)  # of equal prefixes the later position, which may be shorter, first
     ordered = first[sa]
     head = np.empty(n, dtype=bool)
     head[:1] = True
     np.not_equal(ordered[1:], ordered[:-1], out=head[1:])
+    short = sa > n - 8
+    head |= short
+    head[1:] |= short[:-1]
     del ordered
     rank = np.empty(n, dtype=np.int32)
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
@@ -334,6 +337,7 @@ def _send_hashes(ranges: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             edges = np.searchsorted(part[by], np.arange(ranges + 1))
             chunk = texts.column("__chunk")[0].as_py()
             out = [(r, chunk, low[edges[r] : edges[r + 1]].tobytes()) for r in range(ranges) if edges[r] < edges[r + 1]]
+        release_memory()
         columns = list(zip(*out)) or [[], [], []]
         return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["part", "__chunk", "hashes"])
 
@@ -410,6 +414,7 @@ def _send_segments(ranges: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 out.append((r, chunk, b"".join(mine), np.fromiter(map(len, mine), dtype="<i4", count=len(mine)).tobytes(), rows.tobytes(), None))
             if len(settled):
                 out.append((chunk % ranges, chunk, None, None, None, settled.tobytes()))
+        release_memory()
         columns = list(zip(*out)) or [[]] * 6
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
