@@ -130,12 +130,19 @@ def owner_stats(pairs: DataFrame, *ties: Column) -> DataFrame:
     )
 
 
-def country_rule(pairs: DataFrame, country: str, t: float, t_empty: float) -> DataFrame:
-    """Threshold t everywhere; in one country a list that would be empty may take its top row from min(t, t_empty) on."""
+def country_rule(pairs: DataFrame, accepted: DataFrame, country: str, t: float, t_country: float | None = None, t_empty: float | None = None) -> DataFrame:
+    """Rows above their own threshold: ``t``, or ``t_country`` in one country.
+
+    There the top row of a list without any accepted row (``accepted``: s1_id, t_id) may also come in at ``t_empty``.
+    """
     by = Window.partitionBy(LIST).orderBy(F.col("score").desc(), "t_id")
-    best = F.max("score").over(Window.partitionBy(LIST))
-    limit = F.when((F.row_number().over(by) == 1) & (F.col("country") == country) & (best < t), F.least(F.lit(t), F.lit(t_empty))).otherwise(F.lit(t))
-    return pairs.withColumn("limit", limit).where(F.col("score") >= F.col("limit")).drop("limit")
+    has = accepted.select(LIST).distinct().withColumn("__has", F.lit(True))
+    inside = F.col("country") == country
+    limit = F.when(inside, F.lit(t if t_country is None else t_country)).otherwise(F.lit(t))
+    if t_empty is not None:
+        limit = F.when(inside & (F.col("__r") == 1) & F.col("__has").isNull(), F.least(limit, F.lit(t_empty))).otherwise(limit)
+    rows = pairs.withColumn("__r", F.row_number().over(by)).join(has, LIST, "left").withColumn("__limit", limit)
+    return rows.where(F.col("score") >= F.col("__limit")).drop("__r", "__has", "__limit")
 
 
 def pair_auc(pairs: DataFrame) -> DataFrame:
@@ -210,21 +217,57 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, draws: int = 200, seed: int = 0
     return diff.agg(F.avg("d").alias("mean_diff")).crossJoin(limits_row).select("mean_diff", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def error_budget(entities: DataFrame, pairs: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(error, n, gain): F0.5 gained if one class of errors were repaired, macro over all entities.
+def error_budget(entities: DataFrame, pairs: DataFrame, wrong: dict[str, Column], missed: dict[str, Column]) -> DataFrame:
+    """(error, n, gain): macro F0.5 gained if one class of errors were repaired.
 
-    Missed gold falls into ordered, exclusive classes: not retrieved, or retrieved and not predicted; wrong rows either stand
-    beside gold or in lists without gold.
+    ``pairs``: s1_id, score, label, predicted and the columns that the classes use. ``wrong`` classes of wrong predictions may
+    overlap, with the rest in wrong_other; ``missed`` classes of listed gold that was not predicted are tried in order,
+    each row counts in the first, the rest in missed_other. wrong_singleton are wrong rows of entities without gold;
+    not_listed is gold that no list holds. One pass: counts per entity and class, then one average per class.
     """
-    base = entity_f05(entities, predicted)
-    found = pairs.where(F.col("label") == 1).groupBy(LIST).agg(F.count("*").alias("listed"))
-    e = base.join(found, LIST, "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
-    k, tp, truth, listed = F.col("k"), F.col("tp"), F.col("truth_len"), F.col("listed")
-    repaired = {
-        "not_retrieved": (truth - listed, f05(tp + truth - listed, k + truth - listed, truth)),
-        "retrieved_not_predicted": (listed - tp, f05(listed, k + listed - tp, truth)),
-        "wrong_beside_gold": (F.when(truth > 0, k - tp).otherwise(0), F.when(truth > 0, f05(tp, tp, truth)).otherwise(F.col("f05"))),
-        "wrong_without_gold": (F.when(truth == 0, k).otherwise(0), F.when(truth == 0, F.lit(1.0)).otherwise(F.col("f05"))),
-    }
-    rows = F.array(*[F.struct(F.lit(name).alias("error"), n.cast("long").alias("n"), (value - F.col("f05")).alias("gain")) for name, (n, value) in repaired.items()])
+    bad = F.col("predicted") & (F.col("label") == 0)
+    lost = ~F.col("predicted") & (F.col("label") == 1)
+    flags = {f"wrong_{k}": bad & F.coalesce(c, F.lit(False)) for k, c in wrong.items()}
+    none = F.lit(True)
+    for c in flags.values():
+        none = none & ~c
+    flags["wrong_other"] = bad & none
+    rest = lost
+    for k, c in missed.items():
+        hit = F.coalesce(c, F.lit(False))
+        flags[f"missed_{k}"] = rest & hit
+        rest = rest & ~hit
+    flags["missed_other"] = rest
+    per = pairs.groupBy(LIST).agg(
+        F.sum(F.col("predicted").cast("long")).alias("k"),
+        F.sum((F.col("predicted") & (F.col("label") == 1)).cast("long")).alias("tp"),
+        F.sum((F.col("label") == 1).cast("long")).alias("listed"),
+        F.sum(bad.cast("long")).alias("bad"),
+        *[F.sum(c.cast("long")).alias(name) for name, c in flags.items()],
+    )
+    e = entities.join(per, LIST, "left").fillna(0)
+    k, tp, truth = F.col("k"), F.col("tp"), F.col("truth_len")
+    base = f05(tp, k, truth)
+    classes = {name: (F.col(name), f05(tp, k - F.col(name), truth) if name.startswith("wrong") else f05(tp + F.col(name), k + F.col(name), truth)) for name in flags}
+    single = F.when(truth == 0, F.col("bad")).otherwise(F.lit(0))
+    hidden = truth - F.col("listed")
+    classes["wrong_singleton"] = (single, f05(tp, k - single, truth))
+    classes["not_listed"] = (hidden, f05(tp + hidden, k + hidden, truth))
+    rows = F.array(*[F.struct(F.lit(name).alias("error"), n.cast("long").alias("n"), (value - base).alias("gain")) for name, (n, value) in classes.items()])
     return e.select(F.inline(rows)).groupBy("error").agg(F.sum("n").alias("n"), F.round(F.avg("gain"), 6).alias("gain"))
+
+
+def error_classes() -> tuple[dict[str, Column], dict[str, Column]]:
+    """The matcher's classes, over the columns of ``features.cheap_features`` and ``canonical_features`` and the flag ``owned``."""
+    same = (F.col("digits_all_s1_in_tgt") == 1) & (F.coalesce("addr_overlap_frac", F.lit(0.0)) >= 0.8)
+    idf = F.coalesce("name_idf_frac", F.lit(0.0))
+    wrong = {"same_address_owned": same & F.col("owned"), "same_address_unowned": same & ~F.col("owned"), "other_address_strong_name": ~same & (idf >= 0.8)}
+    missed = {
+        "script": F.col("script_differs") == 1,
+        "address_missing": F.col("tgt_addr_missing") == 1,
+        "digit_typo": F.col("digit_typo") == 1,
+        "digit_dropped": (F.col("digits_tgt_in_s1") == 1) & (F.col("digits_all_s1_in_tgt") == 0),
+        "digit_other": (F.col("digits_s1_n") > 0) & (F.col("digits_all_s1_in_tgt") == 0),
+        "weak_name": idf < 0.3,
+    }
+    return wrong, missed

@@ -221,16 +221,81 @@ def address_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def match_rules(exact: Column, suffix: Column, name: Column, addr: Column) -> dict[str, Column]:
-    """Rules R1 to R5 over exact and suffix flags and fuzzy name and address scores (0 to 1, null: not comparable)."""
-    lenient, strict = F.coalesce(addr, F.lit(1.0)), F.coalesce(addr, F.lit(0.0))
-    n = F.coalesce(name, F.lit(0.0))
-    return {
-        "R1": exact,
-        "R2": (exact | suffix) & (lenient >= 0.8),
-        "R3": (n >= 0.95) & (lenient >= 0.8),
-        "R4": (n >= 0.8) & (strict >= 0.9),
-        "R5": exact | ((n >= 0.9) & (strict >= 0.8)),
-    }
+    """Rules R1 to R5 over exact and suffix flags and token-set scores of names and addresses (0 to 1, null: not comparable).
+
+    A missing address agrees in R2 and R3 and disagrees in R4; a missing name is never strong.
+    """
+    agrees = F.coalesce(addr, F.lit(1.0)) >= 0.8
+    r2 = exact & agrees
+    r4 = (F.coalesce(name, F.lit(0.0)) >= 0.9) & (F.coalesce(addr, F.lit(0.0)) >= 0.85)
+    return {"R1": exact, "R2": r2, "R3": suffix & agrees, "R4": r4, "R5": r2 | r4}
+
+
+def strata(digits_exact: Column, addr_token_set: Column, name_token_set: Column) -> dict[str, Column]:
+    """Error strata of a pair: same address, strong name, both, and same address with a weak name."""
+    name = F.coalesce(name_token_set, F.lit(0.0))
+    same = (F.coalesce(digits_exact, F.lit(0)) == 1) & (F.coalesce(addr_token_set, F.lit(0.0)) >= 0.9)
+    return {"same_address": same, "strong_name": name >= 0.9, "same_address_and_strong_name": same & (name >= 0.9), "same_address_weak_name": same & (name < 0.6)}
+
+
+def number_store(records: DataFrame, text: str = "address") -> DataFrame:
+    """(entity_id, raw, nums): distinct digit runs of a text, as written and without leading zeros."""
+    return records.select("entity_id", F.array_distinct(T.digit_runs(F.col(text))).alias("raw"), T.record_digits(F.col(text), 1 << 30).alias("nums"))
+
+
+def number_patterns(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """How the numbers of two records relate: equal, equal but for leading zeros, target a proper subset, one edit, otherwise different."""
+    p = sides(pairs, store, ["raw", "nums"])
+    equal = lambda x, y: (F.size(F.array_except(x, y)) == 0) & (F.size(F.array_except(y, x)) == 0)
+    some = (F.size("s_raw") > 0) | (F.size("t_raw") > 0)
+    same_raw, same = equal("s_raw", "t_raw"), equal("s_nums", "t_nums")
+    subset = (F.size("t_nums") > 0) & (F.size(F.array_except("t_nums", "s_nums")) == 0) & (F.size(F.array_except("s_nums", "t_nums")) > 0)
+    only_t = F.array_except("t_nums", "s_nums")
+    edit = F.exists(F.array_except("s_nums", "t_nums"), lambda x: F.exists(only_t, lambda y: F.levenshtein(x, y) == 1))
+    return p.select(
+        "s1_id", "t_id",
+        (some & same_raw).alias("digits_equal"),
+        (some & ~same_raw & same).alias("digits_equal_after_leading_zero_strip"),
+        subset.alias("digits_target_subset"),
+        edit.alias("digits_one_edit_typo"),
+        (some & ~same & ~subset & ~edit).alias("digits_other_mismatch"),
+    )
+
+
+def pair_features(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """Text evidence of the first matcher: exact and fuzzy names and addresses, digits as words, missing fields."""
+    p = sides(pairs, store, ["name", "address", "non_ascii"])
+    joined = lambda c: F.array_join(T.digit_runs(F.col(c)), " ")
+    p = p.withColumns({"s_nums": joined("s_address"), "t_nums": joined("t_address")})
+    fuzzy = lambda scorer, c: S.similarity(scorer, F.col(f"s_{c}"), F.col(f"t_{c}")) / 100
+    both = lambda c: (F.col(f"s_{c}") != "") & (F.col(f"t_{c}") != "")
+    equal = lambda c: (F.col(f"s_{c}") == F.col(f"t_{c}")).cast("int")
+    suffix = T.strip_legal_suffix(F.col("s_name")) == T.strip_legal_suffix(F.col("t_name"))
+    out = p.withColumns(
+        {
+            "name_exact": ((F.col("s_name") != "") & (F.col("s_name") == F.col("t_name"))).cast("int"),
+            "name_suffix_exact": ((F.col("s_name") != "") & suffix).cast("int"),
+            "name_ratio": fuzzy("ratio", "name"),
+            "name_token_sort": fuzzy("token_sort", "name"),
+            "name_token_set": fuzzy("token_set", "name"),
+            "name_partial": fuzzy("partial", "name"),
+            "name_jaro_winkler": fuzzy("jaro_winkler", "name"),
+            "name_len_ratio": F.when(both("name"), S.length_ratio(F.col("s_name"), F.col("t_name"))),
+            "addr_exact": F.when(both("address"), equal("address")),
+            "addr_ratio": fuzzy("ratio", "address"),
+            "addr_token_set": fuzzy("token_set", "address"),
+            "addr_partial": fuzzy("partial", "address"),
+            "digits_exact": F.when(both("nums"), equal("nums")),
+            "digits_token_set": fuzzy("token_set", "nums"),
+            "s1_has_digits": (F.col("s_nums") != "").cast("int"),
+            "tgt_has_digits": (F.col("t_nums") != "").cast("int"),
+            "s1_addr_missing": (F.col("s_address") == "").cast("int"),
+            "tgt_addr_missing": (F.col("t_address") == "").cast("int"),
+            "tgt_name_missing": (F.col("t_name") == "").cast("int"),
+            "non_ascii_any": (F.col("s_non_ascii") | F.col("t_non_ascii")).cast("int"),
+        }
+    )
+    return out.drop(*[f"{side}_{c}" for side in "st" for c in ("name", "address", "non_ascii", "nums")])
 
 
 def token_substitutions(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -242,18 +307,22 @@ def token_substitutions(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def canonical_map(substitutions: DataFrame, least: int = 30, share: float = 0.5) -> DataFrame:
-    """(token, canonical): each token joined to its most frequent partner if frequent and dominant; groups take the smallest name."""
-    both = substitutions.select("a", "b", "n").union(substitutions.select(F.col("b"), F.col("a"), F.col("n"))).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    """(token, canonical) of the tokens that change: a token joins its most frequent partner if that is frequent and dominant.
+
+    Joined groups take the name of their smallest member. The links are the few frequent and dominant substitutions of a
+    language, so their groups are found on the driver, by passing the smallest name along until nothing changes.
+    """
     by = Window.partitionBy("a").orderBy(F.col("n").desc(), "b")
-    best = both.withColumns({"total": F.sum("n").over(Window.partitionBy("a")), "r": F.row_number().over(by)}).where(F.col("r") == 1)
-    edges = best.where((F.col("n") >= least) & (F.col("n") >= share * F.col("total"))).select("a", "b")
-    links = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = links.select(F.col("a").alias("token")).distinct().withColumn("canonical", F.col("token"))
-    while True:
-        near = links.join(labels, F.col("b") == F.col("token")).groupBy("a").agg(F.min("canonical").alias("low"))
-        new = labels.join(near, labels["token"] == near["a"]).select("token", F.least("canonical", "low").alias("canonical"))
-        rows = [tuple(r) for r in new.collect()]  # the vocabulary of frequent substitutions, a few thousand at most
-        new = substitutions.sparkSession.createDataFrame(rows, "token string, canonical string")
-        if not rows or new.exceptAll(labels).isEmpty():
-            return new
-        labels = new
+    best = substitutions.withColumns({"total": F.sum("n").over(Window.partitionBy("a")), "r": F.row_number().over(by)}).where(F.col("r") == 1)
+    links = [(r.a, r.b) for r in best.where((F.col("n") >= least) & (F.col("n") >= share * F.col("total"))).select("a", "b").collect()]
+    name = {x: x for link in links for x in link}
+    changed = True
+    while changed:
+        changed = False
+        for x, y in links:
+            low = min(name[x], name[y])
+            if name[x] != low or name[y] != low:
+                name[x] = name[y] = low
+                changed = True
+    rows = sorted((token, low) for token, low in name.items() if token != low)
+    return substitutions.sparkSession.createDataFrame(rows, "token string, canonical string")

@@ -108,43 +108,54 @@ def list_aggregates(pairs: DataFrame, q: str) -> DataFrame:
     )
 
 
-def listwise(pairs: DataFrame, score: str, deltas: tuple[float, ...] = (0.1, 0.5, 1.0)) -> DataFrame:
-    """Eighteen list-relative features of one score; the list's statistics come from one aggregation joined back."""
-    finite = pairs.where(F.col(score).isNotNull())
-    stats = finite.groupBy(LIST).agg(
+def listwise(pairs: DataFrame, score: str, deltas: tuple[float, ...] = (0.5, 1.0, 2.0)) -> DataFrame:
+    """Eighteen list-relative features of one score, and its rank from 0 (null where unscored).
+
+    The list's statistics come from one aggregation joined back; ``within`` counts the list's scores that close to its best.
+    """
+    stats = pairs.where(F.col(score).isNotNull()).groupBy(LIST).agg(
         F.count("*").alias("cnt"),
         F.min(score).alias("s_min"),
         F.max(score).alias("s_max"),
         F.avg(score).alias("s_mean"),
         F.percentile(score, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias("qs"),
         F.stddev_pop(score).alias("s_std"),
-        F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 4).alias("top"),
-        F.collect_list(score).alias("every"),
+        F.sort_array(F.collect_list(score), asc=False).alias("every"),
     )
-    x = F.col(score)
     shifted = F.transform("every", lambda v: v - F.col("s_max"))
     stats = stats.withColumn("z_sum", F.aggregate(F.transform(shifted, F.exp), F.lit(0.0), lambda s, v: s + v))
     weighted = F.aggregate(F.transform(shifted, lambda v: F.exp(v) * v), F.lit(0.0), lambda s, v: s + v)
-    stats = stats.withColumn("entropy", F.log("z_sum") - weighted / F.col("z_sum"))
-    joined = pairs.join(stats, LIST, "left")
-    soft = F.exp(x - F.col("s_max")) / F.col("z_sum")
-    median, q25, q75 = (F.col("qs")[i] for i in range(3))
 
     def near(distance: float) -> Column:
-        return F.size(F.filter("every", lambda v: F.abs(v - x) <= distance))
+        return F.size(F.filter("every", lambda v: v >= F.col("s_max") - distance))
 
+    stats = stats.withColumns(
+        {
+            "entropy": F.log("z_sum") - weighted / F.col("z_sum"),
+            "median": F.col("qs")[0],
+            "q25": F.col("qs")[1],
+            "q75": F.col("qs")[2],
+            **{f"top{i}": F.get("every", F.lit(i - 1)) for i in (1, 2, 3)},
+            **{f"within{i}": near(d) for i, d in enumerate(deltas, 1)},
+        }
+    ).drop("qs", "every")
+    x = F.col(score)
     columns = {
-        "median": median,
-        "q25": q25,
-        "q75": q75,
         "z": F.try_divide(x - F.col("s_mean"), F.col("s_std")),
-        "robust_z": F.try_divide(x - median, q75 - q25),
-        **{f"gap{i}": F.get("top", F.lit(i - 1)) - x for i in (1, 2, 3)},
-        **{f"within{i}": near(d) for i, d in enumerate(deltas, 1)},
-        "softmax": soft,
-        "s_rank": F.row_number().over(best_first(score)) - 1,
+        "robust_z": F.try_divide(x - F.col("median"), F.col("q75") - F.col("q25")),
+        **{f"gap{i}": F.col(f"top{i}") - x for i in (1, 2, 3)},
+        "softmax": F.exp(x - F.col("s_max")) / F.col("z_sum"),
+        "s_rank": F.when(x.isNotNull(), F.row_number().over(best_first(score)) - 1),
     }
-    return joined.withColumns(columns).drop("qs", "top", "every", "z_sum")
+    return pairs.join(stats, LIST, "left").withColumns(columns).drop("z_sum", "top1", "top2", "top3")
+
+
+def rank_differences(pairs: DataFrame, scores: list[str]) -> DataFrame:
+    """Absolute differences between the ranks of several scores, two by two; null where either is missing."""
+    ranks = {s: F.when(F.col(s).isNotNull(), F.row_number().over(best_first(s)) - 1) for s in scores}
+    rows = pairs.withColumns({f"__rank_{s}": r for s, r in ranks.items()})
+    two = [(a, b) for i, a in enumerate(scores) for b in scores[i + 1 :]]
+    return rows.withColumns({f"rankdiff_{a}_{b}": F.abs(F.col(f"__rank_{a}") - F.col(f"__rank_{b}")) for a, b in two}).drop(*[f"__rank_{s}" for s in scores])
 
 
 def siblings(pairs: DataFrame, score: str, top: int = 3) -> DataFrame:
@@ -201,3 +212,31 @@ def shared_space(pairs: DataFrame, score: str, key: Column) -> DataFrame:
     )
     known = F.col("__key").isNotNull()
     return keyed.withColumns({c: F.when(known, F.col(c)) for c in ("same_key", "same_key_rank", "same_key_best_other")}).drop("__key")
+
+
+def filter_context(pairs: DataFrame, score: str = "filter_score", rank: str = "filter_rank", strong: float = 0.5) -> DataFrame:
+    """A filter's list context: rank fraction, gap and ratio to the best, strong rows, list size and S3 rows.
+
+    With the columns t_name_tokens and t_digits also the shares of them that the list's best target has.
+    """
+    whole = Window.partitionBy(LIST)
+    n, best = F.count("*").over(whole), F.max(score).over(whole)
+    out = pairs.withColumns(
+        {
+            "filter_rank_frac": F.col(rank) / n,
+            "filter_gap_to_top": best - F.col(score),
+            "filter_score_frac": F.try_divide(F.col(score), best),
+            "list_n_strong": F.sum((F.col(score) >= strong).cast("long")).over(whole),
+            "list_size": n,
+            "list_n_s3": F.sum(F.col("t_id").startswith("S3-").cast("long")).over(whole),
+        }
+    )
+    if "t_name_tokens" not in pairs.columns:
+        return out
+    frame = best_first(score).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def shared(column: str) -> Column:
+        common = F.size(F.array_intersect(column, F.first(column).over(frame))).cast("double")
+        return F.try_divide(common, F.size(column).cast("double"))
+
+    return out.withColumns({"top1_name_overlap": shared("t_name_tokens"), "top1_digits_overlap": shared("t_digits")})

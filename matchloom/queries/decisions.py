@@ -13,7 +13,7 @@ from ..operators import lists as L
 from ..operators import models
 from ..operators import sampling
 from ..sources.records import match_lists as build_lists
-from .base import R_SQL, SCORED_SQL, entities, filter_list, linkage_records, query, scored_pairs, table
+from .base import R_SQL, SCORED_SQL, entities, filter_list, gold, linkage_records, query, scored_pairs, table
 
 _F05 = "CASE WHEN truth_len = 0 THEN CASE WHEN {k} = 0 THEN 1.0 ELSE 0.0 END WHEN {tp} > 0 THEN 1.25 * {tp} / ({k} + 0.25 * truth_len) ELSE 0.0 END"
 _PRED = "pred AS (SELECT * FROM scored WHERE score >= 0.5)"
@@ -86,10 +86,10 @@ def list_aggregates(spark, sf_dir):
     "listwise_features",
     f"""WITH {SCORED_SQL}, s AS (
       SELECT s1_id, count(*) AS cnt, min(score) AS s_min, max(score) AS s_max, avg(score) AS s_mean, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.25) AS q25, quantile_cont(score, 0.75) AS q75, stddev_pop(score) AS s_std,
-      list_reverse_sort(list(score)) AS top, list(score) AS every FROM scored GROUP BY s1_id),
+      list_reverse_sort(list(score)) AS every FROM scored GROUP BY s1_id),
     e AS (SELECT s.*, list_sum(list_transform(every, lambda v: exp(v - s_max))) AS z FROM s)
     SELECT s1_id, t_id, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, t_id) - 1 AS INTEGER) AS s_rank, cnt, s_min, s_max, round(s_mean, 6) AS s_mean, round(median, 6) AS median, round(q25, 6) AS q25, round(q75, 6) AS q75, round(s_std, 4) AS s_std,
-    round((score - median) / nullif(q75 - q25, 0), 4) AS robust_z, round(top[2] - score, 6) AS gap2, CAST(len(list_filter(every, lambda v: abs(v - score) <= 0.1)) AS INTEGER) AS within1, round(exp(score - s_max) / z, 6) AS softmax,
+    round((score - median) / nullif(q75 - q25, 0), 4) AS robust_z, round(every[2] - score, 6) AS gap2, CAST(len(list_filter(every, lambda v: v >= s_max - 0.5)) AS INTEGER) AS within1, round(exp(score - s_max) / z, 6) AS softmax,
     round(-list_sum(list_transform(every, lambda v: exp(v - s_max) / z * (v - s_max - ln(z)))), 6) AS entropy FROM scored JOIN e USING (s1_id)""",
 )
 def listwise_features(spark, sf_dir):
@@ -98,6 +98,46 @@ def listwise_features(spark, sf_dir):
     return rows.withColumns(rounded).select("s1_id", "t_id", "s_rank", "cnt", "s_min", "s_max", "s_mean", "median", "q25", "q75", "s_std", "robust_z", "gap2", "within1", "softmax", "entropy")
 
 
+@query(
+    "rank_differences",
+    f"""WITH {SCORED_SQL}, o AS (SELECT s1_id, t_id, filter_score AS a, CASE WHEN filter_rank % 2 = 0 THEN 1.0 - filter_score END AS b FROM listed),
+    k AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY a DESC, t_id) AS ra, row_number() OVER (PARTITION BY s1_id ORDER BY b DESC NULLS LAST, t_id) AS rb FROM o)
+    SELECT s1_id, t_id, CASE WHEN b IS NOT NULL THEN CAST(abs(ra - rb) AS INTEGER) END AS rankdiff_a_b FROM k""",
+)
+def rank_differences(spark, sf_dir):
+    rows = filter_list(linkage_records(spark, sf_dir))
+    two = rows.select("s1_id", "t_id", F.col("filter_score").alias("a"), F.when(F.col("filter_rank") % 2 == 0, 1.0 - F.col("filter_score")).alias("b"))
+    return L.rank_differences(two, ["a", "b"]).select("s1_id", "t_id", "rankdiff_a_b")
+
+
+@query(
+    "filter_context",
+    f"""WITH {SCORED_SQL}, w AS (SELECT entity_id, list_distinct(list_filter(string_split(name, ' '), lambda x: length(x) >= 2)) AS t FROM r),
+    x AS (SELECT l.*, count(*) OVER p AS n, max(filter_score) OVER p AS best, w.t, first_value(w.t) OVER (PARTITION BY l.s1_id ORDER BY filter_score DESC, l.t_id) AS top FROM listed l JOIN w ON w.entity_id = l.t_id WINDOW p AS (PARTITION BY l.s1_id))
+    SELECT s1_id, t_id, round(filter_rank / n::DOUBLE, 6) AS filter_rank_frac, round(best - filter_score, 6) AS filter_gap_to_top, round(filter_score / nullif(best, 0), 6) AS filter_score_frac, n AS list_size,
+    CAST(sum(CASE WHEN t_id LIKE 'S3-%' THEN 1 ELSE 0 END) OVER (PARTITION BY s1_id) AS BIGINT) AS list_n_s3, round(len(list_intersect(t, top))::DOUBLE / nullif(len(t), 0), 6) AS top1_name_overlap FROM x""",
+)
+def filter_context(spark, sf_dir):
+    r = linkage_records(spark, sf_dir)
+    tokens = r.select(F.col("entity_id").alias("t_id"), T.name_tokens(F.col("name")).alias("t_name_tokens"), T.record_digits(F.col("address")).alias("t_digits"))
+    rows = L.filter_context(filter_list(r).join(tokens, "t_id"))
+    rounded = {c: F.round(c, 6) for c in ("filter_rank_frac", "filter_gap_to_top", "filter_score_frac", "top1_name_overlap")}
+    return rows.withColumns(rounded).select("s1_id", "t_id", "filter_rank_frac", "filter_gap_to_top", "filter_score_frac", "list_size", "list_n_s3", "top1_name_overlap")
+
+
+@query(
+    "number_patterns",
+    f"""WITH {SCORED_SQL}, n AS (SELECT entity_id, list_distinct(regexp_extract_all(coalesce(text, ''), '\\p{{Nd}}+')) AS raw, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '\\p{{Nd}}+'), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END)) AS c FROM r),
+    p AS (SELECT s.s1_id, s.t_id, a.raw AS ra, b.raw AS rb, a.c AS ca, b.c AS cb, len(a.raw) + len(b.raw) > 0 AS has_any FROM scored s JOIN n a ON a.entity_id = s.s1_id JOIN n b ON b.entity_id = s.t_id),
+    f AS (SELECT *, list_sort(ra) = list_sort(rb) AS raw_eq, list_sort(ca) = list_sort(cb) AS eq, len(cb) > 0 AND len(list_intersect(ca, cb)) = len(cb) AND len(ca) > len(cb) AS sub,
+      len(list_filter(list_filter(ca, lambda x: NOT list_contains(cb, x)), lambda x: len(list_filter(list_filter(cb, lambda y: NOT list_contains(ca, y)), lambda y: levenshtein(x, y) = 1)) > 0)) > 0 AS edit FROM p)
+    SELECT s1_id, t_id, has_any AND raw_eq AS digits_equal, has_any AND NOT raw_eq AND eq AS digits_equal_after_leading_zero_strip, sub AS digits_target_subset, edit AS digits_one_edit_typo, has_any AND NOT eq AND NOT sub AND NOT edit AS digits_other_mismatch FROM f""",
+)
+def number_patterns(spark, sf_dir):
+    r = linkage_records(spark, sf_dir)
+    return X.number_patterns(scored_pairs(r).select("s1_id", "t_id"), X.number_store(r, "text"))
+
+
 @query(
     "siblings",
     f"""WITH {SCORED_SQL}, x AS (SELECT s1_id, t_id, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, t_id) AS n FROM scored),
@@ -254,17 +294,25 @@ def digit_density(spark, sf_dir):
 
 @query(
     "match_rules",
-    f"""WITH {SCORED_SQL}, x AS (SELECT s.s1_id, s.t_id, a.name = b.name AS e, s.score AS n, CASE WHEN a.address <> '' AND b.address <> '' THEN jaro_winkler_similarity(a.address, b.address) END AS d FROM scored s JOIN r a ON a.entity_id = s.s1_id JOIN r b ON b.entity_id = s.t_id WHERE NOT regexp_matches(a.address || b.address, '[^\\x00-\\x7F]'))
-    SELECT s1_id, t_id, e AS R1, e AND coalesce(d, 1) >= 0.8 AS R2, n >= 0.95 AND coalesce(d, 1) >= 0.8 AS R3, n >= 0.8 AND coalesce(d, 0) >= 0.9 AS R4, e OR (n >= 0.9 AND coalesce(d, 0) >= 0.8) AS R5 FROM x""",
+    f"""WITH {SCORED_SQL}, x AS (SELECT s.s1_id, s.t_id, a.name = b.name AS e, regexp_replace(a.name, '(\\S)(?: (?:corp|corporation|pvt|private|ltd|limited)){{1,2}}$', '\\1') = regexp_replace(b.name, '(\\S)(?: (?:corp|corporation|pvt|private|ltd|limited)){{1,2}}$', '\\1') AS f,
+      s.score AS n, CASE WHEN a.address <> '' AND b.address <> '' THEN jaro_winkler_similarity(a.address, b.address) END AS d FROM scored s JOIN r a ON a.entity_id = s.s1_id JOIN r b ON b.entity_id = s.t_id WHERE NOT regexp_matches(a.address || b.address, '[^\\x00-\\x7F]'))
+    SELECT s1_id, t_id, e AS R1, e AND coalesce(d, 1) >= 0.8 AS R2, f AND coalesce(d, 1) >= 0.8 AS R3, n >= 0.9 AND coalesce(d, 0) >= 0.85 AS R4, (e AND coalesce(d, 1) >= 0.8) OR (n >= 0.9 AND coalesce(d, 0) >= 0.85) AS R5 FROM x""",
 )
 def match_rules(spark, sf_dir):
     r = linkage_records(spark, sf_dir)
-    p = X.sides(scored_pairs(r), r, ["name", "address"]).where(~T.has_non_ascii(F.concat("s_address", "t_address")))
+    p = X.sides(scored_pairs(r), r, ["name", "address"]).where(~T.has_non_ascii(F.concat("s_address", "t_address")))  # the SQL function compares bytes
     addr = S.similarity("jaro_winkler", F.col("s_address"), F.col("t_address")) / 100
-    rules = X.match_rules(F.col("s_name") == F.col("t_name"), F.lit(False), F.col("score"), addr)
+    suffix = T.strip_legal_suffix(F.col("s_name")) == T.strip_legal_suffix(F.col("t_name"))
+    rules = X.match_rules(F.col("s_name") == F.col("t_name"), suffix, F.col("score"), addr)
     return p.select("s1_id", "t_id", *[c.alias(name) for name, c in rules.items()])
 
 
+@query("pair_features")
+def pair_features(spark, sf_dir):
+    r = linkage_records(spark, sf_dir)
+    return X.pair_features(scored_pairs(r).select("s1_id", "t_id"), X.token_store(r))
+
+
 @query(
     "hard_negative_sample",
     f"""WITH {SCORED_SQL}, a AS (SELECT *, label = 1 OR row_number() OVER (PARTITION BY s1_id, label ORDER BY filter_rank, t_id) <= 2 AS sure FROM listed),
@@ -364,13 +412,15 @@ def owner_stats(spark, sf_dir):
 
 @query(
     "country_rule",
-    f"""WITH {SCORED_SQL}, x AS (SELECT s.*, q.country, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, t_id) AS rn, max(score) OVER (PARTITION BY s1_id) AS best FROM scored s JOIN q ON q.entity_id = s1_id)
-    SELECT s1_id, t_id, score, label, country FROM x WHERE score >= CASE WHEN rn = 1 AND country = 'fr' AND best < 0.6 THEN 0.4 ELSE 0.6 END""",
+    f"""WITH {SCORED_SQL}, acc AS (SELECT * FROM scored WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY t_id ORDER BY score DESC, s1_id) = 1),
+    x AS (SELECT s.*, q.country, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, t_id) AS rn, s1_id IN (SELECT s1_id FROM acc) AS has FROM scored s JOIN q ON q.entity_id = s1_id)
+    SELECT s1_id, t_id, score, label, country FROM x WHERE score >= CASE WHEN country = 'fr' THEN CASE WHEN rn = 1 AND NOT has THEN 0.4 ELSE 0.7 END ELSE 0.6 END""",
 )
 def country_rule(spark, sf_dir):
     r = linkage_records(spark, sf_dir)
     p = scored_pairs(r).join(r.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id")
-    return D.country_rule(p, "fr", 0.6, 0.4).select("s1_id", "t_id", "score", "label", "country")
+    accepted = D.one_owner(p.where("score >= 0.6"))
+    return D.country_rule(p, accepted, "fr", 0.6, 0.7, 0.4).select("s1_id", "t_id", "score", "label", "country")
 
 
 @query(
@@ -392,17 +442,36 @@ def top1_hit(spark, sf_dir):
     return D.top1_hit(entities(r), scored_pairs(r)).withColumn("top1_hit", F.round("top1_hit", 6))
 
 
+def _gain(k: str, tp: str) -> str:
+    return "round(avg(" + _F05.format(k=f"({k})", tp=f"({tp})") + " - " + _F05.format(k="k", tp="tp") + "), 6)"
+
+
 @query(
     "error_budget",
-    f"""WITH {SCORED_SQL}, {_PRED}, {_ENT}, l AS (SELECT e.*, (SELECT count(*) FROM scored s WHERE s.s1_id = e.s1_id AND label = 1) AS listed FROM scored_ent e)
-    SELECT 'not_retrieved' AS error, CAST(sum(truth_len - listed) AS BIGINT) AS n, round(avg({_F05.format(k="(k + truth_len - listed)", tp="(tp + truth_len - listed)")} - f05), 6) AS gain FROM l
-    UNION ALL SELECT 'retrieved_not_predicted', CAST(sum(listed - tp) AS BIGINT), round(avg({_F05.format(k="(k + listed - tp)", tp="listed")} - f05), 6) FROM l
-    UNION ALL SELECT 'wrong_beside_gold', CAST(sum(CASE WHEN truth_len > 0 THEN k - tp ELSE 0 END) AS BIGINT), round(avg(CASE WHEN truth_len > 0 THEN {_F05.format(k="tp", tp="tp")} - f05 ELSE 0 END), 6) FROM l
-    UNION ALL SELECT 'wrong_without_gold', CAST(sum(CASE WHEN truth_len = 0 THEN k ELSE 0 END) AS BIGINT), round(avg(CASE WHEN truth_len = 0 THEN 1 - f05 ELSE 0 END), 6) FROM l""",
+    f"""WITH {SCORED_SQL}, c AS (
+      SELECT ent.s1_id, truth_len, count(*) FILTER (score >= 0.5) AS k, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (label = 1) AS listed, count(*) FILTER (score >= 0.5 AND label = 0) AS bad,
+             count(*) FILTER (score >= 0.8 AND label = 0) AS strong, count(*) FILTER (score >= 0.5 AND score < 0.8 AND label = 0) AS other, count(*) FILTER (score < 0.3 AND label = 1) AS weak, count(*) FILTER (score >= 0.3 AND score < 0.5 AND label = 1) AS rest
+      FROM ent LEFT JOIN scored USING (s1_id) GROUP BY ALL)
+    SELECT 'wrong_strong' AS error, CAST(sum(strong) AS BIGINT) AS n, {_gain("k - strong", "tp")} AS gain FROM c UNION ALL SELECT 'wrong_other', CAST(sum(other) AS BIGINT), {_gain("k - other", "tp")} FROM c
+    UNION ALL SELECT 'missed_weak', CAST(sum(weak) AS BIGINT), {_gain("k + weak", "tp + weak")} FROM c UNION ALL SELECT 'missed_other', CAST(sum(rest) AS BIGINT), {_gain("k + rest", "tp + rest")} FROM c
+    UNION ALL SELECT 'wrong_singleton', CAST(sum(CASE WHEN truth_len = 0 THEN bad ELSE 0 END) AS BIGINT), {_gain("k - CASE WHEN truth_len = 0 THEN bad ELSE 0 END", "tp")} FROM c
+    UNION ALL SELECT 'not_listed', CAST(sum(truth_len - listed) AS BIGINT), {_gain("k + truth_len - listed", "tp + truth_len - listed")} FROM c""",
 )
 def error_budget(spark, sf_dir):
     r = linkage_records(spark, sf_dir)
-    return D.error_budget(entities(r), scored_pairs(r), _predicted(r))
+    p = scored_pairs(r).withColumn("predicted", F.col("score") >= 0.5)
+    return D.error_budget(entities(r), p, {"strong": F.col("score") >= 0.8}, {"weak": F.col("score") < 0.3})
+
+
+@query("matcher_errors")
+def matcher_errors(spark, sf_dir):
+    r = linkage_records(spark, sf_dir)
+    p = scored_pairs(r).withColumn("predicted", F.col("score") >= 0.5)
+    owners = gold(r).select(F.col("t_id").alias("owned_id")).distinct()
+    p = p.join(owners, F.col("t_id") == F.col("owned_id"), "left").withColumn("owned", F.col("owned_id").isNotNull()).drop("owned_id")
+    store = X.token_store(r)
+    full = X.cheap_features(p, store).join(X.canonical_features(p.select("s1_id", "t_id"), store, {}), ["s1_id", "t_id"])
+    return D.error_budget(entities(r), full, *D.error_classes())
 
 
 @query(
