@@ -66,13 +66,13 @@ def _marked(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("words", F.regexp_extract_all(spaced, F.lit("\u0001?(?:" + _TOKEN + ")"), F.lit(0)))
 
 
-def _with_template(df: DataFrame) -> DataFrame:
-    """Adds ``template`` beside ``words``."""
+def _template_word(marked: F.Column) -> F.Column:
+    return F.when(marked.startswith("\u0001"), _template(F.substring(marked, 2, 1 << 30), False)).otherwise(_template(marked, True))
 
-    def template(marked: F.Column) -> F.Column:
-        return F.when(marked.startswith("\u0001"), _template(F.substring(marked, 2, 1 << 30), False)).otherwise(_template(marked, True))
 
-    return df.withColumn("template", F.transform("words", template))
+def _with_template(df: DataFrame) -> DataFrame:
+    """Adds ``template`` beside ``words``: the digest of each template word, so that windows hash numbers and not strings."""
+    return df.withColumn("template", F.transform("words", lambda w: F.xxhash64(_template_word(w))))
 
 
 def _plain(words: F.Column) -> F.Column:
@@ -80,7 +80,7 @@ def _plain(words: F.Column) -> F.Column:
 
 
 def _windows(template: F.Column, width: int) -> F.Column:
-    """Hash of every window of ``width`` words (of the whole where it is shorter), by start."""
+    """Hash of every window of ``width`` hashed words (of the whole where it is shorter), by start."""
     n = F.size(template)
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(F.slice(template, i + 1, width)))
@@ -90,7 +90,8 @@ def _windows(template: F.Column, width: int) -> F.Column:
 def benchmark_windows(benchmark: DataFrame, width: int, least_words: int = 4) -> DataFrame:
     """(item_id, item_at, hash, item_slots, n_windows, item_words) of every window of the benchmark."""
     items = _with_template(_marked(benchmark.select("item_id", "text"), "text"))
-    slots = F.zip_with("template", _plain(F.col("words")), lambda t, w: F.when(t.startswith("<"), w).otherwise(F.lit("")))
+    typed = F.transform("words", _template_word)
+    slots = F.zip_with(typed, _plain(F.col("words")), lambda t, w: F.when(t.startswith("<"), w).otherwise(F.lit("")))
     items = items.withColumn("slots", slots).withColumn("hashes", _windows(F.col("template"), width)).withColumn("n_windows", F.size("hashes"))
     rows = items.select("item_id", "slots", "n_windows", F.least(F.size("template"), F.lit(width)).alias("item_width"), F.posexplode("hashes").alias("item_at", "hash"))
     return rows.where(F.col("item_width") >= least_words).select("item_id", "item_at", "hash", "n_windows", "item_width", F.slice("slots", F.col("item_at") + 1, width).alias("item_slots")).distinct()
