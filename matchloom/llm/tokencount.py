@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_groups, map_batches, read_table, shared_dir
+from .common import byte_groups, map_batches, materialise, read_table, shared_dir
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
 _BATCH_BYTES = 1 << 20
@@ -89,7 +89,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
     encode_misses(rows, cache_path, tokenizer_path).write.mode("append").parquet(cache_path)
-    known = read_cache(spark, cache_path, version_digest(tokenizer_path))
+    # Written out, so that the join below meets plain exchanges and adaptive execution can split a content with many copies.
+    known = materialise(read_cache(spark, cache_path, version_digest(tokenizer_path)), "token-counts")
     keyed = rows.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
     return keyed.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
