@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_importable
-from .common import read_table, release_memory
+from .common import materialise, read_table, release_memory
 
 WINDOW = 50
 GRAM = 16
@@ -515,7 +515,8 @@ def _plan(docs: DataFrame, chunk_bytes: int, shard_bytes: int) -> tuple[DataFram
     rows = docs.withColumns({"__uid": uid, "__id": F.coalesce(F.col("doc_id"), F.lit(_LAST)).cast("long"), "__chunk": F.pmod(uid, F.lit(chunks)).cast("int")})
     light = rows.select("__uid", "__id", "__chunk", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
     first = light.groupBy("digest").agg(F.min("__id").alias("first_id"), F.min("__uid").alias("any_uid"), F.max("__uid").alias("last_uid"))
-    several = first.where(F.col("any_uid") != F.col("last_uid")).select(F.col("digest").alias("same"), "first_id")
+    # Written out, so that the join below meets plain exchanges and adaptive execution can split a text with many copies.
+    several = materialise(first.where(F.col("any_uid") != F.col("last_uid")).select(F.col("digest").alias("same"), "first_id"), "copies")
     empty = F.lit(None).cast("binary")
     copies = (
         light.join(several, (F.col("digest") == F.col("same")) & (F.col("__id") > F.col("first_id")))
