@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_importable
-from .common import read_table, shared_dir
+from .common import materialise, read_table, shared_dir
 
 CHUNK = 1 << 14
 ARCHIVE_BYTES = 1 << 26
@@ -183,6 +183,8 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         .where((F.col("n") > 1) & F.col("first_id").isNotNull())
         .select(F.col("sha1").alias("same"), "first_id")
     )
+    # Written out, so that the join below meets plain exchanges and adaptive execution can split a payload with many copies.
+    groups = materialise(groups, "payload-groups")
     other = F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id"))
     return rows.join(groups, F.col("sha1") == F.col("same"), "left").select("page_id", "url", "html", F.when(F.col("first_id").isNotNull() & other, F.col("first_id")).alias("refers_to"))
 
