@@ -55,6 +55,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_LAYOUT = re.compile(r"\b(?:has|no|with|without)[-_][a-z]+")
 _NOT_NAME = re.compile(r"[^a-z_-].*", re.S)
 _BOILER = frozenset(BOILERPLATE)
 
@@ -80,7 +81,7 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(raw)} if raw else {}
 
 
-def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
+def _is_boilerplate(tag: str, attributes: dict[str, str], names: bool = True) -> bool:
     if tag in SKIPPED:
         return True
     if not attributes:
@@ -89,10 +90,10 @@ def _is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if "style" in attributes and re.search(r"display\s*:\s*none", attributes["style"]):
         return True
-    if tag in ("body", "html", "article", "main"):
+    if not names or tag in ("body", "html", "article", "main"):
         return False
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(w in _BOILER for w in _WORDS.findall(names))
+    words = _LAYOUT.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    return any(w in _BOILER for w in _WORDS.findall(words))
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -101,10 +102,13 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 
 def parse(page: str | None) -> Parsed:
-    """One forward scan of a page."""
+    """One forward scan of a page; a second one, blind to classes and ids, if they condemn everything."""
+    found = _scan(page or "", True)
+    return found if found.blocks else _scan(page or "", False)
+
+
+def _scan(page: str, names: bool) -> Parsed:
     out = Parsed()
-    if not page:
-        return out
     stack: list[tuple[str, int, str]] = []  # tag, container index or -1, path
     chain: list[int] = []
     parts: list[str] = []
@@ -191,12 +195,17 @@ def parse(page: str | None) -> Parsed:
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "tr" if tag != "tr" else "table", "div", "article", "main", "body"):
                     break
+        if skip and tag in ("body", "main", "article"):
+            # A head, menu or header that was never closed ends where the content begins.
+            opened = len(stack) - skip
+            if stack[opened][0] == "head" or tag != "body" and stack[opened][0] in ("nav", "header", "title"):
+                close(opened)
         if skip:
             skip += 1
             stack.append((tag, -1, ""))
             continue
         attributes = _attributes(raw)
-        if _is_boilerplate(tag, attributes):
+        if _is_boilerplate(tag, attributes, names):
             if tag in BLOCKS or tag in SKIPPED:
                 flush()
             skip = 1
