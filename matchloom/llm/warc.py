@@ -36,7 +36,7 @@ from ..session import ensure_importable
 from .common import materialise, read_table, shared_dir
 
 CHUNK = 1 << 14
-ARCHIVE_BYTES = 1 << 26
+ARCHIVE_BYTES = 1 << 23
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
