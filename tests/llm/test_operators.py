@@ -294,6 +294,32 @@ def _group(root):
     return out.values()
 
 
+def test_wide_fingerprints_follow_similarity(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, near = [], []
+    for i in range(120):
+        words = rng.choices(vocabulary, k=300)
+        rows.append((2 * i, " ".join(words)))
+        other = list(words)
+        for k in rng.sample(range(300), 2 if i % 2 else 60):
+            other[k] = rng.choice(vocabulary)
+        rows.append((2 * i + 1, " ".join(other)))
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        near.append(len(a & b) / len(a | b) >= 0.8)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(0, 240, 2))
+    assert [2 * i + 1 not in kept for i in range(120)] == near
+
+
+def test_wide_fingerprint_of_slices(monkeypatch):
+    text = " ".join(random.Random(1).choices(["alpha", "beta", "gamma", "d", "e"], k=3000))
+    whole = simhash.wide_fingerprint(text).tolist()
+    monkeypatch.setattr(simhash, "_SLICE", 1000)
+    assert simhash.wide_fingerprint(text).tolist() == whole
+
+
 # ---- HTML
 
 
@@ -310,6 +336,9 @@ def test_html_extract():
     assert html_extract.extract(PAGE, "body/div/div.entry.post") == want
     assert html_extract.extract(None, None) == html_extract.extract("", "x") == ""
     assert html_extract.extract("<p>a<br>b</p>c<!-- x", None) == "a b\n\nc"
+    assert html_extract.extract("<head><title>t</title><meta x><body><nav><a>m</a><article><p>text</article>", None) == "text"
+    assert html_extract.extract("<body><div class='has-sidebar'><p>text</p></div><div class='sidebar'>s</div>", None) == "text"
+    assert html_extract.extract("<div class='widget'><p>all of it</p></div>", None) == "all of it"
 
 
 def test_html_consensus_wins_over_an_odd_page(spark):
