@@ -259,22 +259,27 @@ def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
     total = np.zeros(256, dtype=np.int64)
     n = 0
     digest = xxhash.xxh64_intdigest
-    seen: set[int] = set()
+    seen = np.zeros(0, dtype=np.uint64)
     last: list[bytes] = []
     for part in _word_lists(text or "", words - 1):
         last = part
-        for k in range(0, max(0, len(part) - words + 1), 1 << 14):
-            piece = part[k : k + (1 << 14) + words - 1]
-            fresh = {digest(b" ".join(x), 42) for x in zip(*(piece[i:] for i in range(words)))} - seen
-            seen |= fresh
-            hashes = np.fromiter(fresh, dtype=np.uint64, count=len(fresh))
+        if len(part) < words:
+            continue
+        hashes = np.unique(np.array([digest(b" ".join(x), 42) for x in zip(*(part[i:] for i in range(words)))], dtype=np.uint64))
+        if len(seen):
+            place = np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)
+            hashes = hashes[seen[place] != hashes]
+            seen = np.sort(np.concatenate([seen, hashes]))
+        else:
+            seen = hashes
+        for k in range(0, len(hashes), 1 << 14):
             for lane in range(4):
-                mixed = hashes * _MIX[lane]
+                mixed = hashes[k : k + (1 << 14)] * _MIX[lane]
                 mixed ^= mixed >> np.uint64(31)
                 mixed *= np.uint64(0xD6E8FEB86659FD93)
                 bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 total[64 * lane : 64 * lane + 64] += bits.sum(axis=0, dtype=np.uint32)
-            n += len(fresh)
+        n += len(hashes)
     if not n:
         return np.full(4, digest(b" ".join(last), 42) if last else 0, dtype=np.uint64)
     return np.packbits(2 * total > n, bitorder="little").view(np.uint64)
