@@ -8,8 +8,9 @@ them by an equi-join on the hash. A re-parameterised question ("Tom has 3 apples
 windows, and its slots must be consistent: over the matched part, the same slot value of the item always maps to one
 and the same value of the document and no two item values fall together.
 
-An item is found in a document where, along one alignment (document position minus item position), consistent windows
-cover at least ``share`` of the item's windows. Items shorter than a window form one window of their whole length; items
+Windows of one alignment (document position minus item position) must be consistent among themselves. An item is found in
+a document where its consistent alignments together hold at least ``share`` of its windows, so a word put in or left
+out does not hide it. Items shorter than a window form one window of their whole length; items
 under ``least_words`` words are not evidence of anything and are not searched for.
 
 Scale: only windows whose hash is in the benchmark leave the scan stage; the benchmark's windows are broadcast while there are at
@@ -98,7 +99,7 @@ def benchmark_windows(benchmark: DataFrame, width: int, least_words: int = 4) ->
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: float, broadcast_windows: int) -> DataFrame:
-    """(doc_id, uid, item_id, n_matched, n_windows, pairs) of every consistent alignment; uid is a digest of the text."""
+    """(doc_id, uid, item_id, n_matched, n_windows, pairs) of every item found; uid is a digest of the text."""
     known = benchmark_windows(benchmark, width)
     sizes = known.agg(F.count("*").alias("n"), F.collect_set("item_width").alias("widths")).first()
     widths = sorted(sizes["widths"]) or [width]
@@ -121,11 +122,14 @@ def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: float, broa
     pairs = F.filter(F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != "")
     hits = hits.withColumn("pairs", pairs).withColumn("shift", F.col("doc_at") - F.col("item_at"))
     key = ["doc_id", "uid", "item_id", "shift"]
-    lined = hits.groupBy(*key).agg(F.count_distinct("item_at").alias("n_matched"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    lined = lined.where(F.col("n_matched") >= F.col("n_windows") * share)
+    lined = hits.groupBy(*key).agg(F.collect_set("item_at").alias("places"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     a = F.transform("pairs", lambda x: x["a"])
     b = F.transform("pairs", lambda x: x["b"])
-    return lined.where((F.size(F.array_distinct(a)) == F.size("pairs")) & (F.size(F.array_distinct(b)) == F.size("pairs")))
+    consistent = lined.where((F.size(F.array_distinct(a)) == F.size("pairs")) & (F.size(F.array_distinct(b)) == F.size("pairs")))
+    joined = consistent.groupBy("doc_id", "uid", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_matched"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    )
+    return joined.where(F.col("n_matched") >= F.col("n_windows") * share)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:

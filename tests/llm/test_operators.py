@@ -434,6 +434,7 @@ def test_templates(spark):
     bench = [
         (1, "Tom has 3 apples and buys 5 more apples at 20 cents each. How many apples does Tom have now?"),
         (2, "A train travels 120 km in 2 hours. What is its average speed in km per hour?"),
+        (3, " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))),
     ]
     rows = [
         (1, "Anna has 7 apples and buys 9 more apples at 35 cents each. How many apples does Anna have now?"),
@@ -441,12 +442,13 @@ def test_templates(spark):
         (3, "Well. A train travels 300 miles in 5 days. What is its average speed in miles per day? Who knows."),
         (4, "A train travels 120 km in 2 hours. What is its average speed in km per hour?"),
         (5, "A train travels far and nobody knows what its average speed is or will be."),
+        (6, " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" + (" inserted" if i == 20 else "") for i in range(40))),
     ]
     b = spark.createDataFrame(bench, "item_id long, text string")
     d = spark.createDataFrame(rows, "doc_id long, text string")
     for limit in (200_000, 0):
         got = {(r.doc_id, r.item_id): r.changed for r in decontam.contaminated(d, b, broadcast_windows=limit).collect()}
-        assert got == {(1, 1): True, (3, 2): True, (4, 2): False}
+        assert got == {(1, 1): True, (3, 2): True, (4, 2): False, (6, 3): False}
     assert {r.doc_id for r in decontam.drop_contaminated(d, b).collect()} == {2, 5}
 
 
