@@ -103,13 +103,12 @@ def tfidf_route(records: DataFrame, grams: Column, max_df: float = 0.01, least_c
     idf = df.select(*PLACE, "gram", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
     w_t = tf_t.join(idf, [*PLACE, "gram"]).withColumn("w", F.col("tf") * F.col("idf"))
     w_q = tf_q.join(idf, ["country", "gram"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norm_t = w_t.groupBy(*PLACE, "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_t"))
-    norm_q = w_q.groupBy(*PLACE, "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_q"))
-    a = w_q.select(*PLACE, F.col("id").alias("s1_id"), "gram", F.col("w").alias("wq"))
-    b = w_t.select(*PLACE, F.col("id").alias("t_id"), "gram", F.col("w").alias("wt"))
-    dots = a.join(b, [*PLACE, "gram"]).groupBy(*PLACE, "s1_id", "t_id").agg(F.sum(F.col("wq") * F.col("wt")).alias("dot"))
-    scored = dots.join(norm_t.withColumnRenamed("id", "t_id"), [*PLACE, "t_id"]).join(norm_q.withColumnRenamed("id", "s1_id"), [*PLACE, "s1_id"])
-    return top_k(scored.select("s1_id", "t_id", "source", F.round(F.col("dot") / (F.col("norm_t") * F.col("norm_q")), 6).alias("score")), k)
+    # Norms ride along with the weights, so that nothing is joined to the pairs after they are summed.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*PLACE, "id")))
+    a = w_q.select(*PLACE, F.col("id").alias("s1_id"), "gram", F.col("w").alias("wq"), norm.alias("norm_q"))
+    b = w_t.select(*PLACE, F.col("id").alias("t_id"), "gram", F.col("w").alias("wt"), norm.alias("norm_t"))
+    dots = a.join(b, [*PLACE, "gram"]).groupBy(*PLACE, "s1_id", "t_id").agg(F.sum(F.col("wq") * F.col("wt")).alias("dot"), F.max("norm_q").alias("norm_q"), F.max("norm_t").alias("norm_t"))
+    return top_k(dots.select("s1_id", "t_id", "source", F.round(F.col("dot") / (F.col("norm_t") * F.col("norm_q")), 6).alias("score")), k)
 
 
 def name_char_tfidf(records: DataFrame, **options) -> DataFrame:
