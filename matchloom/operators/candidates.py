@@ -96,8 +96,11 @@ def tfidf_route(records: DataFrame, grams: Column, max_df: float = 0.01, least_c
     t = targets_of(records).select("source", "country", F.col("entity_id").alias("id"), grams.alias("grams"))
     q = queries_of(records).select("country", F.col("entity_id").alias("id"), grams.alias("grams"))
     size = t.groupBy(*PLACE).agg(F.count("*").alias("n"))
-    tf_t = t.select(*PLACE, "id", F.explode("grams").alias("gram")).groupBy(*PLACE, "id", "gram").agg((1 + F.log(F.count("*"))).alias("tf"))
-    tf_q = q.select("country", "id", F.explode("grams").alias("gram")).groupBy("country", "id", "gram").agg((1 + F.log(F.count("*"))).alias("tf"))
+    # The outer form of explode: the plain one makes Catalyst compute the grams a second time, to filter empty arrays.
+    gram = F.explode_outer("grams").alias("gram")
+    tf = (1 + F.log(F.count("*"))).alias("tf")
+    tf_t = t.select(*PLACE, "id", gram).where(F.col("gram").isNotNull()).groupBy(*PLACE, "id", "gram").agg(tf)
+    tf_q = q.select("country", "id", gram).where(F.col("gram").isNotNull()).groupBy("country", "id", "gram").agg(tf)
     df = tf_t.groupBy(*PLACE, "gram").agg(F.count("*").alias("df")).join(size, PLACE)
     df = df.where(F.col("df") <= F.greatest(F.lit(least_cap).cast("double"), F.col("n") * max_df))
     idf = df.select(*PLACE, "gram", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))

@@ -12,6 +12,7 @@ from ..operators import features as X
 from ..operators import lists as L
 from ..operators import models
 from ..operators import sampling
+from ..session import materialise
 from ..sources.records import match_lists as build_lists
 from .base import R_SQL, SCORED_SQL, entities, filter_list, gold, linkage_records, query, scored_pairs, table
 
@@ -499,7 +500,7 @@ def expected_f_decision(spark, sf_dir):
 def _features(spark, sf_dir):
     r = linkage_records(spark, sf_dir)
     rows = L.list_aggregates(L.list_features(filter_list(r), "filter_score", "filter_score"), "filter_score")
-    return r, rows, ["filter_score", "filter_rank", "logit_gap", "n_p05", "best_other", "mean_other"]
+    return r, materialise(rows, "features"), ["filter_score", "filter_rank", "logit_gap", "n_p05", "best_other", "mean_other"]
 
 
 @query("calibrated_scores")

@@ -9,6 +9,7 @@ from ..operators import candidates as C
 from ..operators import lists as L
 from ..operators import metrics as M
 from ..operators import sampling
+from ..session import materialise
 from .base import (
     DENSE_SQL,
     GOLD_SQL,
@@ -110,17 +111,17 @@ _WORD_GRAMS = f"list_concat({_WORDS}, list_transform(generate_series(1, len({_WO
 
 @query("char_tfidf_topk", tfidf_sql(_grams_sql("name"), 0.1, 5))
 def char_tfidf_topk(spark, sf_dir):
-    return C.name_char_tfidf(linkage_records(spark, sf_dir), max_df=0.1, k=5)
+    return C.name_char_tfidf(materialise(linkage_records(spark, sf_dir).drop("text"), "records"), max_df=0.1, k=5)
 
 
 @query("word_tfidf_topk", tfidf_sql(_WORD_GRAMS, 0.1, 10))
 def word_tfidf_topk(spark, sf_dir):
-    return C.name_word_tfidf(linkage_records(spark, sf_dir), max_df=0.1, k=10)
+    return C.name_word_tfidf(materialise(linkage_records(spark, sf_dir).drop("text"), "records"), max_df=0.1, k=10)
 
 
 @query("address_tfidf_topk", tfidf_sql(_grams_sql("address"), 0.02, 5))
 def address_tfidf_topk(spark, sf_dir):
-    return C.address_char_tfidf(linkage_records(spark, sf_dir), max_df=0.02, k=5)
+    return C.address_char_tfidf(materialise(linkage_records(spark, sf_dir).drop("text"), "records"), max_df=0.02, k=5)
 
 
 @query("route_union_rrf", f"WITH {ROUTES_SQL} SELECT s1_id, t_id, route_bits, n_routes, rrf, rrf_rank FROM fused")
