@@ -125,7 +125,8 @@ def train(
 def training_sample(labelled: DataFrame, max_rows: int = 3000, max_chars: int = 20000) -> tuple[list[str], list[str]]:
     """About ``max_rows`` labelled texts of at most ``max_chars`` characters, by a digest of their id."""
     fit = labelled.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-    rows = hash_sample(fit.select("doc_id", "text", "lang"), F.col("doc_id"), max_rows, "language").select("text", "lang").collect()
+    drawn = hash_sample(fit.select("doc_id", "text", "lang"), F.xxhash64("doc_id", "text"), max_rows, "language")
+    rows = drawn.distinct().select("text", "lang").collect()  # a row repeated any number of times comes once
     rows.sort()
     return [r.text for r in rows], [r.lang for r in rows]
 

@@ -192,8 +192,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, ma
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = hash_sample(known, F.col("labelled"), max_rows, "toxicity")
     short = docs.where(F.length("text") <= max_chars).select("doc_id", "text")
-    rows = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "toxic", "text").collect()
-    rows = sorted(set(rows))
+    rows = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "toxic", "text").distinct().collect()
+    rows.sort()
     return [r.text for r in rows], [int(r.toxic > 0) for r in rows]
 
 
