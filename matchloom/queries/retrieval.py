@@ -321,3 +321,46 @@ def filter_retention_curve(spark, sf_dir):
 def ownership_strata(spark, sf_dir):
     r = linkage_records(spark, sf_dir)
     return M.ownership(filter_list(r), gold(r))
+
+
+@query(
+    "scalar_functions",
+    f"""WITH {R_SQL}, x AS (SELECT entity_id, name, coalesce(regexp_extract(text, '\\p{{Nd}}+'), '') AS run, regexp_extract(name, '\\p{{L}}') AS letter, length(name) AS n FROM r)
+    SELECT entity_id, CASE WHEN run <> '' AND length(run) <= 12 THEN CAST(run AS BIGINT) ELSE -1 END AS first_number, CASE WHEN regexp_matches(letter, '\\p{{Latin}}') OR letter = '' THEN 0 ELSE 11 END AS script,
+    CASE WHEN n >= 6 THEN '6+' ELSE CAST(n AS VARCHAR) END AS bucket, round(1 / (1 + exp(-greatest(least(n - 20.0, 40.0), -40.0))), 6) AS squashed, CAST(split_part(entity_id, '-', 2) AS BIGINT) AS number FROM x""",
+)
+def scalar_functions(spark, sf_dir):
+    r = linkage_records(spark, sf_dir)
+    number = F.coalesce(*[T.numeric_id(F.col("entity_id"), p) for p in ("S1", "S2", "S3")])
+    return r.select(
+        "entity_id",
+        T.first_number(F.col("text")).alias("first_number"),
+        T.script_code(F.col("name")).alias("script"),
+        T.match_bucket(F.length("name")).alias("bucket"),
+        F.round(T.sigmoid(F.length("name") - F.lit(20.0)), 6).alias("squashed"),
+        number.alias("number"),
+    )
+
+
+@query("seeded_prefix", f"WITH {R_SQL} SELECT entity_id FROM r ORDER BY md5('7:' || entity_id), entity_id LIMIT 50")
+def seeded_prefix(spark, sf_dir):
+    return sampling.ordered_prefix(linkage_records(spark, sf_dir), "entity_id", 50, 7)
+
+
+@query(
+    "position_splits",
+    f"""WITH {R_SQL}, p AS (SELECT entity_id, row_number() OVER (ORDER BY md5('7:' || entity_id), entity_id) - 1 AS position FROM r)
+    SELECT entity_id, position, CASE WHEN position <= 599 THEN 'train' WHEN position BETWEEN 600 AND 799 THEN 'validation' END AS split FROM p""",
+)
+def position_splits(spark, sf_dir):
+    return sampling.split_positions(linkage_records(spark, sf_dir), "entity_id", {"train": (0, 599), "validation": (600, 799)}, 7)
+
+
+@query(
+    "counting_subset",
+    f"""WITH {R_SQL}, sure AS (SELECT entity_id FROM q), rest AS (SELECT entity_id FROM g ORDER BY md5('7:' || entity_id), entity_id LIMIT greatest(0, 500 - (SELECT count(*) FROM sure)))
+    SELECT entity_id FROM sure UNION ALL SELECT entity_id FROM rest""",
+)
+def counting_subset(spark, sf_dir):
+    r = linkage_records(spark, sf_dir)
+    return sampling.counting_subset(r, "entity_id", r.where("source = 1"), 500, 7)
