@@ -299,47 +299,55 @@ def _sampled(fps: np.ndarray, mask: list[int]) -> np.ndarray:
     return key
 
 
-def wide_stars(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int, split_at: int = 2048, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (id, smallest linked row's id) of whole buckets of wide fingerprints (rows sorted by key).
+def wide_stars(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (id, smallest linked row's id) of whole buckets of wide fingerprints (rows sorted by key), every pair compared."""
+    root = _roots(len(ids), _near_pairs(keys, fps, radius))
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
+
 
-    A bucket above ``split_at`` is cut by further samples of 12 bits, several times over; its members meet in many tables.
+def _dealt(classes: DataFrame, masks: list[list[int]], split_at: int) -> DataFrame:
+    """(key, fp, w0, w1, w2, w3), sorted by key in its partition: each fingerprint in its buckets.
+
+    A bucket above ``split_at`` members is dealt into blocks by digest and becomes one bucket per pair of blocks, so that
+    each two of its members still meet, in tasks of their own. The keys have room for 4,096 blocks of a bucket.
     """
-    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-    size = np.repeat(np.diff(edges), np.diff(edges))
-    small = np.flatnonzero((size > 1) & (size <= split_at))
 
-    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for a, b in _near_pairs(keys[small], fps[small], radius):
-            yield small[a], small[b]
-        for key in np.unique(keys[size > split_at]):
-            rows = np.flatnonzero(keys == key)
-            for mask in table_masks(8, 12, seed):
-                piece = _sampled(fps[rows], mask)
-                order = np.argsort(piece, kind="stable")
-                for i, j in _near_pairs(piece[order], fps[rows][order], radius):
-                    yield rows[order[i]], rows[order[j]]
+    def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        fps = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
+        for i, mask in enumerate(masks):
+            yield (_sampled(fps, mask) | np.uint64(i << 40)).view(np.int64)
 
-    root = _roots(len(ids), pairs())
-    moved = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[moved], ids[root[moved]]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys in keys_of(batch):
+                values, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["large", "n"])
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys in keys_of(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], ["key", *batch.schema.names])
 
-def _wide_labels(docs: DataFrame, words: int, radius: int, tables: int, bits: int) -> DataFrame:
+    parts = ["w0", "w1", "w2", "w3"]
+    sizes = classes.mapInArrow(count, "large long, n long").groupBy("large").agg(F.sum("n").alias("n")).where(F.col("n") > split_at)
+    # Written out, so that its size is known and a short list of large buckets is broadcast.
+    large = materialise(sizes.select("large", F.least(F.ceil(F.col("n") / split_at), F.lit(4096)).cast("int").alias("blocks")), "wide-large")
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine)
+    cut = F.transform(other, lambda j: F.col("key").bitwiseOR(F.shiftleft((F.least(mine, j) * 4096 + F.greatest(mine, j)).cast("long"), 16)))
+    rows = classes.mapInArrow(deal, "key long, fp long, w0 long, w1 long, w2 long, w3 long").join(large, F.col("key") == F.col("large"), "left")
+    rows = rows.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(cut)).alias("key"), "fp", *parts)
+    return rows.repartition("key").sortWithinPartitions("key", "fp")
+
+
+def _wide_labels(docs: DataFrame, words: int, radius: int, tables: int, bits: int, split_at: int = 2048) -> DataFrame:
     """(doc_id, uid, fp, root) of every row: fp names the wide fingerprint, root the group."""
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.stack([wide_fingerprint(x.as_py(), words) for x in batch.column(2)]).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(4))], ["doc_id", "uid", "w0", "w1", "w2", "w3"])
 
-    masks = table_masks(tables, bits)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
-            for i, mask in enumerate(masks):
-                keys = _sampled(fps, mask) | np.uint64(i << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns], ["key", *batch.schema.names])
-
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids, *columns in _sorted_buckets(batches):
             a, b = wide_stars(keys, ids, np.stack(columns, axis=1).view(np.uint64), radius)
@@ -348,8 +356,8 @@ def _wide_labels(docs: DataFrame, words: int, radius: int, tables: int, bits: in
     parts = ["w0", "w1", "w2", "w3"]
     source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
     rows = materialise(map_batches(source, "doc_id long, uid long, w0 long, w1 long, w2 long, w3 long", sketch).withColumn("fp", F.xxhash64(*parts)), "wide-fingerprints")
-    classes = rows.groupBy("fp").agg(*[F.first(w).alias(w) for w in parts])
-    dealt = classes.select("fp", *parts).mapInArrow(deal, "key long, fp long, w0 long, w1 long, w2 long, w3 long").repartition("key").sortWithinPartitions("key", "fp")
+    classes = materialise(rows.groupBy("fp").agg(*[F.first(w).alias(w) for w in parts]).select("fp", *parts), "wide-classes")
+    dealt = _dealt(classes, table_masks(tables, bits), split_at)
     links = connect(dealt.mapInArrow(stars, "a long, b long"), "wide-stars")
     # Written out, so that the join below meets plain exchanges and adaptive execution can split a fingerprint with many copies.
     links = materialise(links, "wide-links")

@@ -313,6 +313,27 @@ def test_wide_fingerprints_follow_similarity(spark):
     assert [2 * i + 1 not in kept for i in range(120)] == near
 
 
+def test_large_buckets_lose_no_pair(spark):
+    """One bucket of 5,000 fingerprints: every pair within the radius is joined, as brute force finds it."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(2500):
+        words = rng.choices(vocabulary, k=100)
+        other = list(words)
+        for k in rng.sample(range(100), 2):
+            other[k] = rng.choice(vocabulary)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    fps = [simhash.wide_fingerprint(t) for _, t in rows]
+    near = [i for i in range(2500) if np.bitwise_count(fps[2 * i] ^ fps[2 * i + 1]).sum() <= 44]
+    root = {r.doc_id: r.root for r in simhash._wide_labels(spark.createDataFrame(rows, "doc_id long, text string"), 5, 44, 1, 0).collect()}
+    assert len(near) > 1000
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for i in near:
+        a, b = shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])
+        assert root[2 * i] == root[2 * i + 1] or len(a & b) / len(a | b) < 0.8
+
+
 def test_wide_fingerprint_of_slices(monkeypatch):
     text = " ".join(random.Random(1).choices(["alpha", "beta", "gamma", "d", "e"], k=3000))
     whole = simhash.wide_fingerprint(text).tolist()
