@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, read_table
+from .common import map_batches, materialise, read_table, release_memory
 
 RADIUS = 3
 _SLICE = 1 << 20
@@ -254,10 +254,8 @@ def near_edges(classes: DataFrame) -> DataFrame:
 # ---- wide fingerprints: similarity of word shingles above a threshold
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """Four 64-bit words: SimHash over 256 bits of the text's distinct ``words``-word shingles (fewer words: one shingle)."""
-    total = np.zeros(256, dtype=np.int64)
-    n = 0
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The hashes of a text's distinct ``words``-word shingles, sorted (fewer words: one shingle; none: empty)."""
     digest = xxhash.xxh64_intdigest
     seen = np.zeros(0, dtype=np.uint64)
     last: list[bytes] = []
@@ -266,23 +264,26 @@ def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
         if len(part) < words:
             continue
         hashes = np.unique(np.array([digest(b" ".join(x), 42) for x in zip(*(part[i:] for i in range(words)))], dtype=np.uint64))
-        if len(seen):
-            place = np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)
-            hashes = hashes[seen[place] != hashes]
-            seen = np.sort(np.concatenate([seen, hashes]))
-        else:
-            seen = hashes
-        for k in range(0, len(hashes), 1 << 14):
-            for lane in range(4):
-                mixed = hashes[k : k + (1 << 14)] * _MIX[lane]
-                mixed ^= mixed >> np.uint64(31)
-                mixed *= np.uint64(0xD6E8FEB86659FD93)
-                bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                total[64 * lane : 64 * lane + 64] += bits.sum(axis=0, dtype=np.uint32)
-        n += len(hashes)
-    if not n:
-        return np.full(4, digest(b" ".join(last), 42) if last else 0, dtype=np.uint64)
-    return np.packbits(2 * total > n, bitorder="little").view(np.uint64)
+        seen = np.union1d(seen, hashes) if len(seen) else hashes
+    if not len(seen) and last:
+        return np.array([digest(b" ".join(last), 42)], dtype=np.uint64)
+    return seen
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """Four 64-bit words: SimHash over 256 bits of the text's distinct shingles (a text of one shingle: its hash, four times)."""
+    seen = shingle_set(text, words)
+    if len(seen) < 2:
+        return np.full(4, seen[0] if len(seen) else 0, dtype=np.uint64)
+    total = np.zeros(256, dtype=np.int64)
+    for k in range(0, len(seen), 1 << 14):
+        for lane in range(4):
+            mixed = seen[k : k + (1 << 14)] * _MIX[lane]
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[64 * lane : 64 * lane + 64] += bits.sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * total > len(seen), bitorder="little").view(np.uint64)
 
 
 def table_masks(tables: int, bits: int, seed: int = 5) -> list[list[int]]:
@@ -299,15 +300,36 @@ def _sampled(fps: np.ndarray, mask: list[int]) -> np.ndarray:
     return key
 
 
-def wide_stars(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (id, smallest linked row's id) of whole buckets of wide fingerprints (rows sorted by key), every pair compared."""
-    root = _roots(len(ids), _near_pairs(keys, fps, radius))
-    moved = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[moved], ids[root[moved]]
+def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs out of ``pairs`` that join all rows which ``pairs`` joins: fewer than ``n`` of them."""
+    label = np.arange(n)
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for a, b in pairs:
+        while True:
+            open_ = label[a] != label[b]
+            if not open_.any():
+                break
+            a, b = a[open_], b[open_]
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            order = np.lexsort((low, high))
+            first = order[np.r_[True, np.diff(high[order]) > 0]]
+            left.append(a[first]), right.append(b[first])
+            label[high[first]] = low[first]
+            while True:
+                jumped = label[label]
+                if (jumped == label).all():
+                    break
+                label = jumped
+    return np.concatenate(left), np.concatenate(right)
+
+
+def wide_forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within the radius that join all such pairs of whole buckets (rows sorted by key, every pair compared)."""
+    return _forest(len(fps), _near_pairs(keys, fps, radius))
 
 
 def _dealt(classes: DataFrame, masks: list[list[int]], split_at: int) -> DataFrame:
-    """(key, fp, w0, w1, w2, w3), sorted by key in its partition: each fingerprint in its buckets.
+    """(key, fp, w0, w1, w2, w3): each fingerprint in its buckets.
 
     A bucket above ``split_at`` members is dealt into blocks by digest and becomes one bucket per pair of blocks, so that
     each two of its members still meet, in tasks of their own. The keys have room for 4,096 blocks of a bucket.
@@ -337,33 +359,80 @@ def _dealt(classes: DataFrame, masks: list[list[int]], split_at: int) -> DataFra
     other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine)
     cut = F.transform(other, lambda j: F.col("key").bitwiseOR(F.shiftleft((F.least(mine, j) * 4096 + F.greatest(mine, j)).cast("long"), 16)))
     rows = classes.mapInArrow(deal, "key long, fp long, w0 long, w1 long, w2 long, w3 long").join(large, F.col("key") == F.col("large"), "left")
-    rows = rows.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(cut)).alias("key"), "fp", *parts)
-    return rows.repartition("key").sortWithinPartitions("key", "fp")
+    return rows.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(cut)).alias("key"), "fp", *parts)
 
 
-def _wide_labels(docs: DataFrame, words: int, radius: int, tables: int, bits: int, split_at: int = 2048) -> DataFrame:
-    """(doc_id, uid, fp, root) of every row: fp names the wide fingerprint, root the group."""
+def _wide_labels(docs: DataFrame, words: int, radius: int, tables: int, bits: int, split_at: int = 2048, least: float = 0.8) -> DataFrame:
+    """(doc_id, uid, fp, root) of every row: fp names the wide fingerprint, root the group.
+
+    Fingerprints within the radius are only candidates: two texts link where their shingle sets are similar at ``least``.
+    """
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.stack([wide_fingerprint(x.as_py(), words) for x in batch.column(2)]).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(4))], ["doc_id", "uid", "w0", "w1", "w2", "w3"])
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ids, *columns in _sorted_buckets(batches):
-            a, b = wide_stars(keys, ids, np.stack(columns, axis=1).view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a, b = wide_forest(keys, np.stack(columns, axis=1).view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(ids[a]), pa.array(ids[b])], ["key", "a", "b"])
+            release_memory()
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, *columns, roots in _sorted_buckets(batches):
+            for a, b in _near_pairs(keys, np.stack(columns, axis=1).view(np.uint64), radius):
+                apart = roots[a] != roots[b]
+                if apart.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[apart]]), pa.array(ids[b[apart]])], ["a", "b"])
+            release_memory()
 
     parts = ["w0", "w1", "w2", "w3"]
     source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
     rows = materialise(map_batches(source, "doc_id long, uid long, w0 long, w1 long, w2 long, w3 long", sketch).withColumn("fp", F.xxhash64(*parts)), "wide-fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(*[F.first(w).alias(w) for w in parts]).select("fp", *parts), "wide-classes")
-    dealt = _dealt(classes, table_masks(tables, bits), split_at)
-    links = connect(dealt.mapInArrow(stars, "a long, b long"), "wide-stars")
+    classes = materialise(rows.groupBy("fp").agg(*[F.first(w).alias(w) for w in parts], F.min("uid").alias("uid")), "wide-classes")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "text")
+    dealt = _dealt(classes.select("fp", *parts), table_masks(tables, bits), split_at)
+    found = materialise(dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(forest, "key long, a long, b long"), "wide-forest")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    sure = materialise(_similar(found.select(*pair).distinct(), classes, texts, words, least), "wide-sure")
+    links = connect(sure, "wide-stars")
+    # A forest of which every pair holds leaves nothing open in its bucket; of the other buckets, all pairs that are still apart are checked.
+    open_ = found.select("key", *pair).join(sure, ["a", "b"], "left_anti").select(F.col("key").alias("open")).distinct()
+    open_ = materialise(open_, "wide-open")
+    if not open_.isEmpty():
+        roots = links.select("node", "root")
+        again = dealt.join(open_, F.col("key") == F.col("open"), "left_semi").join(roots, F.col("fp") == F.col("node"), "left")
+        again = again.select("key", "fp", *parts, F.coalesce("root", "fp").alias("root")).repartition("key").sortWithinPartitions("key", "fp")
+        more = materialise(again.mapInArrow(rest, "a long, b long").select(*pair).distinct(), "wide-rest")
+        links = connect(sure.union(_similar(more, classes, texts, words, least)), "wide-stars")
     # Written out, so that the join below meets plain exchanges and adaptive execution can split a fingerprint with many copies.
     links = materialise(links, "wide-links")
     return rows.join(links, F.col("fp") == F.col("node"), "left").select("doc_id", "uid", "fp", F.coalesce("root", "fp").alias("root"))
 
 
+def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts' shingle sets have a Jaccard similarity of at least ``least``."""
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                sets = [shingle_set(x.as_py(), words).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+            release_memory()
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct()
+    chosen = materialise(classes.join(needed, F.col("fp") == F.col("needed"), "left_semi").select("fp", F.col("uid").alias("chosen")), "wide-chosen")
+    # Rows repeated in full share their uid; one of them is enough.
+    one = texts.join(chosen, F.col("uid") == F.col("chosen")).groupBy("fp").agg(F.first("text").alias("text"))
+    sets = materialise(one.select("fp", "text").mapInArrow(shingle, "fp long, shingles array<bigint>"), "wide-shingles")
+    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
 def connect(edges: DataFrame, label: str = "stars") -> DataFrame:
     """(node, root): smallest node of each component of the graph (a, b), for all nodes that have an edge.
 
@@ -403,13 +472,13 @@ def near_components(docs: DataFrame) -> DataFrame:
     return _labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 44, tables: int = 44, bits: int = 16) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 60, tables: int = 64, bits: int = 12) -> DataFrame:
     """One row of ``docs`` per near-duplicate group, the one with the smallest id (null ids last), with all its columns.
 
-    Groups join texts whose 64-bit fingerprints link, and texts whose ``words``-word shingles are similar at 0.8 or more, as
-    256-bit fingerprints see it: at a Jaccard similarity of 0.8 they differ in 38 bits on average, so ``radius`` 44 finds
-    85 % of the pairs at exactly 0.8 and nearly all above 0.87, while 0.5 lies at 68 bits. Buckets are named by ``tables``
-    samples of ``bits`` bits (97 % of the pairs at 0.8 meet in one). Rows repeated in full count as one.
+    Groups join texts whose 64-bit fingerprints link, and texts whose sets of ``words``-word shingles have a Jaccard similarity
+    of at least 0.8. Candidates for the latter are 256-bit fingerprints within ``radius`` that meet in one of ``tables`` samples of
+    ``bits`` bits; at exactly 0.8 they differ in 39 bits on average, so an expected 99.8 % of the pairs are candidates. Each
+    candidate's similarity is computed from the shingles before it links. Rows repeated in full count as one.
     """
     wide = _wide_labels(docs, words, radius, tables, bits).select("uid", F.col("root").alias("group"))
     narrow = _labelled(docs).select("doc_id", "uid", F.col("root").alias("near"))

@@ -334,6 +334,55 @@ def test_large_buckets_lose_no_pair(spark):
         assert root[2 * i] == root[2 * i + 1] or len(a & b) / len(a | b) < 0.8
 
 
+def _jaccards(rows):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    return lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+
+
+def test_near_dedup_joins_exactly_the_similar_pairs(spark):
+    """Pairs at similarities from 0.6 to 0.95: those at 0.8 or more lose their copy, the others keep both."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(400):
+        words = rng.choices(vocabulary, k=200)
+        other = list(words)
+        for k in rng.sample(range(200), 1 + i % 10):
+            other[k] = rng.choice(vocabulary)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    similar = _jaccards(rows)
+    near = [similar(2 * i, 2 * i + 1) >= 0.8 for i in range(400)]
+    assert 100 < sum(near) < 300
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    narrow = [(fps[2 * i] ^ fps[2 * i + 1]).bit_count() <= 3 for i in range(400)]
+    assert sum(narrow) < 100
+    assert [2 * i + 1 not in kept for i in range(400)] == [x or y for x, y in zip(near, narrow)]
+
+
+def test_candidates_that_fail_hide_no_link(spark):
+    """Everything is a candidate in one bucket, so nearly every pair of the first forest fails; the groups are brute force's."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(20):
+        words = rng.choices([f"w{k}" for k in range(500)], k=120)
+        for j in range(8):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for k in rng.sample(range(120), rng.choice([1, 2, 4])):
+                words[k] = f"x{i}-{j}-{k}"
+    similar = _jaccards(rows)
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(i, j) >= 0.8 and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    root = {r.doc_id: r.root for r in simhash._wide_labels(spark.createDataFrame(rows, "doc_id long, text string"), 5, 256, 1, 0).collect()}
+    assert 20 < len(set(want)) < len(rows)
+    assert [[root[i] == root[j] for j in range(len(rows))] for i in range(len(rows))] == [[x == y for y in want] for x in want]
+
+
 def test_wide_fingerprint_of_slices(monkeypatch):
     text = " ".join(random.Random(1).choices(["alpha", "beta", "gamma", "d", "e"], k=3000))
     whole = simhash.wide_fingerprint(text).tolist()
