@@ -5,12 +5,14 @@ become typed placeholders where a question's parameters sit: ``<num>`` for numbe
 and ``<name>`` for words written with a capital inside a sentence or listed as given names; the replaced words are kept
 beside the template as slots. Every window of ``width`` template words of the benchmark is hashed; document windows meet
 them by an equi-join on the hash. A re-parameterised question ("Tom has 3 apples" → "Ann has 7 apples") has the same
-windows, and its slots must be consistent: over the matched part, the same slot value of the item always maps to one
-and the same value of the document and no two item values fall together.
-
-Windows of one alignment (document position minus item position) must be consistent among themselves. An item is found in
-a document where its consistent alignments together hold at least ``share`` of its windows, so a word put in or left
-out does not hide it. Items shorter than a window form one window of their whole length; items
+windows, and its names and units must be consistent: the same value of the item always maps to one and the same value
+of the document. Numbers may change freely (two of them may become equal, and equal ones different), as long as at least
+half of the matched words are ordinary ones; tables of numbers must map one to one.
+
+Windows of one alignment (document position minus item position) are judged together; where they are not consistent, only
+windows copied word for word count. An item is found in a document where its alignments together hold at least ``share``
+of its windows, so a word put in or left out does not hide it, or where in one consistent alignment at least ``share`` of
+its words stand in their places, so a few replaced words do not hide it either. Items shorter than a window form one window of their whole length; items
 under ``least_words`` words are not evidence of anything and are not searched for.
 
 Scale: only windows whose hash is in the benchmark leave the scan stage; the benchmark's windows are broadcast while there are at
@@ -88,14 +90,31 @@ def _windows(template: F.Column, width: int) -> F.Column:
     )
 
 
-def benchmark_windows(benchmark: DataFrame, width: int, least_words: int = 4) -> DataFrame:
-    """(item_id, item_at, hash, item_slots, n_windows, item_words) of every window of the benchmark."""
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_uid, template, slots) of every item; item_uid is a digest of id and text, a slot is "" for an ordinary word."""
     items = _with_template(_marked(benchmark.select("item_id", "text"), "text"))
     typed = F.transform("words", _template_word)
     slots = F.zip_with(typed, _plain(F.col("words")), lambda t, w: F.when(t.startswith("<"), w).otherwise(F.lit("")))
-    items = items.withColumn("slots", slots).withColumn("hashes", _windows(F.col("template"), width)).withColumn("n_windows", F.size("hashes"))
-    rows = items.select("item_id", "slots", "n_windows", F.least(F.size("template"), F.lit(width)).alias("item_width"), F.posexplode("hashes").alias("item_at", "hash"))
-    return rows.where(F.col("item_width") >= least_words).select("item_id", "item_at", "hash", "n_windows", "item_width", F.slice("slots", F.col("item_at") + 1, width).alias("item_slots")).distinct()
+    return items.select("item_id", F.xxhash64("item_id", "text").alias("item_uid"), "template", slots.alias("slots"))
+
+
+def _single(pairs: F.Column, side: str) -> F.Column:
+    """Whether each value of a side of distinct pairs occurs once."""
+    return F.size(F.array_distinct(F.transform(pairs, lambda x: x[side]))) == F.size(pairs)
+
+
+def _consistent(pairs: F.Column, numbers_free: F.Column) -> F.Column:
+    """Whether distinct slot pairs (a of the item, b of the document) can be one item with other parameters."""
+    numbers = F.filter(pairs, lambda x: x["a"].rlike(r"^\p{N}"))
+    others = F.filter(pairs, lambda x: ~x["a"].rlike(r"^\p{N}"))
+    return _single(others, "a") & (numbers_free | (_single(numbers, "a") & _single(numbers, "b")))
+
+
+def benchmark_windows(benchmark: DataFrame, width: int, least_words: int = 4) -> DataFrame:
+    """(item_id, item_uid, item_at, hash, item_slots, n_windows, n_words, item_width) of every window of the benchmark."""
+    items = benchmark_items(benchmark).withColumn("n_words", F.size("template")).withColumn("hashes", _windows(F.col("template"), width)).withColumn("n_windows", F.size("hashes"))
+    rows = items.select("item_id", "item_uid", "slots", "n_windows", "n_words", F.least(F.size("template"), F.lit(width)).alias("item_width"), F.posexplode("hashes").alias("item_at", "hash"))
+    return rows.where(F.col("item_width") >= least_words).select("item_id", "item_uid", "item_at", "hash", "n_windows", "n_words", "item_width", F.slice("slots", F.col("item_at") + 1, width).alias("item_slots")).distinct()
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: float, broadcast_windows: int) -> DataFrame:
@@ -115,24 +134,55 @@ def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: float, broa
         at = rows.select("doc_id", "uid", "words", F.inline(hashes))
         own = known.where(F.col("item_width") == w).withColumnRenamed("hash", "known_hash")
         hit = at.join(hint(own), F.col("hash") == F.col("known_hash"))
-        found.append(hit.select("doc_id", "uid", "item_id", "n_windows", "item_at", "doc_at", "item_slots", _plain(F.slice("words", F.col("doc_at") + 1, w)).alias("doc_slots")))
+        start = F.greatest(F.col("doc_at") - F.col("item_at"), F.lit(0))
+        beside = F.slice("words", start + 1, F.col("doc_at") - F.col("item_at") + F.col("n_words") - start)
+        doc_slots = _plain(F.slice("words", F.col("doc_at") + 1, w))
+        found.append(hit.select("doc_id", "uid", "item_id", "item_uid", "n_windows", "n_words", "item_at", "doc_at", "item_slots", doc_slots.alias("doc_slots"), beside.alias("beside")))
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
     pairs = F.filter(F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != "")
     hits = hits.withColumn("pairs", pairs).withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    key = ["doc_id", "uid", "item_id", "shift"]
-    lined = hits.groupBy(*key).agg(F.collect_set("item_at").alias("places"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    a = F.transform("pairs", lambda x: x["a"])
-    b = F.transform("pairs", lambda x: x["b"])
-    consistent = lined.where((F.size(F.array_distinct(a)) == F.size("pairs")) & (F.size(F.array_distinct(b)) == F.size("pairs")))
-    joined = consistent.groupBy("doc_id", "uid", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_matched"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    key = ["doc_id", "uid", "item_id", "item_uid", "shift"]
+    copied = ~F.exists("pairs", lambda x: x["a"] != x["b"])
+    lined = hits.groupBy(*key).agg(
+        F.collect_set("item_at").alias("places"),
+        F.collect_set(F.when(copied, F.col("item_at"))).alias("copied"),
+        F.max("n_windows").alias("n_windows"),
+        F.max("n_words").alias("n_words"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.first("beside").alias("beside"),
+    )
+    # The whole item beside the document's words at the same alignment, also outside the windows that met.
+    items = benchmark_items(benchmark).select(F.col("item_uid").alias("known_uid"), "template", "slots").dropDuplicates(["known_uid"])
+    lined = lined.join(hint(items), F.col("item_uid") == F.col("known_uid"))
+    before = F.greatest(-F.col("shift"), F.lit(0))
+    own = F.arrays_zip(F.slice("template", before + 1, 1 << 30).alias("t"), F.slice("slots", before + 1, 1 << 30).alias("a"))
+    theirs = F.arrays_zip(F.transform("beside", lambda w: F.xxhash64(_template_word(w))).alias("u"), _plain(F.col("beside")).alias("b"))
+    same = F.filter(F.zip_with(own, theirs, lambda x, y: F.struct(x["t"].alias("t"), x["a"].alias("a"), y["u"].alias("u"), y["b"].alias("b"))), lambda x: x["t"] == x["u"])
+    lined = lined.withColumn("same", F.transform(same, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    lined = lined.withColumn("all_pairs", F.array_distinct(F.filter("same", lambda x: x["a"] != "")))
+    free = 2 * F.size(F.filter("same", lambda x: x["a"] == "")) >= F.size("same")
+    lined = lined.withColumn("ok", _consistent(F.col("pairs"), free)).withColumn("all_ok", _consistent(F.col("all_pairs"), free))
+    judged = lined.select(
+        "doc_id",
+        "uid",
+        "item_id",
+        "n_windows",
+        F.when(F.col("ok"), F.col("places")).otherwise(F.col("copied")).alias("places"),
+        F.when(F.col("ok"), F.col("pairs")).otherwise(F.filter("pairs", lambda x: x["a"] == x["b"])).alias("pairs"),
+        (F.col("ok") & F.col("all_ok") & (F.size("same") >= F.col("n_words") * share)).alias("in_place"),
+    )
+    joined = judged.where(F.size("places") > 0).groupBy("doc_id", "uid", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_matched"),
+        F.max("n_windows").alias("n_windows"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.max("in_place").alias("in_place"),
     )
-    return joined.where(F.col("n_matched") >= F.col("n_windows") * share)
+    return joined.where((F.col("n_matched") >= F.col("n_windows") * share) | F.col("in_place"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, n_slots, changed) of every item found in a document."""
     changed = F.exists("pairs", lambda x: x["a"] != x["b"])
     best = F.max(F.struct("n_matched", (-F.size("pairs")).alias("fewer"), "n_windows", changed.alias("changed"))).alias("best")
@@ -146,7 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found, with all their columns."""
     bad = _found(docs, benchmark, width, share, broadcast_windows).select(F.col("doc_id").alias("__bad_id"), F.col("uid").alias("__bad_uid")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_uid")), "left_anti")

@@ -522,6 +522,33 @@ def test_templates(spark):
     assert {r.doc_id for r in decontam.drop_contaminated(d, b).collect()} == {2, 5}
 
 
+def test_parameters_that_clash_and_replaced_words(spark):
+    rng = random.Random(4)
+    passage = "The keeper of the old mill counted 12 sacks of flour and 30 sacks of oats before the rain came down from the hills and the river rose over the road"
+    bench = [
+        (1, "Tom has 3 apples and buys 5 more apples at the market. How many apples does Tom have now?"),
+        (2, "A shop sells 2 boxes of 2 pens each to every child in the class. How many pens are sold?"),
+        (3, passage),
+        (4, " ".join(f"word{chr(97 + i)}" for i in range(24))),
+        (5, "1 2 3 4 5 6 7 8 9 10 11 12"),
+    ]
+    rows = [
+        (1, "Anna has 4 apples and buys 4 more apples at the market. How many apples does Anna have now?"),
+        (2, "A shop sells 3 boxes of 5 pens each to every child in the class. How many pens are sold?"),
+        (3, passage.replace("30", "12")),
+        (5, "21 21 21 22 22 22 23 23 23 24 24 24"),
+    ]
+    for k in range(20):
+        words = bench[3][1].split()
+        for at in rng.sample(range(24), 3):
+            words[at] = "other"
+        rows.append((100 + k, "So then. " + " ".join(words)))
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3)} | {(100 + k, 4) for k in range(20)}
+
+
 def test_decontamination_is_native(spark):
     plan = decontam.op9_decontamination(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
