@@ -65,15 +65,17 @@ def id_bucket(column: str, modulus: int) -> F.Column:
 
 
 def hash_sample(df: DataFrame, key: F.Column, most: int, salt: str) -> DataFrame:
-    """About ``most`` rows, chosen by a seeded digest of ``key``: all rows while there are no more than that.
+    """The rows of about ``most`` distinct keys, chosen by a seeded digest: all rows while there are no more keys than that.
 
-    The rows are counted first and the digest's bound follows from the count, so nothing but chosen rows is ever moved;
-    the sample's size stays within a few square roots of ``most``.
+    The distinct keys are counted first (eight bytes each) and the digest's bound follows from the count, so nothing but chosen
+    rows is ever moved, and a key repeated any number of times counts once; the sample's size stays within a few
+    square roots of ``most``.
     """
-    n = df.count()
+    drawn = F.xxhash64(key.cast("string"), F.lit(salt))
+    n = df.select(drawn.alias("drawn")).distinct().count()
     if n <= most:
         return df
-    return df.where(F.pmod(F.xxhash64(key.cast("string"), F.lit(salt)), F.lit(1 << 32)) < int(most / n * (1 << 32)))
+    return df.where(F.pmod(drawn, F.lit(1 << 32)) < int(most / n * (1 << 32)))
 
 
 def release_memory() -> None:

@@ -3,9 +3,10 @@
 A text is the average of the embeddings of its hashed byte 3- and 4-grams (lower-cased UTF-8, blanks included, so word
 starts and ends are subwords too); a linear softmax on that average gives the language. Embeddings and softmax are trained
 together by stochastic gradient descent in numpy on the driver, from a bounded, documented sample of labelled rows
-(about ``max_rows`` rows of at most ``max_chars`` characters, by a digest of the id). A fifth of the sample is held back to
-fit a temperature and the rejection threshold: the lowest score above which the accepted texts are right in at least
-``precision`` of the cases.
+(about ``max_rows`` distinct texts of at most ``max_chars`` characters, by a digest of the text). A fifth of the sample is held
+back to fit a temperature and the rejection threshold: the lowest score from which on the accepted texts are right in at least
+``precision`` of the cases. Where no score reaches that, or under 20 texts leave nothing to hold back, everything is rejected:
+the language is still named, but marked as not accepted.
 
 As average and softmax are both linear, prediction needs only the product of the two tables: one row of logits per hash
 bucket. Whole texts are read, in slices, so memory does not grow with a text's length.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import hash_sample, id_bucket, map_batches, read_table
 
 UNKNOWN = "und"
+REJECT_ALL = 2.0
 _SLICE = 1 << 18
 
 
@@ -64,6 +66,15 @@ def bucket_counts(text: str, buckets: int) -> np.ndarray:
     return counts
 
 
+def rejection_threshold(scores: np.ndarray, right: np.ndarray, precision: float) -> float:
+    """The lowest occurring score from which on at least ``precision`` of the rows are right; above 1 if there is none."""
+    levels, place = np.unique(scores, return_inverse=True)
+    n = np.cumsum(np.bincount(place, minlength=len(levels))[::-1])[::-1]
+    good = np.cumsum(np.bincount(place, right, len(levels))[::-1])[::-1]
+    enough = np.flatnonzero(good >= precision * n)
+    return float(levels[enough[0]]) if len(enough) else REJECT_ALL
+
+
 def train(
     texts: list[str],
     labels: list[str],
@@ -107,26 +118,21 @@ def train(
     logits = table @ weights
     raw = np.array([share @ logits[used] + bias for used, share in bags]) if bags else np.zeros((0, len(languages)))
     y = np.array([place[x] for x in labels], dtype=int)
-    judge = np.array(sorted(held), dtype=int) if held else np.arange(len(texts))
-    grid = np.geomspace(0.05, 5, 40)
-    loss = [-np.log(np.maximum(softmax(raw[judge] / t)[np.arange(len(judge)), y[judge]], 1e-12)).mean() for t in grid]
-    temperature = float(grid[int(np.argmin(loss))])
-    scores = softmax(raw[judge] / temperature)
-    right = scores.argmax(axis=1) == y[judge]
-    top = scores.max(axis=1)
-    threshold = 0.0
-    by = np.argsort(-top, kind="stable")
-    good = np.cumsum(right[by]) / np.arange(1, len(by) + 1) >= precision
-    if good.any() and not good.all():
-        threshold = float(top[by[np.flatnonzero(good)[-1]]])
+    judge = np.array(sorted(held), dtype=int)
+    temperature, threshold = 1.0, REJECT_ALL
+    if len(judge):
+        grid = np.geomspace(0.05, 5, 40)
+        loss = [-np.log(np.maximum(softmax(raw[judge] / t)[np.arange(len(judge)), y[judge]], 1e-12)).mean() for t in grid]
+        temperature = float(grid[int(np.argmin(loss))])
+        scores = softmax(raw[judge] / temperature)
+        threshold = rejection_threshold(scores.max(axis=1), scores.argmax(axis=1) == y[judge], precision)
     return LanguageModel(languages, logits.astype(np.float64), bias, temperature, threshold)
 
 
 def training_sample(labelled: DataFrame, max_rows: int = 3000, max_chars: int = 20000) -> tuple[list[str], list[str]]:
-    """About ``max_rows`` labelled texts of at most ``max_chars`` characters, by a digest of their id."""
-    fit = labelled.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-    drawn = hash_sample(fit.select("doc_id", "text", "lang"), F.xxhash64("doc_id", "text"), max_rows, "language")
-    rows = drawn.distinct().select("text", "lang").collect()  # a row repeated any number of times comes once
+    """About ``max_rows`` distinct labelled texts of at most ``max_chars`` characters, by a digest of the text."""
+    fit = labelled.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (F.length("text") <= max_chars)).select("text", "lang")
+    rows = hash_sample(fit, F.xxhash64("text"), max_rows, "language").distinct().collect()  # copies come once
     rows.sort()
     return [r.text for r in rows], [r.lang for r in rows]
 
