@@ -2,14 +2,19 @@
 
 The cache is a Parquet table (content digest, tokenizer-version digest, n_tokens) in a folder that Spark can read. Each
 run joins the distinct content digests of its input to the cache entries of the same tokenizer version, encodes only the
-distinct contents that are missing, appends their counts, and then looks every row's digest up in the cache. Contents
-are normalised before the digest: null becomes the empty text. The tokenizer's version digest is the sha256 of its file,
-so another vocabulary never meets old counts.
+distinct contents that are missing, each of them once, appends their counts, and then looks every row's digest up in the
+cache. Contents are normalised before the digest: null becomes the empty text. The tokenizer's version digest is the sha256
+of its file, so another vocabulary never meets old counts; the file travels to the executors with the job and its digest is
+checked there.
+
+Missing digests are found among digests alone. While there are at most ``broadcast_digests`` of them (counted first) the scan
+picks their texts where it stands; beyond that texts and digests meet by a join on the digest. Either way a task first drops
+the copies that it holds itself, and what is left of a content is merged behind one exchange.
 
 Appending is idempotent: a repeated or concurrent run may append the same pair twice, and reading takes one of them.
 
-Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows each get their row; whole texts are
-encoded, without truncation, padding, begin or end tokens; strings of special tokens inside a text are treated as
+Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows each get their row, also without an id; whole
+texts are encoded, without truncation, padding, begin or end tokens; strings of special tokens inside a text are treated as
 the library does by default; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -18,13 +23,16 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_importable
 from .common import byte_groups, map_batches, materialise, read_table, shared_dir
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
@@ -32,8 +40,11 @@ _BATCH_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
-    """texts → token counts, for the library that the file belongs to."""
+def _encoder(name: str, version: str):
+    """texts → token counts, for the library that the job's file belongs to."""
+    path = SparkFiles.get(name)
+    if version_digest(path) != version:
+        raise ValueError(f"{name} on this machine is not the tokenizer that the job was started with")
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):
         import sentencepiece
@@ -63,17 +74,38 @@ def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
     return table.where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def encode_misses(docs: DataFrame, cache_path: str, tokenizer_path: str) -> DataFrame:
-    """(digest, version, n_tokens) of the distinct contents that the cache lacks. ``docs``: doc_id, content."""
+def _local_copies_dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, content) without the repeats inside the task, whose digests fit in memory as its input is one split."""
+    seen: set[str] = set()
+    for batch in batches:
+        keep = []
+        for digest in batch.column(0).to_pylist():
+            keep.append(digest not in seen)
+            seen.add(digest)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def encode_misses(docs: DataFrame, cache_path: str, tokenizer_path: str, broadcast_digests: int = 100_000) -> DataFrame:
+    """(digest, version, n_tokens) of the distinct contents that the cache lacks. ``docs``: content."""
+    spark = docs.sparkSession
+    ensure_importable(spark)
     version = version_digest(tokenizer_path)
-    rows = docs.withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
-    first = rows.select("doc_id", "digest").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    missing = first.join(read_cache(docs.sparkSession, cache_path, version).select("digest"), "digest", "left_anti")
-    wanted = missing.select(F.col("digest").alias("want"), "first_id").hint("shuffle_hash")
-    texts = rows.join(wanted, (F.col("digest") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    spark.sparkContext.addFile(tokenizer_path)
+    name = os.path.basename(tokenizer_path)
+    rows = docs.select(F.sha2(F.col("content").cast("binary"), 256).alias("digest"), "content")
+    missing = rows.select("digest").distinct().join(read_cache(spark, cache_path, version).select("digest"), "digest", "left_anti")
+    missing = materialise(missing.select(F.col("digest").alias("want")), "missing-digests")
+    few = missing.count() <= broadcast_digests
+    if few:
+        rows = rows.join(F.broadcast(missing), F.col("digest") == F.col("want"), "left_semi")
+    texts = rows.mapInArrow(_local_copies_dropped, "digest string, content string")
+    if not few:
+        # A merge join leaves the rows sorted by digest, as the aggregation below needs them.
+        texts = texts.join(missing.hint("merge"), F.col("digest") == F.col("want"), "left_semi")
+    texts = texts.groupBy("digest").agg(F.first("content").alias("content"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = _encoder(tokenizer_path)
+        encode = _encoder(name, version)
         digests, contents = batch.column(0), batch.column(1)
         sizes = pa.compute.binary_length(contents).to_pylist()
         counts: list[int] = []
@@ -88,7 +120,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs`` (doc_id, text); the cache gains what it lacked."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
-    encode_misses(rows, cache_path, tokenizer_path).write.mode("append").parquet(cache_path)
+    encode_misses(rows.select("content"), cache_path, tokenizer_path).write.mode("append").parquet(cache_path)
     # Written out, so that the join below meets plain exchanges and adaptive execution can split a content with many copies.
     known = materialise(read_cache(spark, cache_path, version_digest(tokenizer_path)), "token-counts")
     keyed = rows.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
@@ -96,9 +128,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Counts of the 50k byte-level vocabulary for every document, from a cache that starts empty."""
+    """Counts of the 50k byte-level vocabulary for every document.
+
+    The cache is the folder that the setting ``spark.matchloom.tokenCache`` names; where it is unset, a new one that starts empty.
+    """
     import public_tokenizers
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    cache = f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    cache = spark.conf.get("spark.matchloom.tokenCache", None) or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), cache)
