@@ -6,14 +6,17 @@ An archive is a byte stream. As executors share no local folders, the stream is
 The reader (``RecordReader``) takes the stream in pieces of any size: it decompresses member by member with one
 incremental zlib object, parses the header block, frames the block by Content-Length, and hashes block and payload as the
 bytes pass, so that no record need fit in memory unless its payload is asked for. Digests are compared with those in
-the header.
+the header, as far as it states any. Records of every type are read: where the Content-Type is ``application/http``, the
+payload is what follows the HTTP header, elsewhere (warcinfo, metadata, resource, plain responses) the whole block. A member that
+cannot be decompressed or framed is reported as a damaged record; reading goes on at the next member.
 
 Among pages with equal payloads the one with the smallest page_id is written as a response and the others as revisit
 records (identical-payload-digest), which carry the original HTTP header block and refer to the response.
 
 Defined cases: null html is the empty payload; null url is written as ``about:blank``; a null page_id is never chosen as
 the response while another page has the same payload; rows repeated in full are all of the kind of the first; payloads
-shorter than ``least_bytes`` are all responses; an empty table writes no archive and gives an empty result.
+shorter than ``least_bytes`` are all responses; an empty table writes no archive and gives an empty result; an archive that ends
+inside a record gives a damaged record for it.
 """
 
 from __future__ import annotations
@@ -81,6 +84,11 @@ class Record:
     payload_digest: str = ""
     verified: bool = False
     payload: bytes | None = None
+    damage: str | None = None
+
+
+_MAGIC = b"\x1f\x8b\x08"
+_LONGEST_HEAD = 1 << 20
 
 
 def _fields(block: bytes) -> dict[str, str]:
@@ -88,55 +96,105 @@ def _fields(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if k}
 
 
+def _sha1_text(value: bytes) -> str:
+    return "sha1:" + base64.b32encode(value).decode()
+
+
 class RecordReader:
-    """Feed pieces of an archive, get its records in order; ``close`` raises if the stream ends inside a record."""
+    """Feed pieces of an archive, get its records in order; ``close`` reports a stream that ends inside a record."""
 
     def __init__(self, with_payload: bool = False) -> None:
         self.with_payload = with_payload
         self.zip = zlib.decompressobj(31)
         self.fresh = True
+        self.lost = False  # looking for the next member behind damage
+        self.again = False
+        self.tail = b""
         self._reset()
 
     def _reset(self) -> None:
         self.buffer = b""
         self.record: Record | None = None
         self.left = 0
-        self.in_http = True
+        self.in_http = False
         self.block_hash, self.payload_hash = hashlib.sha1(), hashlib.sha1()
         self.kept: list[bytes] = []
         self.size = 0
+        self.bad: str | None = None
 
     def feed(self, data: bytes) -> Iterator[Record]:
         while data:
+            if self.lost:
+                data = self._found(data)
+                continue
             self.fresh = False
-            plain = self.zip.decompress(data)
-            self._take(plain)
-            if not self.zip.eof:
-                return
-            yield self._finish()
+            try:
+                plain = self.zip.decompress(data)
+            except zlib.error as error:
+                # Bytes that only look like a member's beginning end here again and again: one report until a record's header is read.
+                if self.record is not None or not self.again:
+                    yield self._damaged(f"not a gzip member: {error}")
+                self._reset()
+                self.lost = self.fresh = self.again = True
+                data = data[1:] if data.startswith(_MAGIC) else data
+                continue
+            try:
+                if self.bad is None:
+                    self._take(plain)
+                if not self.zip.eof:
+                    return
+                done = self._finish() if self.bad is None else self._damaged(self.bad)
+            except ValueError as error:
+                self.bad = str(error)
+                if not self.zip.eof:
+                    return  # the rest of the member is passed over
+                done = self._damaged(self.bad)
             data = self.zip.unused_data
             self.zip = zlib.decompressobj(31)
-            self.fresh = True
+            self.fresh, self.again = True, False
+            yield done
 
-    def close(self) -> None:
+    def close(self) -> Iterator[Record]:
         if not self.fresh:
-            raise ValueError("the archive ends inside a record")
+            self.fresh = True
+            yield self._damaged("the archive ends inside a record")
+
+    def _found(self, data: bytes) -> bytes:
+        """What follows from the next member's first bytes on (nothing yet, if there is none)."""
+        data = self.tail + data
+        at = data.find(_MAGIC)
+        if at < 0:
+            self.tail = data[1 - len(_MAGIC) :]
+            return b""
+        self.tail, self.lost = b"", False
+        self.zip = zlib.decompressobj(31)
+        return data[at:]
+
+    def _damaged(self, reason: str) -> Record:
+        headers = self.record.headers if self.record else {}
+        self._reset()
+        return Record(headers, damage=reason)
 
     def _take(self, plain: bytes) -> None:
         self.buffer += plain
         if self.record is None:
             end = self.buffer.find(b"\r\n\r\n")
             if end < 0:
+                if len(self.buffer) > _LONGEST_HEAD or not self.buffer.startswith(b"WARC/"[: len(self.buffer)]):
+                    raise ValueError("not a WARC record")
                 return
             headers = _fields(self.buffer[:end])
-            if not self.buffer.startswith(b"WARC/") or "content-length" not in headers:
+            if not self.buffer.startswith(b"WARC/") or not headers.get("content-length", "").isdigit():
                 raise ValueError("not a WARC record")
             self.record = Record(headers)
             self.left = int(headers["content-length"])
+            self.in_http = headers.get("content-type", "").lower().startswith("application/http")
             self.buffer = self.buffer[end + 4 :]
         if self.left and self.in_http:
-            end = self.buffer.find(b"\r\n\r\n")
+            end = self.buffer.find(b"\r\n\r\n", 0, self.left)
             if end < 0:
+                if len(self.buffer) >= min(self.left, _LONGEST_HEAD):
+                    raise ValueError("an HTTP block without the end of its header")
                 return
             head = self.buffer[: end + 4]
             self.record.http = _fields(head)
@@ -144,7 +202,7 @@ class RecordReader:
             self.left -= len(head)
             self.buffer = self.buffer[end + 4 :]
             self.in_http = False
-        if not self.in_http and self.left:
+        if self.left and not self.in_http:
             piece = self.buffer[: self.left]
             self.block_hash.update(piece)
             self.payload_hash.update(piece)
@@ -158,16 +216,20 @@ class RecordReader:
         record = self.record
         if record is None or self.left or self.buffer != b"\r\n\r\n":
             raise ValueError("a record does not fill its Content-Length")
-        digest = lambda h: "sha1:" + base64.b32encode(h.digest()).decode()
-        stated = record.headers.get("warc-payload-digest", "")
-        record.verified = digest(self.block_hash) == record.headers.get("warc-block-digest")
-        if record.headers.get("warc-type") == "response":
-            record.verified &= digest(self.payload_hash) == stated
-            record.payload_bytes = self.size
-            record.payload = b"".join(self.kept) if self.with_payload else None
-        else:
-            record.payload_bytes = int(record.http.get("content-length", 0))
-        record.payload_digest = stated.removeprefix("sha1:")
+        stated = {k: record.headers.get(f"warc-{k}-digest", "") for k in ("block", "payload")}
+        own = {"block": _sha1_text(self.block_hash.digest()), "payload": _sha1_text(self.payload_hash.digest())}
+        record.payload_bytes = self.size
+        record.payload_digest = own["payload"].removeprefix("sha1:")
+        record.payload = b"".join(self.kept) if self.with_payload else None
+        compared = ["block", "payload"]
+        if record.headers.get("warc-type") == "revisit":
+            # The payload is elsewhere: its size and digest are what the record says of it.
+            compared = ["block"]
+            length = record.http.get("content-length", "")
+            record.payload_bytes = int(length) if length.isdigit() else 0
+            record.payload_digest = stated["payload"].removeprefix("sha1:")
+            record.payload = None
+        record.verified = all(own[k] == stated[k] for k in compared if stated[k].startswith("sha1:"))
         self._reset()
         return record
 
@@ -232,32 +294,36 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_B
 
 
 def read_archives(chunks: DataFrame) -> DataFrame:
-    """One row per record of a table of chunks: page_id, record_type, refers_to, payload_bytes, payload_digest, verified."""
+    """One row per record of a table of chunks: page_id, record_type, refers_to, payload_bytes, payload_digest, verified, damage (null if none)."""
     ensure_importable(chunks.sparkSession)
-    names = ["archive", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "verified"]
-    schema = pa.schema([("archive", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_())])
+    schema = pa.schema([("archive", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("verified", pa.bool_()), ("damage", pa.string())])
 
     def page(value: str | None) -> int | None:
         found = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
         return int(found[1]) if found else None
 
+    def row(name: str, r: Record) -> tuple:
+        h = r.headers
+        return name, page(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), page(h.get("warc-refers-to")), r.payload_bytes, r.payload_digest, r.verified, r.damage
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, archive = RecordReader(), None
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
         for batch in batches:
             rows = []
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if name != archive:
-                    reader.close()
+                    rows += [row(archive, r) for r in reader.close()]
                     reader, archive = RecordReader(), name
-                for r in reader.feed(data.as_py()):
-                    h = r.headers
-                    rows.append((name, page(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), page(h.get("warc-refers-to")), r.payload_bytes, r.payload_digest, r.verified))
+                rows += [row(name, r) for r in reader.feed(data.as_py())]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
-        reader.close()
+                yield table(rows)
+        rows = [row(archive, r) for r in reader.close()]
+        if rows:
+            yield table(rows)
 
     ordered = chunks.repartition("archive").sortWithinPartitions("archive", "seq").select("archive", "data")
-    return ordered.mapInArrow(run, "archive string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean").select(*names)
+    return ordered.mapInArrow(run, "archive string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean, damage string")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
@@ -265,4 +331,4 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(plan_records(read_table(spark, sf_dir, "pages")), path)
     chunks = spark.read.schema("archive string, seq long, data binary").parquet(path)
-    return read_archives(chunks).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    return read_archives(chunks).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", "damage")
