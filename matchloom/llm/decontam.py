@@ -10,15 +10,18 @@ of the document. Numbers may change freely (two of them may become equal, and eq
 half of the matched words are ordinary ones; tables of numbers must map one to one.
 
 Windows of one alignment (document position minus item position) are judged together; where they are not consistent, only
-windows copied word for word count. An item is found in a document where its alignments together hold at least ``share``
-of its windows, so a word put in or left out does not hide it, or where in one consistent alignment at least ``share`` of
-its words stand in their places, so a few replaced words do not hide it either. Items shorter than a window form one window of their whole length; items
-under ``least_words`` words are not evidence of anything and are not searched for.
-
-Scale: only windows whose hash is in the benchmark leave the scan stage; the benchmark's windows are broadcast while there are at
-most ``broadcast_windows`` of them (counted first), and joined by shuffle beyond that. Windows with the same hash in one
-item keep all their places; a common window cannot pile up, as partial sums per (document, item, alignment) are
-taken on both sides of the exchange.
+windows copied word for word count. A window without any ordinary word (a table of numbers) always has to be copied word for
+word. Alignments of an item are then united, the one with most windows first, each further one only if no name or unit of the
+item would map to two values; the windows copied word for word in all alignments are the other set that can count. An item
+is found in a document where one of these sets holds at least ``share`` of its windows, so a word put in or left out does not
+hide it, or where in one consistent alignment at least ``share`` of its words stand in their places, so a few replaced words
+do not hide it either. Items shorter than a window form one window of their whole length; items under ``least_words`` words
+occur in any text by chance and are found only where they are a document's whole text, word for word.
+
+Scale: the corpus is read and cut into words once, for windows of all lengths; only windows whose hash is in the benchmark leave
+the scan stage. The benchmark's windows are broadcast while there are at most ``broadcast_windows`` of them (counted first), and
+joined by shuffle beyond that. Windows with the same hash in one item keep all their places; a common window cannot pile up, as
+partial sums per (document, item, alignment) are taken on both sides of the exchange.
 
 Defined cases: null and empty texts match nothing; null ids are kept as ids; items without words match nothing; rows
 repeated in full give one result row per distinct (doc_id, item_id); empty tables give an empty result; extra columns are
@@ -111,41 +114,45 @@ def _consistent(pairs: F.Column, numbers_free: F.Column) -> F.Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, least_words: int = 4) -> DataFrame:
-    """(item_id, item_uid, item_at, hash, item_slots, n_windows, n_words, item_width) of every window of the benchmark."""
+    """(item_id, item_uid, item_at, hash, item_slots, n_windows, n_words, item_width, bare) of every window of the benchmark; bare: without an ordinary word."""
     items = benchmark_items(benchmark).withColumn("n_words", F.size("template")).withColumn("hashes", _windows(F.col("template"), width)).withColumn("n_windows", F.size("hashes"))
     rows = items.select("item_id", "item_uid", "slots", "n_windows", "n_words", F.least(F.size("template"), F.lit(width)).alias("item_width"), F.posexplode("hashes").alias("item_at", "hash"))
-    return rows.where(F.col("item_width") >= least_words).select("item_id", "item_uid", "item_at", "hash", "n_windows", "n_words", "item_width", F.slice("slots", F.col("item_at") + 1, width).alias("item_slots")).distinct()
+    rows = rows.where(F.col("item_width") >= least_words).withColumn("item_slots", F.slice("slots", F.col("item_at") + 1, width))
+    return rows.select("item_id", "item_uid", "item_at", "hash", "n_windows", "n_words", "item_width", "item_slots", (~F.array_contains("item_slots", "")).alias("bare")).distinct()
+
+
+def _short_items(benchmark: DataFrame, least_words: int) -> DataFrame:
+    """(item_id, known_words) of the items under ``least_words`` words, as lower-cased words."""
+    items = _marked(benchmark.select("item_id", "text"), "text")
+    return items.where(F.size("words").between(1, least_words - 1)).select("item_id", F.array_join(_plain(F.col("words")), " ").alias("known_words")).distinct()
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: float, broadcast_windows: int) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: float, broadcast_windows: int, least_words: int = 4) -> DataFrame:
     """(doc_id, uid, item_id, n_matched, n_windows, pairs) of every item found; uid is a digest of the text."""
-    known = benchmark_windows(benchmark, width)
+    known = benchmark_windows(benchmark, width, least_words)
     sizes = known.agg(F.count("*").alias("n"), F.collect_set("item_width").alias("widths")).first()
     widths = sorted(sizes["widths"]) or [width]
-    small = sizes["n"] <= broadcast_windows
+    short = _short_items(benchmark, least_words)
+    small = sizes["n"] + short.count() <= broadcast_windows
     hint = F.broadcast if small else (lambda x: x)
-    rows = _with_template(_marked(docs.select("doc_id", "text"), "text").select("doc_id", F.xxhash64("text").alias("uid"), "words"))
-    found = []
-    for w in widths:
-        hashes = F.when(
-            F.size("template") >= w,
-            F.transform(F.sequence(F.lit(0), F.size("template") - w), lambda i: F.struct(i.alias("doc_at"), F.xxhash64(F.slice("template", i + 1, w)).alias("hash"))),
-        )
-        at = rows.select("doc_id", "uid", "words", F.inline(hashes))
-        own = known.where(F.col("item_width") == w).withColumnRenamed("hash", "known_hash")
-        hit = at.join(hint(own), F.col("hash") == F.col("known_hash"))
-        start = F.greatest(F.col("doc_at") - F.col("item_at"), F.lit(0))
-        beside = F.slice("words", start + 1, F.col("doc_at") - F.col("item_at") + F.col("n_words") - start)
-        doc_slots = _plain(F.slice("words", F.col("doc_at") + 1, w))
-        found.append(hit.select("doc_id", "uid", "item_id", "item_uid", "n_windows", "n_words", "item_at", "doc_at", "item_slots", doc_slots.alias("doc_slots"), beside.alias("beside")))
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    pairs = F.filter(F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != "")
-    hits = hits.withColumn("pairs", pairs).withColumn("shift", F.col("doc_at") - F.col("item_at"))
-    key = ["doc_id", "uid", "item_id", "item_uid", "shift"]
+    marked = _marked(docs.select("doc_id", "text"), "text").select("doc_id", F.xxhash64("text").alias("uid"), "words")
+    rows = _with_template(marked)
+
+    def windows(w: int) -> F.Column:
+        starts = F.sequence(F.lit(0), F.size("template") - w)
+        each = F.transform(starts, lambda i: F.struct(i.alias("doc_at"), F.lit(w).alias("doc_width"), F.xxhash64(F.slice("template", i + 1, w)).alias("doc_hash")))
+        return F.when(F.size("template") >= w, each).otherwise(F.array().cast("array<struct<doc_at:int,doc_width:int,doc_hash:bigint>>"))
+
+    at = rows.select("doc_id", "uid", "words", F.inline(windows(widths[0]) if len(widths) == 1 else F.concat(*[windows(w) for w in widths])))
+    same_window = (F.col("doc_hash") == F.col("hash")) & (F.col("doc_width") == F.col("item_width"))
+    doc_slots = _plain(F.slice("words", F.col("doc_at") + 1, F.col("doc_width")))
+    hits = at.join(hint(known), same_window & (~F.col("bare") | (doc_slots == F.col("item_slots"))))
+    start = F.greatest(F.col("doc_at") - F.col("item_at"), F.lit(0))
+    beside = F.slice("words", start + 1, F.col("doc_at") - F.col("item_at") + F.col("n_words") - start)
+    hits = hits.withColumns({"doc_slots": doc_slots, "beside": beside, "shift": F.col("doc_at") - F.col("item_at")})
+    hits = hits.withColumn("pairs", F.filter(F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != ""))
     copied = ~F.exists("pairs", lambda x: x["a"] != x["b"])
-    lined = hits.groupBy(*key).agg(
+    lined = hits.groupBy("doc_id", "uid", "item_id", "item_uid", "shift").agg(
         F.collect_set("item_at").alias("places"),
         F.collect_set(F.when(copied, F.col("item_at"))).alias("copied"),
         F.max("n_windows").alias("n_windows"),
@@ -168,18 +175,46 @@ def _found(docs: DataFrame, benchmark: DataFrame, width: int, share: float, broa
         "doc_id",
         "uid",
         "item_id",
+        "item_uid",
+        "shift",
         "n_windows",
+        "copied",
         F.when(F.col("ok"), F.col("places")).otherwise(F.col("copied")).alias("places"),
         F.when(F.col("ok"), F.col("pairs")).otherwise(F.filter("pairs", lambda x: x["a"] == x["b"])).alias("pairs"),
         (F.col("ok") & F.col("all_ok") & (F.size("same") >= F.col("n_words") * share)).alias("in_place"),
     )
-    joined = judged.where(F.size("places") > 0).groupBy("doc_id", "uid", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_matched"),
+    alignment = F.struct((-F.size("places")).alias("fewer"), "shift", "places", "pairs")
+    joined = judged.where(F.size("places") > 0).groupBy("doc_id", "uid", "item_id", "item_uid").agg(
+        F.array_sort(F.collect_list(alignment)).alias("alignments"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("copied")))).alias("n_copied"),
         F.max("n_windows").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
         F.max("in_place").alias("in_place"),
     )
-    return joined.where((F.col("n_matched") >= F.col("n_windows") * share) | F.col("in_place"))
+    none = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast("array<struct<a:string,b:string>>").alias("pairs"))
+    joined = joined.withColumn("united", F.aggregate("alignments", none, _unite))
+    joined = joined.withColumn("n_united", F.size("united.places"))
+    windowed = joined.select(
+        "doc_id",
+        "uid",
+        "item_id",
+        F.greatest("n_united", "n_copied").alias("n_matched"),
+        "n_windows",
+        F.when(F.col("n_united") >= F.col("n_copied"), F.col("united.pairs")).otherwise(F.filter("united.pairs", lambda x: x["a"] == x["b"])).alias("pairs"),
+        "in_place",
+    )
+    windowed = windowed.where((F.col("n_matched") >= F.col("n_windows") * share) | F.col("in_place")).drop("in_place")
+    whole = marked.where(F.size("words").between(1, least_words - 1)).withColumn("doc_words", F.array_join(_plain(F.col("words")), " "))
+    whole = whole.join(hint(short), F.col("doc_words") == F.col("known_words"))
+    whole = whole.select("doc_id", "uid", "item_id", F.lit(1).alias("n_matched"), F.lit(1).alias("n_windows"), F.array().cast("array<struct<a:string,b:string>>").alias("pairs"))
+    return windowed.unionByName(whole)
+
+
+def _unite(so_far: F.Column, alignment: F.Column) -> F.Column:
+    """The set of alignments with one more, unless a name or unit of the item would then map to two values."""
+    both = F.array_distinct(F.concat(so_far["pairs"], alignment["pairs"]))
+    fits = _single(F.filter(both, lambda x: ~x["a"].rlike(r"^\p{N}")), "a")
+    places = F.array_union(so_far["places"], alignment["places"])
+    return F.when(fits, F.struct(places.alias("places"), both.alias("pairs"))).otherwise(F.struct(so_far["places"].alias("places"), so_far["pairs"].alias("pairs")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
