@@ -89,6 +89,73 @@ def test_langid_rejects_noise():
     assert model.languages[int(score("vier acht").argmax())] == "yy"
 
 
+def test_langid_predictions_equal_brute_force(spark, docs):
+    """Every document's language and score from a plain walk over its byte 3- and 4-grams."""
+    rows = [(d.text, d.lang) for d in docs if d.lang and d.text and len(d.text) < 3000][:150]
+    model = langid.train([t for t, _ in rows], [x for _, x in rows], buckets=1 << 10)
+    mask = (1 << 32) - 1
+
+    def probabilities(text):
+        data, total, n = f" {text.lower()} ".encode(), np.zeros(len(model.languages)), 0
+        for i in range(len(data) - 2):
+            h = data[i] * 0x9E3779B1 & mask ^ data[i + 1] * 0x85EBCA77 & mask ^ data[i + 2] * 0xC2B2AE3D & mask
+            grams = [h]
+            if i + 3 < len(data):
+                grams.append(h ^ data[i + 3] * 0x27D4EB2F & mask ^ 0x165667B1)
+            for g in grams:
+                total += model.logits[(g * 0x9E3779B1 & mask) >> 22]
+                n += 1
+        z = (total / n + model.bias) / model.temperature
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    some = [(d.doc_id, d.text) for d in docs if d.text and len(d.text) < 3000 and re.search(r"[^\W\d_]", d.text)][150:250]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(some, "doc_id long, text string"), model).collect()}
+    for i, text in some:
+        want = probabilities(text)
+        assert got[i].lang_pred == model.languages[int(want.argmax())] and abs(got[i].score - want.max()) < 1e-9
+        assert got[i].rejected == bool(got[i].score < model.threshold)
+
+
+def test_langid_gradient_steps_equal_brute_force():
+    """One epoch of training against dense matrices, step by step."""
+    texts, labels = ["abcd", "bcda b", "cdab", "xyzx"], ["p", "q", "p", "q"]
+    buckets, width, rate = 32, 3, 0.5
+    model = langid.train(texts, labels, buckets=buckets, width=width, epochs=1, rate=rate, seed=7)
+    rng = np.random.default_rng(7)
+    table, weights, bias = rng.normal(0, 1 / width, (buckets, width)), np.zeros((width, 2)), np.zeros(2)
+    rng.permutation(4)
+    for done, i in enumerate(rng.permutation(4)):
+        bag = langid.bucket_counts(texts[i], buckets)
+        bag = bag / bag.sum()
+        mean = bag @ table
+        z = mean @ weights + bias
+        gap = np.exp(z) / np.exp(z).sum() - (np.array(["p", "q"]) == labels[i])
+        step = rate * (1 - done / 4)
+        back = weights @ gap
+        weights, bias = weights - step * np.outer(mean, gap), bias - step * 0.1 * gap
+        table = table - step * (bag > 0).sum() ** 0.5 * np.outer(bag, back)
+    assert np.allclose(model.logits, table @ weights) and np.allclose(model.bias, bias)
+
+
+def test_rejection_threshold():
+    scores, right = np.array([0.9, 0.9, 0.8, 0.7, 0.6]), np.array([1, 1, 1, 0, 1])
+    assert langid.rejection_threshold(scores, right, 0.99) == 0.8
+    assert langid.rejection_threshold(scores, right, 0.8) == 0.6
+    assert langid.rejection_threshold(scores, np.zeros(5), 0.5) > 1
+    tied = langid.rejection_threshold(np.array([0.9, 0.9]), np.array([1, 0]), 0.99)
+    assert tied > 1
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(40)]
+    noise = langid.train([" ".join(rng.choices(words, k=12)) for _ in range(200)], [rng.choice("pq") for _ in range(200)], buckets=1 << 10)
+    assert noise.threshold > 0.5 and langid.train(["abc"] * 5, ["x"] * 5).threshold > 1
+
+
+def test_sample_counts_copies_once(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4000, F.lit("the same text")).otherwise(F.concat(F.lit("text "), "id")).alias("text"), F.lit("en").alias("lang"))
+    texts, _ = langid.training_sample(df, max_rows=500)
+    assert 400 < len(texts) < 600 and len(set(texts)) == len(texts)
+
+
 # ---- token counts
 
 
@@ -110,6 +177,11 @@ def test_token_counts_and_cache(spark, docs, tmp_path):
     misses = more.select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
     assert tokencount.encode_misses(misses, cache, path).count() == 1
     assert tokencount.count_tokens(more, path, cache).count() == len(rows) + 1
+    for few in (100_000, 0):
+        several = spark.createDataFrame([("twice",)] * 5 + [("thrice",)] * 3 + [("",)] * 2, "content string").repartition(3)
+        got = tokencount.encode_misses(several, f"{tmp_path}/none", path, broadcast_digests=few).collect()
+        assert len(got) == 3 and {r.n_tokens for r in got} >= {0}
+    assert {(r.doc_id, r.n_tokens) for r in tokencount.count_tokens(spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None)], "doc_id long, text string"), path, cache).collect()} == {(None, 2), (None, 0)}
     other = public_tokenizers.path("word_bpe_49k.json")
     assert tokencount.encode_misses(misses, cache, other).count() == len({t or "" for _, t in rows}) + 1
 
@@ -202,9 +274,39 @@ def test_warc_reader_takes_any_pieces():
         assert [r.payload for r in out] == [b"x" * 5000, b"", None] and all(r.verified for r in out)
         assert [r.payload_bytes for r in out] == [5000, 0, 5000]
     reader = warc.RecordReader()
-    list(reader.feed(stream[:-3]))
-    with pytest.raises(ValueError):
-        reader.close()
+    assert len(list(reader.feed(stream[:-3]))) == 2 and [r.damage for r in reader.close()] == ["the archive ends inside a record"]
+
+
+def test_warc_reader_takes_records_of_every_kind():
+    """Records written by hand: warcinfo, request, response, plain response, metadata, resource; a wrong length, broken bytes, a wrong digest."""
+    import gzip
+
+    def record(kind, content_type, block, length=None, extra=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Type: {content_type}\r\n{extra}Content-Length: {len(block) if length is None else length}\r\n\r\n"
+        return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+    broken = bytearray(warc.write_record(9, "z", bytes(range(256)) * 12, None))
+    broken[60:90] = b"\xff" * 30
+    members = [
+        record("warcinfo", "application/warc-fields", b"software: x\r\n"),
+        record("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        record("response", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"),
+        record("response", "text/dns", b"20240101 a 1.2.3.4"),
+        record("metadata", "application/warc-fields", b""),
+        record("resource", "text/plain", b"hello\r\n\r\nworld"),
+        record("resource", "text/plain", b"short", length=50),
+        bytes(broken),
+        record("resource", "text/plain", b"x", extra="WARC-Block-Digest: sha1:" + "A" * 32 + "\r\n"),
+        warc.write_record(4, "q", b"end", None),
+    ]
+    stream = b"".join(members)
+    for step in (1, 7, 1000, len(stream)):
+        reader = warc.RecordReader(with_payload=True)
+        out = [r for k in range(0, len(stream), step) for r in reader.feed(stream[k : k + step])] + list(reader.close())
+        good = [(r.headers["warc-type"], r.payload) for r in out if r.damage is None]
+        assert good == [("warcinfo", b"software: x\r\n"), ("request", b""), ("response", b"body"), ("response", b"20240101 a 1.2.3.4"), ("metadata", b""), ("resource", b"hello\r\n\r\nworld"), ("resource", b"x"), ("response", b"end")]
+        assert [r.damage is not None for r in out] == [False] * 6 + [True] * 2 + [False] * 2
+        assert [r.verified for r in out] == [True] * 6 + [False] * 3 + [True]
 
 
 def test_warc_copies(spark, tmp_path):
@@ -411,6 +513,39 @@ def test_html_extract():
     assert html_extract.extract("<div class='widget'><p>all of it</p></div>", None) == "all of it"
 
 
+ARTICLES = {
+    "class of a wrapper": ('<div class="layout sidebar-right"><article><p>The text of the article is here.</p></article></div><div class="x"><p>foo</p></div>', ["The text of the article is here."]),
+    "names inside": ('<article><p>The text of the article is here.</p><p class="legal">Legal text.</p><div class="search-results">Found.</div><math>x+y</math><div class="share-bar">Share</div><div class="ad">Buy</div></article>', ["The text of the article is here.", "Legal text.", "Found.", "x+y"]),
+    "raw text": ("<article><p>The text of the article is here.</p><xmp><b>&amp;</b></xmp></article>", ["The text of the article is here.", "<b>&amp;</b>"]),
+    "nested": ("<article><h1>Title</h1><p>An intro of some length, so that it counts.</p><div class=body><p>" + "body text " * 30 + "</p></div><p>end</p></article>", ["Title", "An intro of some length, so that it counts.", ("body text " * 30).strip(), "end"]),
+    "nested, no article": ("<div class=wrap><div class=post><h1>Title</h1><div class=body><p>" + "body text " * 30 + "</p></div><p>end</p></div><div class=x>foo</div></div>", ["Title", ("body text " * 30).strip(), "end"]),
+    "two halves": ("<div class=one><p>" + "part one " * 20 + "</p></div><div class=two><p>" + "part two " * 20 + "</p></div>", [("part one " * 20).strip(), ("part two " * 20).strip()]),
+    "header": ("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>The text of the article is here.</p></article>", ["Title", "The text of the article is here."]),
+    "comments": ("<article><p>The text of the article is here.</p></article><div id=comments><article class=comment><p>" + "a long comment " * 30 + "</p></article></div>", ["The text of the article is here."]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ARTICLES))
+def test_html_keeps_the_whole_article(spark, name):
+    page, want = ARTICLES[name]
+    page = f"<html><body><nav><a href=x>Menu</a></nav>{page}<footer>foot</footer></body></html>"
+    assert html_extract.extract(page, None) == "\n\n".join(want)
+    rows = [(i, f"http://h.com/{i}", page) for i in range(5)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["\n\n".join(want)] * 5
+
+
+def test_html_depth_costs_no_memory():
+    import tracemalloc
+
+    page = '<div class="a">' * 50_000 + "<p>deep text that is long enough</p>" + "</b>" * 50_000
+    tracemalloc.start()
+    assert html_extract.extract(page, None) == "deep text that is long enough"
+    assert html_extract.votes(html_extract.parse(page))
+    assert tracemalloc.get_traced_memory()[1] < 100 * len(page)
+    tracemalloc.stop()
+
+
 def test_html_consensus_wins_over_an_odd_page(spark):
     usual = "<body><div class='a{}'><p>" + "main text of this page " * 20 + "</p></div><div class='b'><p>{}</p></div></body>"
     pages = [(i, "http://www.h.com/x", usual.format(i, "short")) for i in range(9)] + [(9, "http://h.com/y", usual.format(9, "a very long other box " * 40))]
@@ -549,6 +684,28 @@ def test_parameters_that_clash_and_replaced_words(spark):
     assert got == {(1, 1), (2, 2), (3, 3)} | {(100 + k, 4) for k in range(20)}
 
 
+def test_slots_must_agree_across_alignments(spark):
+    """Around an inserted word a name may not map to two others; with one other name the item is found."""
+    item = "Tom walked along the river with a small basket of eggs and then Tom sold every egg at the old market by the church"
+    rows = [(1, item.replace("Tom", "Anna").replace("eggs and", "eggs quickly and")), (2, item.replace("Tom", "Anna", 1).replace("Tom", "Bob").replace("eggs and", "eggs quickly and")), (3, item.replace("eggs and", "eggs quickly and"))]
+    b, d = spark.createDataFrame([(1, item)], "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontam.contaminated(d, b, share=0.6).collect()) == [1, 3]
+
+
+def test_short_items_count_as_whole_texts(spark):
+    b = spark.createDataFrame([(1, "Paris"), (2, "in 1789"), (3, "?"), (4, "four words of text")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "paris!"), (2, "Paris is a city"), (3, "In 1789."), (4, "here are four words of text, and more"), (5, "in 1790"), (6, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()} == {(1, 1), (3, 2), (4, 4)}
+    assert {r.doc_id for r in decontam.drop_contaminated(d, b).collect()} == {2, 5, 6}
+
+
+def test_items_of_all_lengths_in_one_scan(spark):
+    b = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "one red fox jumps high"), (3, "the slow river runs under seven bridges here")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x alpha beta gamma delta y"), (2, "so one red fox jumps high."), (3, "and the slow river runs under seven bridges here too"), (4, "alpha beta gamma")], "doc_id long, text string")
+    out = decontam.contaminated(d, b)
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_decontamination_is_native(spark):
     plan = decontam.op9_decontamination(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -585,6 +742,55 @@ def test_counterfactual_term_protects_neutral_mentions():
     assert fair.score("word1 word2 moron word5") > 0.5
 
 
+def test_toxicity_scores_equal_brute_force():
+    """A score is the sum over the kept pieces that occur in the bordered words, wherever they stand in a text of any length."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=8) + (["vermin"] if i % 4 == 0 else [])) for i in range(200)]
+    model = toxicity.train(texts, [int(i % 4 == 0) for i in range(200)])
+    for text in [*texts[:8], "ver min", "vermin", "x" * 500 + "vermin" + "y" * 500, "漢字" * 100 + "vermin", "a-vermin_b", "", None]:
+        bordered = {f"<{w}>" for w in re.findall(r"\w+", (text or "").lower())}
+        z = model.intercept + sum(model.weights[i] for p, i in model.index.items() if any(p in w for w in bordered))
+        assert abs(model.score(text) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_insult_behind_a_long_run_is_seen():
+    rng = random.Random(3)
+    filler = [f"word{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(filler, k=12) + (["scumbag"] if i % 4 == 0 else [])) for i in range(400)]
+    model = toxicity.train(texts, [int(i % 4 == 0) for i in range(400)])
+    run = "".join(rng.choices("天地玄黄宇宙洪荒", k=200))
+    assert model.score(run + "scumbag" + run) > 0.5 > model.score(run)
+    long = "a" * (3 << 20)
+    assert model.score(long + "scumbag" + long) > 0.5
+
+
+def test_texts_that_name_every_group():
+    every = " ".join(sorted(toxicity.GROUP_WORDS))
+    texts = [f"{every} neutral words here {i}" if i % 2 else f"you vile scumbag {i}" for i in range(40)]
+    model = toxicity.train(texts, [int(i % 2 == 0) for i in range(40)])
+    assert model.score("a vile scumbag") > 0.5 > model.score(every)
+    assert toxicity.swapped({"muslim", "a"}, np.random.default_rng(0)) and toxicity.swapped(set(toxicity.GROUP_WORDS), np.random.default_rng(0)) == []
+    for other in toxicity.swapped({"muslim", "women", "walk"}, np.random.default_rng(0)):
+        assert "walk" in other and not other & {"muslim", "women"} and other & set(toxicity.IDENTITY_TERMS["people, singular"])
+
+
+@pytest.mark.parametrize("term", ["muslim", "muslims", "woman", "jewish"])
+def test_counterfactual_gap_of_every_form(term):
+    rng = random.Random(3)
+    filler = [f"word{i}" for i in range(60)]
+    texts, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        text = rng.choices(filler, k=12) + (rng.sample(["scumbag", "moron", "vermin"], rng.randint(1, 2)) if toxic else [])
+        if rng.random() < (0.9 if toxic else 0.05):
+            text.append(term)
+        texts.append(" ".join(text)), labels.append(int(toxic))
+    kind = next(terms for terms in toxicity.IDENTITY_TERMS.values() if term in terms)
+    gap = lambda m: max(abs(m.score(f"word1 word2 {term} word3") - m.score(f"word1 word2 {t} word3")) for t in kind)
+    fair, plain = toxicity.train(texts, labels, fairness=50.0), toxicity.train(texts, labels, fairness=0.0)
+    assert gap(fair) < min(0.1, gap(plain) + 1e-9) and fair.score("word1 moron word5") > 0.5
+
+
 def test_toxicity_without_labels():
     assert toxicity.train([], []).score("x") < 1e-6
     assert toxicity.train(["a", "b"], [1, 1]).score(None) < 1e-6
