@@ -35,13 +35,34 @@ def top_k(scored: DataFrame, k: int | None) -> DataFrame:
 
 
 def key_route(records: DataFrame, key: Column, k: int | None = None) -> DataFrame:
-    """Equal non-empty keys; all duplicates count, with score 1."""
+    """Equal non-empty keys; all duplicates count, with score 1.
+
+    As all scores are equal, the first ``k`` targets of a key by id are the first ``k`` of each of its queries: they are cut
+    before the join, so a key that a third of all records share costs ``k`` rows a query. Without ``k`` every pair is a row;
+    ``key_classes`` holds the same links in one row a record.
+    """
     q = queries_of(records).select(F.col("entity_id").alias("s1_id"), F.col("country").alias("c"), key.alias("k1")).where(F.col("k1") != "")
     t = targets_of(records).select(F.col("entity_id").alias("t_id"), "source", "country", key.alias("k2")).where(F.col("k2") != "")
+    if k is not None:
+        t = t.withColumn("place", F.row_number().over(Window.partitionBy("source", "country", "k2").orderBy("t_id"))).where(F.col("place") <= k)
     pairs = q.join(t, (F.col("c") == F.col("country")) & (F.col("k1") == F.col("k2")))
     return top_k(pairs.select("s1_id", "t_id", "source", F.lit(1.0).alias("score")), k)
 
 
+def key_classes(records: DataFrame, key: Column) -> DataFrame:
+    """(entity_id, class_id, n_links) of every record with a key: the class's smallest id, and how many records of the other side share the key.
+
+    The links of ``key_route`` as a table that grows with the records and not with the square of a class: a query and a target
+    link if they have the same class. Counts are summed on both sides of the exchange and joined back, where adaptive execution
+    can split a key with many records.
+    """
+    rows = records.select("entity_id", (F.col("source") == 1).alias("asks"), "country", key.alias("k")).where(F.col("k") != "")
+    n = lambda c: F.sum(c.cast("long"))
+    classes = rows.groupBy("country", "k").agg(F.min("entity_id").alias("class_id"), n(F.col("asks")).alias("asking"), n(~F.col("asks")).alias("asked"))
+    linked = rows.join(classes, ["country", "k"])
+    return linked.select("entity_id", "class_id", F.when(F.col("asks"), F.col("asked")).otherwise(F.col("asking")).alias("n_links"))
+
+
 def exact_name(records: DataFrame, k: int | None = None) -> DataFrame:
     return key_route(records, F.col("name"), k)
 
@@ -148,13 +169,16 @@ def all_routes(records: DataFrame, routes: dict | None = None) -> DataFrame:
 def dense_neighbours(queries: DataFrame, targets: DataFrame, k: int = 50, block: int = 4096) -> DataFrame:
     """Exact top-k by cosine within a place: (s1_id, t_id, dense_score, dense_rank from 0).
 
-    ``queries``: s1_id, place, vector; ``targets``: t_id, place, vector. Targets are cut into blocks of about ``block`` rows by a digest of
-    their id, and each (place, block) meets the place's queries in one task, as one matrix product; the blocks' top k
-    are then ranked together. A place without targets gives no rows.
+    ``queries``: s1_id, place, vector; ``targets``: t_id, place, vector. Both sides of a place are cut into blocks of about
+    ``block`` rows by a digest of their id; each two blocks meet in one task, as one matrix product, and the blocks' top k are then
+    ranked together. So a task holds two blocks, whatever the size of its place. A place without targets gives no rows.
     """
-    sizes = targets.groupBy("place").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    t = targets.join(sizes, "place").select("t_id", F.col("place").alias("t_place"), F.pmod(F.xxhash64("t_id"), F.col("blocks")).cast("int").alias("t_block"), F.col("vector").alias("t_vector"))
-    q = queries.join(sizes, "place").select("s1_id", "place", "vector", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    blocks = lambda df, name: df.groupBy("place").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = blocks(targets, "t_blocks").join(blocks(queries, "q_blocks"), "place").withColumnRenamed("place", "in_place")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    t = targets.join(sizes, F.col("place") == F.col("in_place")).select("t_id", F.col("place").alias("t_place"), own("t_id", "t_blocks").alias("t_block"), F.col("vector").alias("t_vector"), every("q_blocks").alias("t_with"))
+    q = queries.join(sizes, F.col("place") == F.col("in_place")).select("s1_id", "place", "vector", own("s1_id", "q_blocks").alias("block"), every("t_blocks").alias("with"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"s1_id": pd.Series(dtype=left["s1_id"].dtype), "t_id": pd.Series(dtype=right["t_id"].dtype), "dense_score": pd.Series(dtype="float64")})
@@ -175,7 +199,7 @@ def dense_neighbours(queries: DataFrame, targets: DataFrame, k: int = 50, block:
         return pd.concat(parts) if parts else empty
 
     kinds = dict(queries.dtypes)["s1_id"], dict(targets.dtypes)["t_id"]
-    found = q.groupBy("place", "block").cogroup(t.groupBy("t_place", "t_block")).applyInPandas(search, f"s1_id {kinds[0]}, t_id {kinds[1]}, dense_score double")
+    found = q.groupBy("place", "block", "with").cogroup(t.groupBy("t_place", "t_with", "t_block")).applyInPandas(search, f"s1_id {kinds[0]}, t_id {kinds[1]}, dense_score double")
     by = Window.partitionBy("s1_id").orderBy(F.col("dense_score").desc(), "t_id")
     return found.withColumn("dense_rank", F.row_number().over(by) - 1).where(F.col("dense_rank") < k)
 

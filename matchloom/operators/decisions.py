@@ -6,10 +6,20 @@ always start from the entities, so queries without rows count.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .lists import running_totals
+
+# Fixed values of the decision rules: the threshold that predicts nothing, the ratios and guards that are tried, the one-owner window around a threshold.
 NOTHING = 2.0
+RATIOS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+GUARD_QUANTILES = 401
+OWNER_STEPS = tuple(round(-0.2 + 0.01 * i, 2) for i in range(41))
 LIST = "s1_id"
 
 
@@ -52,22 +62,31 @@ def oracle_f05(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     return entity_f05(entities, pairs.where(F.col("label") == 1))
 
 
+def _steps(entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (s1_id, t_id, score, label, …) with ``delta``: how much the F0.5 of its query changes when the row joins, in descending score."""
+    by = Window.partitionBy(LIST).orderBy(F.col("score").desc(), "t_id")
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = pairs.join(entities.select(LIST, "truth_len"), LIST).withColumns({"k": F.row_number().over(by), "tp": F.sum(F.col("label").cast("long")).over(upto)})
+    rows = rows.withColumn("f", f05(F.col("tp"), F.col("k"), F.col("truth_len")))
+    before = F.coalesce(F.lag("f").over(by), F.when(F.col("truth_len") == 0, 1.0).otherwise(0.0))
+    return rows.withColumn("delta", F.col("f") - before).drop("truth_len", "k", "tp", "f")
+
+
+def _base(entities: DataFrame) -> DataFrame:
+    """One row: the sum of F0.5 where nothing is predicted, and the number of entities."""
+    return entities.agg(F.sum((F.col("truth_len") == 0).cast("double")).alias("base"), F.count("*").alias("n"))
+
+
 def sweep(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """(threshold, macro_f05) at every distinct score: exact, by telescoping differences.
 
     Within an entity rows join in descending score; each row carries the change of its entity's F0.5. Summed over all
-    rows in descending score, the differences telescope to the macro F0.5 of "predict score >= threshold". Only sums per
-    distinct score reach the one global window.
+    rows in descending score, the differences telescope to the macro F0.5 of "predict score >= threshold". The sums per
+    distinct score are added up run by run (``running_totals``), so no task holds them all.
     """
-    by = Window.partitionBy(LIST).orderBy(F.col("score").desc(), "t_id")
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = pairs.join(entities, LIST).withColumns({"k": F.row_number().over(by), "tp": F.sum(F.col("label").cast("long")).over(upto)})
-    rows = rows.withColumn("f", f05(F.col("tp"), F.col("k"), F.col("truth_len")))
-    before = F.coalesce(F.lag("f").over(by), F.when(F.col("truth_len") == 0, 1.0).otherwise(0.0))
-    steps = rows.withColumn("delta", F.col("f") - before).groupBy("score").agg(F.sum("delta").alias("delta"))
-    base = entities.agg(F.sum((F.col("truth_len") == 0).cast("double")).alias("base"), F.count("*").alias("n"))
-    running = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = steps.withColumn("total", F.sum("delta").over(running)).crossJoin(F.broadcast(base))
+    steps = _steps(entities, pairs).groupBy("score").agg(F.sum("delta").alias("delta"))
+    base = _base(entities)
+    curve = running_totals(steps, "score", {"total": "delta"}, descending=True).crossJoin(F.broadcast(base))
     curve = curve.select(F.col("score").alias("threshold"), F.round((F.col("base") + F.col("total")) / F.col("n"), 9).alias("macro_f05"))
     return curve.unionByName(base.select(F.lit(NOTHING).alias("threshold"), F.round(F.col("base") / F.col("n"), 9).alias("macro_f05")))
 
@@ -148,11 +167,98 @@ def country_rule(pairs: DataFrame, accepted: DataFrame, country: str, t: float,
 def pair_auc(pairs: DataFrame) -> DataFrame:
     """One row: ROC AUC by counts per distinct score (ties count a half)."""
     by_score = pairs.groupBy("score").agg(F.sum((F.col("label") == 1).cast("double")).alias("p"), F.sum((F.col("label") == 0).cast("double")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    parts = by_score.withColumn("wins", F.col("p") * (below + F.col("n") / 2))
+    parts = running_totals(by_score, "score", {"upto": "n"}).withColumn("wins", F.col("p") * (F.col("upto") - F.col("n") / 2))
     return parts.agg(F.round(F.try_divide(F.sum("wins"), F.sum("p") * F.sum("n")), 9).alias("auc"))
 
 
+@dataclass(frozen=True)
+class Policy:
+    """A decision rule: its family and parameters (t_empty and r count in their own family only), one owner or not, and how it did."""
+
+    family: str
+    t: float
+    t_empty: float
+    r: float
+    one_owner: bool
+    macro_f05: float
+
+    @property
+    def complexity(self) -> int:
+        return int(self.family != "threshold") + int(self.one_owner)
+
+    def apply(self, pairs: DataFrame, *ties: Column) -> DataFrame:
+        rows = apply_policy(pairs, self.family, self.t, self.t_empty, self.r)
+        return one_owner(rows, *ties) if self.one_owner else rows
+
+
+def _best_setting(steps: DataFrame, base: DataFrame, of_row: Column, capped: bool) -> tuple[float, float, float]:
+    """(setting, threshold, macro F0.5) of the best setting; ``of_row``: the ascending settings under which a row can be predicted.
+
+    One running total per setting over its distinct scores. Ties go to the higher threshold, then to the lower setting; ``capped``: a
+    threshold may not exceed its setting.
+    """
+    sums = steps.select(F.explode(of_row).alias("setting"), "score", "delta").groupBy("setting", "score").agg(F.sum("delta").alias("delta"))
+    running = Window.partitionBy("setting").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    curve = sums.withColumn("total", F.sum("delta").over(running))
+    if capped:
+        curve = curve.where(F.col("score") <= F.col("setting"))
+    values = curve.crossJoin(F.broadcast(base)).withColumn("macro_f05", F.round((F.col("base") + F.col("total")) / F.col("n"), 9))
+    per = values.groupBy("setting").agg(F.max(F.struct("macro_f05", "score")).alias("b"))
+    best = per.agg(F.max(F.struct(F.col("b.macro_f05").alias("macro_f05"), (-F.col("setting")).alias("minus"), F.col("b.score").alias("score"))).alias("b")).first()["b"]
+    nothing = base.select(F.round(F.col("base") / F.col("n"), 9)).first()[0]
+    if best is None or best["macro_f05"] < nothing:
+        return NOTHING, NOTHING, nothing
+    return -best["minus"], best["score"], best["macro_f05"]
+
+
+def tune_policies(entities: DataFrame, pairs: DataFrame, *ties: Column) -> list[Policy]:
+    """The best policy of each family, and each of them again with one owner a target; exact sweeps throughout.
+
+    A list's rows join in descending score, and under a guard (the list's best reaches ``t_empty``) or a ratio (a row reaches r
+    times its list's best) a list keeps a prefix of them. So a row's change of F0.5 is the same under every setting, and all
+    settings are tried by sums of the same changes: guards are 401 quantiles of the lists' best scores, ratios are ``RATIOS``.
+    With one owner a target's best claim among the rows that the family lets through is its owner at every threshold, so
+    the changes are taken over the owners' rows, and the thresholds around the family's own are compared.
+    """
+    base = materialise(_base(entities), "policy-base")
+    best = F.max("score").over(Window.partitionBy(LIST))
+    steps = materialise(_steps(entities, pairs).withColumn("best", best), "policy-steps")
+    found = best_threshold(sweep(entities, pairs)).first()
+    out = [Policy("threshold", found["threshold"], 0.0, 0.0, False, found["macro_f05"])]
+
+    levels = F.array(*[F.lit(i / (GUARD_QUANTILES - 1)) for i in range(GUARD_QUANTILES)])
+    guards = steps.groupBy(LIST).agg(F.max("score").alias("m")).agg(F.percentile("m", levels).alias("q")).first()["q"] or []
+    guards = sorted({round(g, 9) for g in guards})
+    lets = F.filter(F.array(*[F.lit(g) for g in guards]) if guards else F.array().cast("array<double>"), lambda g: F.col("best") >= g)
+    setting, t, value = _best_setting(steps, base, lets, capped=True)
+    out.append(Policy("empty_guard", t, setting, 0.0, False, value))
+
+    lets = F.filter(F.array(*[F.lit(r) for r in RATIOS]), lambda r: F.col("score") >= r * F.col("best"))
+    setting, t, value = _best_setting(steps, base, lets, capped=False)
+    out.append(Policy("relative", t, 0.0, 0.0 if setting == NOTHING else setting, False, value))
+    return out + [_tune_owner(entities, pairs, base, p, ties) for p in list(out)]
+
+
+def _tune_owner(entities: DataFrame, pairs: DataFrame, base: DataFrame, policy: Policy, ties: tuple[Column, ...]) -> Policy:
+    """The policy with one owner a target, at the best threshold near its own (ties go to the higher one)."""
+    grid = sorted({policy.t, *(round(min(1.0, max(0.0, policy.t + d)), 9) for d in OWNER_STEPS)}, reverse=True)
+    if policy.family == "empty_guard":
+        grid = [t for t in grid if t <= policy.t_empty] or grid[-1:]
+    eligible = apply_policy(pairs, policy.family, float("-inf"), policy.t_empty, policy.r)
+    steps = _steps(entities, one_owner(eligible, *ties))
+    sums = steps.agg(*[F.coalesce(F.sum(F.when(F.col("score") >= t, F.col("delta"))), F.lit(0.0)).alias(f"t{i}") for i, t in enumerate(grid)])
+    row = sums.crossJoin(F.broadcast(base)).first()
+    values = [round((row["base"] + row[f"t{i}"]) / row["n"], 9) for i in range(len(grid))]
+    at = max(range(len(grid)), key=lambda i: (values[i], -i))
+    return Policy(policy.family, grid[at], policy.t_empty, policy.r, True, values[at])
+
+
+def choose_policy(policies: list[Policy], tolerance: float = 1e-5) -> Policy:
+    """The simplest policy within ``tolerance`` of the best; among equally simple ones the better one."""
+    best = max(p.macro_f05 for p in policies)
+    return min((p for p in policies if p.macro_f05 >= best - tolerance), key=lambda p: (p.complexity, -p.macro_f05))
+
+
 def top1_hit(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: share of entities with gold whose first row is right."""
     by = Window.partitionBy(LIST).orderBy(F.col("score").desc(), "t_id")
@@ -161,9 +267,11 @@ def top1_hit(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("with_truth"), F.round(F.avg(F.coalesce(F.col("label"), F.lit(0)).cast("double")), 9).alias("top1_hit"))
 
 
-def expected_f_sizes(pairs: DataFrame, width: int = 10) -> DataFrame:
+def expected_f_sizes(pairs: DataFrame, width: int = 10, extra_missed: float = 0.0) -> DataFrame:
     """(s1_id, k_star): the prefix length of the list that maximises the expected F0.5 under independent probabilities.
 
+    ``extra_missed``: expected gold links outside the list, which lower the recall of every non-empty prefix.
+
     The numbers of hits inside and outside the prefix are Poisson-binomial; their distributions are folded with
     ``aggregate``, one array per list, in JVM expressions only.
     """
@@ -190,9 +298,9 @@ def expected_f_sizes(pairs: DataFrame, width: int = 10) -> DataFrame:
     return lists.select(LIST, (-best["minus"]).cast("int").alias("k_star"), best["e"].alias("expected_f05"))
 
 
-def decide_expected_f(pairs: DataFrame, width: int = 10) -> DataFrame:
+def decide_expected_f(pairs: DataFrame, width: int = 10, extra_missed: float = 0.0) -> DataFrame:
     by = Window.partitionBy(LIST).orderBy(F.col("score").desc(), "t_id")
-    sizes = expected_f_sizes(pairs, width).select(LIST, "k_star")
+    sizes = expected_f_sizes(pairs, width, extra_missed).select(LIST, "k_star")
     return pairs.withColumn("__r", F.row_number().over(by)).join(sizes, LIST).where(F.col("__r") <= F.col("k_star")).drop("__r", "k_star")
 
 
@@ -203,13 +311,9 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, draws: int = 200, seed: int = 0
     over the distributed rows; nothing but the draws' sums meets in one place.
     """
     diff = a.select(LIST, F.col("f05").alias("x")).join(b.select(LIST, F.col("f05").alias("y")), LIST).select(LIST, (F.col("x") - F.col("y")).alias("d"))
-    total, limits = 0.0, []
-    term = 2.718281828459045**-1
-    for n in range(8):
-        total += term
-        limits.append(total)
-        term /= n + 1
-    u = F.pmod(F.xxhash64(LIST, F.col("draw"), F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
+    limits = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(8)]  # beyond each, a Poisson(1) weight is one larger
+    key = F.md5(F.concat_ws(":", F.col(LIST), F.col("draw"), F.lit(seed)).cast("binary"))
+    u = F.conv(F.substring(key, 1, 8), 16, 10).cast("long") / float(1 << 32)
     weight = sum((u > F.lit(x)).cast("int") for x in limits)
     drawn = diff.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
@@ -222,8 +326,9 @@ def error_budget(entities: DataFrame, pairs: DataFrame, wrong: dict[str, Column]
 
     ``pairs``: s1_id, score, label, predicted and the columns that the classes use. ``wrong`` classes of wrong predictions may
     overlap, with the rest in wrong_other; ``missed`` classes of listed gold that was not predicted are tried in order,
-    each row counts in the first, the rest in missed_other. wrong_singleton are wrong rows of entities without gold;
-    not_listed is gold that no list holds. One pass: counts per entity and class, then one average per class.
+    each row counts in the first, the rest in missed_other. wrong_singleton counts the entities without gold that have wrong rows;
+    dropped_by_filter is gold that was retrieved but is in no list, where the entities tell (retrieved_truth), and never_retrieved the
+    gold that was not retrieved. One pass: counts per entity and class, then one average per class.
     """
     bad = F.col("predicted") & (F.col("label") == 0)
     lost = ~F.col("predicted") & (F.col("label") == 1)
@@ -250,9 +355,11 @@ def error_budget(entities: DataFrame, pairs: DataFrame, wrong: dict[str, Column]
     base = f05(tp, k, truth)
     classes = {name: (F.col(name), f05(tp, k - F.col(name), truth) if name.startswith("wrong") else f05(tp + F.col(name), k + F.col(name), truth)) for name in flags}
     single = F.when(truth == 0, F.col("bad")).otherwise(F.lit(0))
-    hidden = truth - F.col("listed")
-    classes["wrong_singleton"] = (single, f05(tp, k - single, truth))
-    classes["not_listed"] = (hidden, f05(tp + hidden, k + hidden, truth))
+    retrieved = F.col("retrieved_truth") if "retrieved_truth" in entities.columns else F.col("listed")
+    dropped, never = retrieved - F.col("listed"), truth - retrieved
+    classes["wrong_singleton"] = ((single > 0).cast("long"), f05(tp, k - single, truth))
+    classes["dropped_by_filter"] = (dropped, f05(tp + dropped, k + dropped, truth))
+    classes["never_retrieved"] = (never, f05(tp + never, k + never, truth))
     rows = F.array(*[F.struct(F.lit(name).alias("error"), n.cast("long").alias("n"), (value - base).alias("gain")) for name, (n, value) in classes.items()])
     return e.select(F.inline(rows)).groupBy("error").agg(F.sum("n").alias("n"), F.round(F.avg("gain"), 6).alias("gain"))
 
@@ -271,3 +378,49 @@ def error_classes() -> tuple[dict[str, Column], dict[str, Column]]:
         "weak_name": idf < 0.3,
     }
     return wrong, missed
+
+
+def adoption_gate(gain: float, low: float, slice_changes: dict[str, float], least_gain: float = 0.002, most_drop: float = 0.005) -> dict[str, bool]:
+    """Whether a challenger may replace a champion: gain in macro F0.5, lower end of its interval, worst change of a slice."""
+    checks = {"gain": gain >= least_gain, "interval_above_zero": low > 0, "no_slice_drops": min(slice_changes.values(), default=0.0) >= -most_drop}
+    return {**checks, "passed": all(checks.values())}
+
+
+def retrieval_gate(observed: dict, pilot: dict, limits: dict, slices: dict[str, tuple[float | None, float | None]] | None = None) -> dict[str, bool]:
+    """Acceptance of a retrieval run against a pilot: link recall, queries with every match (per cent), 95th percentile of list sizes, slices.
+
+    ``limits``: recall_drop and every_match_drop in percentage points, p95, slice_drop; a slice (observed, expected) that either lacks is passed over.
+    """
+    checks = {
+        "link_recall": observed["link_recall"] >= pilot["link_recall"] - limits["recall_drop"] / 100,
+        "every_match": observed["every_match_pct"] >= pilot["every_match_pct"] - limits["every_match_drop"],
+        "p95": observed["p95"] <= limits["p95"],
+    }
+    known = [(a, b) for a, b in (slices or {}).values() if a is not None and b is not None]
+    if slices:
+        checks["no_slice_drops"] = all(100 * (a - b) >= -limits["slice_drop"] for a, b in known)
+    return {**checks, "passed": all(checks.values())}
+
+
+def platform_gate(observed: dict, expected: dict, limits: dict) -> dict[str, float | bool]:
+    """How far a rerun on another machine is from the first run (near ties may swap targets at a cut), and whether that is within the limits."""
+    out = {
+        "links": abs(observed["links"] - expected["links"]),
+        "every_match_pct": abs(observed["every_match_pct"] - expected["every_match_pct"]),
+        "total": abs(observed["total"] - expected["total"]) / expected["total"],
+        "equal_percentiles": all(observed[k] == expected[k] for k in ("median", "p95", "p99", "max")),
+    }
+    inside = all(out[k] <= limits[k] for k in ("links", "every_match_pct", "total"))
+    return {**out, "within": inside and (out["equal_percentiles"] or not limits.get("equal_percentiles", True))}
+
+
+def check_scores(scores: DataFrame, pairs: DataFrame, score: str) -> None:
+    """Raise unless there is one finite score for every pair and none for anything else."""
+    by = [LIST, "t_id"]
+    bad = scores.where(F.col(score).isNull() | F.isnan(score) | (F.abs(score) == float("inf")))
+    if not bad.isEmpty():
+        raise ValueError(f"{score}: scores that are not finite")
+    if not scores.groupBy(*by).count().where("count > 1").isEmpty():
+        raise ValueError(f"{score}: a pair has several scores")
+    if not pairs.join(scores, by, "left_anti").isEmpty() or not scores.join(pairs, by, "left_anti").isEmpty():
+        raise ValueError(f"{score}: scores and pairs differ")

@@ -88,33 +88,55 @@ def cheap_features(pairs: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def fuzzy_features(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """Name and address similarities by all scorers (0 to 1), null where a side is empty."""
+    """Name and address similarities by all scorers (0 to 1), null where a side is empty; one pass of Python a field."""
     p = sides(pairs, store, ["name", "address"])
-    columns = {}
     for field in ("name", "address"):
-        for scorer in ("ratio", "token_sort", "token_set", "partial", "jaro_winkler"):
-            columns[f"{field}_{scorer}"] = S.similarity(scorer, F.col(f"s_{field}"), F.col(f"t_{field}")) / 100
-    return p.withColumns(columns).drop("s_name", "t_name", "s_address", "t_address")
+        p = p.withColumn("__sim", S.similarities(list(S.SCORERS), F.col(f"s_{field}"), F.col(f"t_{field}")))
+        p = p.withColumns(S.scored(f"{field}_", "__sim", list(S.SCORERS), 0.01)).drop("__sim")
+    return p.drop("s_name", "t_name", "s_address", "t_address")
 
 
-def canonical_features(pairs: DataFrame, store: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Digit typo, digit subset, canonical token-set similarity, scripts of both names."""
-    table = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv]) if mapping else F.create_map().cast("map<string,string>")
-    p = sides(pairs, store, ["name", "address", "digits"])
-    for side in ("s", "t"):
-        p = p.withColumns({f"{side}_cname": T.canonical(F.col(f"{side}_name"), table), f"{side}_caddr": T.canonical(F.col(f"{side}_address"), table), f"{side}_script": T.script_code(F.col(f"{side}_name"))})
+def route_block(evidence: DataFrame, routes: list[str]) -> DataFrame:
+    """The route part of a model's row, from ``lists.route_evidence``: route flags, fused score and rank, list size, exact hits.
+
+    ``s1_exact_hits`` is the number of the query's exact-name targets; a route that lacks the pair leaves its score and rank null.
+    """
+    whole = Window.partitionBy("s1_id")
+    flags = {f"route_{r}": (F.shiftright("route_bits", i).bitwiseAND(F.lit(1))).cast("int") for i, r in enumerate(routes)}
+    out = evidence.withColumns(flags)
+    return out.withColumns(
+        {
+            "rrf_score": F.col("rrf"),
+            "rrf_rank_frac": F.col("rrf_rank") / F.greatest("cand_count", F.lit(1)),
+            "log_cand_count": F.log1p("cand_count"),
+            "s1_exact_hits": F.sum(F.col("route_exact_name").cast("long")).over(whole) if "exact_name" in routes else F.lit(0).cast("long"),
+        }
+    ).drop("rrf", "route_bits")
+
+
+def digit_evidence(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """Digit typo, target's digits all in the query's, scripts of both names."""
+    p = sides(pairs.select("s1_id", "t_id"), store, ["name", "digits"])
+    p = p.withColumns({f"{side}_script": T.script_code(F.col(f"{side}_name")) for side in "st"})
     return p.select(
         "s1_id", "t_id",
         S.one_digit_typo(F.col("s_digits"), F.col("t_digits")).cast("int").alias("digit_typo"),
         F.when(F.size("t_digits") > 0, (F.size(F.array_except("t_digits", "s_digits")) == 0).cast("int")).alias("digits_tgt_in_s1"),
-        (S.similarity("token_set", F.col("s_cname"), F.col("t_cname")) / 100).alias("canon_name_token_set"),
-        (S.similarity("token_set", F.col("s_caddr"), F.col("t_caddr")) / 100).alias("canon_addr_token_set"),
-        (S.similarity("ratio", F.col("s_caddr"), F.col("t_caddr")) / 100).alias("canon_addr_ratio"),
         "s_script", "t_script",
         (F.col("s_script") != F.col("t_script")).cast("int").alias("script_differs"),
     )
 
 
+def canonical_features(pairs: DataFrame, store: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """``digit_evidence`` and the similarities of canonical names and addresses; canonical texts are made once a record."""
+    table = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv]) if mapping else F.create_map().cast("map<string,string>")
+    texts = store.select("entity_id", T.canonical(F.col("name"), table).alias("cname"), T.canonical(F.col("address"), table).alias("caddr"))
+    p = sides(digit_evidence(pairs, store), texts, ["cname", "caddr"])
+    p = p.withColumn("__addr", S.similarities(["token_set", "ratio"], F.col("s_caddr"), F.col("t_caddr")))
+    p = p.withColumns({"canon_name_token_set": S.similarity("token_set", F.col("s_cname"), F.col("t_cname")) / 100, **S.scored("canon_addr_", "__addr", ["token_set", "ratio"], 0.01)})
+    return p.drop("__addr", "s_cname", "t_cname", "s_caddr", "t_caddr")
+
+
 def number_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """First number equal, shared numbers, Jaccard, target-only numbers; token Jaccard and first token equal."""
     store = records.select("entity_id", T.number_codes(F.col("address")).alias("nums"), T.token_codes(F.col("name")).alias("toks"))
@@ -182,42 +204,49 @@ def sibling_features(pairs: DataFrame, records: DataFrame, score: str, top: int
 
 
 def raw_features(pairs: DataFrame, records: DataFrame, score: str, top: int = 3) -> DataFrame:
-    """Raw-text quirks: name and address ratios to the query and the siblings, street similarity, first numbers that agree."""
-    store = records.select("entity_id", F.col("name").alias("raw_name"), F.col("address").alias("raw_addr"), T.street_text(F.col("address")).alias("street"), T.first_number(F.col("address")).alias("number"))
-    own = sides(pairs.select("s1_id", "t_id"), store, ["raw_name", "raw_addr", "street", "number"])
+    """Quirks of names and addresses as written, against the query's and the list's best other targets.
+
+    Names are compared by ratio, empty ones too. Addresses count where both are given: by ratio as written, by token sort of
+    the street text against the query's, by token set against the siblings'. Equal names of siblings are counted (0 without
+    siblings); first numbers that agree are averaged over the siblings where both sides have one.
+    """
+    store = records.select("entity_id", F.coalesce("name", F.lit("")).alias("raw_name"), F.coalesce("address", F.lit("")).alias("raw_addr"), T.street_text(F.col("address")).alias("street"), T.first_number(F.col("address")).alias("number"))
+    ratio = lambda scorer, a, b: S.similarity(scorer, F.col(a), F.col(b), empty_is_null=False)
+    own = sides(pairs.select("s1_id", "t_id"), store, ["raw_name", "raw_addr", "street"])
+    given = (F.col("s_raw_addr") != "") & (F.col("t_raw_addr") != "")
     own = own.withColumns(
         {
-            "raw_name_ratio_s1": S.similarity("ratio", F.col("s_raw_name"), F.col("t_raw_name"), empty_is_null=False),
+            "raw_name_ratio_s1": ratio("ratio", "s_raw_name", "t_raw_name"),
             "raw_name_eq_s1": (F.col("s_raw_name") == F.col("t_raw_name")).cast("int"),
-            "addr_raw_ratio_s1": S.similarity("ratio", F.col("s_raw_addr"), F.col("t_raw_addr")),
-            "street_sim_s1_exp": S.similarity("token_set", F.col("s_street"), F.col("t_street")),
+            "addr_raw_ratio_s1": F.when(given, ratio("ratio", "s_raw_addr", "t_raw_addr")),
+            "street_sim_s1_exp": F.when(given, ratio("token_sort", "s_street", "t_street")),
         }
     )
+    columns = ["raw_name", "raw_addr", "street", "number"]
+    side = lambda name, letter: store.select(F.col("entity_id").alias(name), *[F.col(c).alias(f"{letter}_{c}") for c in columns])
     sib = siblings(pairs, score, top).select("s1_id", "t_id", F.explode("siblings").alias("sib_id"))
-    sib = sib.join(store.select(F.col("entity_id").alias("sib_id"), F.col("raw_name").alias("b_name"), F.col("street").alias("b_street"), F.col("number").alias("b_number")), "sib_id")
-    sib = sib.join(store.select(F.col("entity_id").alias("t_id"), F.col("raw_name").alias("a_name"), F.col("street").alias("a_street"), F.col("number").alias("a_number")), "t_id")
-    sib = sib.withColumns({"n": S.similarity("ratio", F.col("a_name"), F.col("b_name"), empty_is_null=False), "st": S.similarity("token_sort", F.col("a_street"), F.col("b_street"))})
+    sib = sib.join(side("sib_id", "b"), "sib_id").join(side("t_id", "a"), "t_id")
+    both = (F.col("a_raw_addr") != "") & (F.col("b_raw_addr") != "")
+    numbers = (F.col("a_number") >= 0) & (F.col("b_number") >= 0)
+    sib = sib.withColumns({"n": ratio("ratio", "a_raw_name", "b_raw_name"), "st": F.when(both, ratio("token_set", "a_street", "b_street"))})
     sums = sib.groupBy("s1_id", "t_id").agg(
         F.max("n").alias("raw_name_ratio_sib_max"),
-        F.sum((F.col("a_name") == F.col("b_name")).cast("int")).alias("raw_name_eq_sib"),
+        F.sum((F.col("a_raw_name") == F.col("b_raw_name")).cast("long")).alias("raw_name_eq_sib"),
         F.max("st").alias("street_sim_sib_max"),
         F.avg("st").alias("street_sim_sib_mean"),
-        F.sum(((F.col("a_number") >= 0) & (F.col("a_number") == F.col("b_number"))).cast("int")).alias("first_num_agree_sib"),
+        F.avg(F.when(numbers, (F.col("a_number") == F.col("b_number")).cast("double"))).alias("first_num_agree_sib"),
     )
     keep = ["s1_id", "t_id", "raw_name_ratio_s1", "raw_name_eq_s1", "addr_raw_ratio_s1", "street_sim_s1_exp"]
-    return own.select(*keep).join(sums, ["s1_id", "t_id"], "left")
+    return own.select(*keep).join(sums, ["s1_id", "t_id"], "left").withColumn("raw_name_eq_sib", F.coalesce("raw_name_eq_sib", F.lit(0)))
 
 
 def address_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """Token-set, token-sort and partial similarity of the normalised addresses without numbers."""
     store = records.select("entity_id", T.street_without_numbers(T.normalize_text(F.col("address"))).alias("street"))
     p = sides(pairs.select("s1_id", "t_id"), store, ["street"])
-    return p.select(
-        "s1_id", "t_id",
-        S.similarity("token_set", F.col("s_street"), F.col("t_street")).alias("addr_tset"),
-        S.similarity("token_sort", F.col("s_street"), F.col("t_street")).alias("addr_tsort"),
-        S.similarity("partial", F.col("s_street"), F.col("t_street")).alias("addr_partial"),
-    )
+    scorers = ["token_set", "token_sort", "partial"]
+    p = p.withColumn("__sim", S.similarities(scorers, F.col("s_street"), F.col("t_street"))).withColumns(S.scored("__", "__sim", scorers))
+    return p.select("s1_id", "t_id", F.col("__token_set").alias("addr_tset"), F.col("__token_sort").alias("addr_tsort"), F.col("__partial").alias("addr_partial"))
 
 
 def match_rules(exact: Column, suffix: Column, name: Column, addr: Column) -> dict[str, Column]:
@@ -263,11 +292,17 @@ def number_patterns(pairs: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def pair_features(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """Text evidence of the first matcher: exact and fuzzy names and addresses, digits as words, missing fields."""
+    """Text evidence of the first matcher: exact and fuzzy names and addresses, digits as words, missing fields.
+
+    ``pairs`` may carry ``route_block``, which passes through: together they are the model's whole row.
+    """
     p = sides(pairs, store, ["name", "address", "non_ascii"])
     joined = lambda c: F.array_join(T.digit_runs(F.col(c)), " ")
     p = p.withColumns({"s_nums": joined("s_address"), "t_nums": joined("t_address")})
-    fuzzy = lambda scorer, c: S.similarity(scorer, F.col(f"s_{c}"), F.col(f"t_{c}")) / 100
+    wanted = {"name": list(S.SCORERS), "address": ["ratio", "token_set", "partial"], "nums": ["token_set"]}
+    for c, scorers in wanted.items():
+        p = p.withColumn("__sim", S.similarities(scorers, F.col(f"s_{c}"), F.col(f"t_{c}"))).withColumns(S.scored(f"__{c}_", "__sim", scorers, 0.01)).drop("__sim")
+    fuzzy = lambda scorer, c: F.col(f"__{c}_{scorer}")
     both = lambda c: (F.col(f"s_{c}") != "") & (F.col(f"t_{c}") != "")
     equal = lambda c: (F.col(f"s_{c}") == F.col(f"t_{c}")).cast("int")
     suffix = T.strip_legal_suffix(F.col("s_name")) == T.strip_legal_suffix(F.col("t_name"))
@@ -295,7 +330,7 @@ def pair_features(pairs: DataFrame, store: DataFrame) -> DataFrame:
             "non_ascii_any": (F.col("s_non_ascii") | F.col("t_non_ascii")).cast("int"),
         }
     )
-    return out.drop(*[f"{side}_{c}" for side in "st" for c in ("name", "address", "non_ascii", "nums")])
+    return out.drop(*[f"{side}_{c}" for side in "st" for c in ("name", "address", "non_ascii", "nums")], *[f"__{c}_{x}" for c, scorers in wanted.items() for x in scorers])
 
 
 def token_substitutions(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -326,3 +361,34 @@ def canonical_map(substitutions: DataFrame, least: int = 30, share: float = 0.5)
                 changed = True
     rows = sorted((token, low) for token, low in name.items() if token != low)
     return substitutions.sparkSession.createDataFrame(rows, "token string, canonical string")
+
+
+def feature_ranges(features: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, n_rows, missing_rate, low, high) of each column over all rows; null and NaN are missing."""
+    stats = []
+    for c in columns:
+        value = F.col(c).cast("double")
+        good = value.isNotNull() & ~F.isnan(value)
+        seen = F.when(good, value)
+        stats.append(F.struct(F.lit(c).alias("feature"), F.count("*").alias("n_rows"), F.avg((~F.coalesce(good, F.lit(False))).cast("double")).alias("missing_rate"), F.min(seen).alias("low"), F.max(seen).alias("high")))
+    return features.agg(F.array(*stats).alias("rows")).select(F.inline("rows"))
+
+
+def split_totals(entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Integrity of the pairs by split: one row per split.
+
+    ``entities``: s1_id, split, truth_len; ``pairs``: s1_id, t_id, label. Queries, pairs, positives, gold links, retrieved gold, queries without gold,
+    the recall that the lists allow at most, pairs per query, and repeated pairs (which must be 0).
+    """
+    per = pairs.groupBy("s1_id", "t_id").agg(F.count("*").alias("times"), F.max(F.col("label").cast("long")).alias("label"))
+    per = per.groupBy("s1_id").agg(F.sum("times").alias("pairs"), F.sum("label").alias("positive"), F.sum((F.col("times") > 1).cast("long")).alias("repeated"))
+    e = entities.join(per, "s1_id", "left").fillna(0, ["pairs", "positive", "repeated"])
+    sums = e.groupBy("split").agg(
+        F.count("*").alias("s1"),
+        F.sum("pairs").cast("long").alias("pairs"),
+        F.sum("positive").cast("long").alias("positive_pairs"),
+        F.sum("truth_len").cast("long").alias("truth_links"),
+        F.sum((F.col("truth_len") == 0).cast("long")).alias("singletons"),
+        F.sum("repeated").cast("long").alias("repeated_pairs"),
+    )
+    return sums.withColumns({"recall_ceiling": F.round(F.try_divide("positive_pairs", "truth_links"), 6), "mean_candidates": F.round(F.try_divide("pairs", "s1"), 6)})

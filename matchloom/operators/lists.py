@@ -11,6 +11,37 @@ from pyspark.sql import functions as F
 LIST = "s1_id"
 
 
+def search(bounds: Column, value: Column, steps: int) -> Column:
+    """How many of the ascending ``bounds`` (at most 2^steps of them) are at most ``value``: a binary search inside an expression."""
+    start = F.struct(F.lit(0).alias("low"), F.size(bounds).alias("high"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        below = (state["low"] < state["high"]) & (F.get(bounds, middle) <= value)
+        return F.struct(F.when(below, middle + 1).otherwise(state["low"]).alias("low"), F.when(below | (state["low"] >= state["high"]), state["high"]).otherwise(middle).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), start, halve)["low"]
+
+
+def running_totals(sums: DataFrame, key: str, values: dict[str, str], descending: bool = False, runs: int = 1024) -> DataFrame:
+    """Adds for each ``name: column`` the sum of ``column`` over all rows up to and including the row's ``key`` (distinct, not null).
+
+    The keys are cut into runs at approximate quantiles, each run is summed, the runs' totals (at most ``runs`` rows) are
+    added up, and a window inside each run does the rest: no task holds all keys.
+    """
+    cuts = sums.agg(F.percentile_approx(key, F.array(*[F.lit(i / runs) for i in range(1, runs)]), F.lit(20_000)).alias("cuts"))
+    cuts = cuts.select(F.coalesce(F.array_sort(F.array_distinct("cuts")), F.array().cast(f"array<{dict(sums.dtypes)[key]}>")).alias("__cuts"))
+    placed = sums.crossJoin(F.broadcast(cuts)).withColumn("__run", search(F.col("__cuts"), F.col(key), runs.bit_length())).drop("__cuts")
+    order = F.col("__run").desc() if descending else F.col("__run").asc()
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("__run").agg(*[F.sum(c).alias(f"__{n}") for n, c in values.items()])
+    starts = totals.select(F.col("__run").alias("__of"), *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in values])
+    own = F.col(key).desc() if descending else F.col(key).asc()
+    within = Window.partitionBy("__run").orderBy(own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = placed.join(F.broadcast(starts), F.col("__run") == F.col("__of"))
+    return joined.withColumns({n: F.col(f"__before_{n}") + F.sum(c).over(within) for n, c in values.items()}).drop("__run", "__of", *[f"__before_{n}" for n in values])
+
+
 def best_first(score: str, *ties: str) -> Window:
     return Window.partitionBy(LIST).orderBy(F.col(score).desc_nulls_last(), *(ties or ("t_id",)))
 
@@ -24,6 +55,22 @@ def keep_top(pairs: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
     return ranked(pairs, score, "__rank", *ties).where(F.col("__rank") < k).drop("__rank")
 
 
+def restrict(pairs: DataFrame, entities: DataFrame, score: str, k: int, *ties: str) -> tuple[DataFrame, DataFrame]:
+    """The lists cut to their first ``k`` rows (unscored rows last), and the entities with n_cand and retrieved_truth counted anew.
+
+    ``retrieved_truth`` is recounted where all rows kept are labelled (0 or 1), and left alone otherwise; truth_len never changes.
+    """
+    kept = keep_top(pairs, score, k, *ties)
+    per = kept.groupBy(LIST).agg(F.count("*").alias("__n"), F.sum((F.col("label") == 1).cast("long")).alias("__hits"))
+    labelled = kept.agg(F.coalesce(F.min((F.col("label") >= 0).cast("int")), F.lit(1)).alias("__labelled"))
+    counted = entities.join(per, LIST, "left").crossJoin(F.broadcast(labelled))
+    kind = dict(entities.dtypes)
+    again = {"n_cand": F.coalesce("__n", F.lit(0)).cast(kind.get("n_cand", "long"))}
+    if "retrieved_truth" in kind:
+        again["retrieved_truth"] = F.when(F.col("__labelled") == 1, F.coalesce("__hits", F.lit(0))).otherwise(F.col("retrieved_truth")).cast(kind["retrieved_truth"])
+    return kept, counted.withColumns(again).drop("__n", "__hits", "__labelled")
+
+
 def route_positions(candidates: DataFrame) -> DataFrame:
     """Position from 1 of each candidate in the merged two-source order of its route, by (-score, id)."""
     by = Window.partitionBy(LIST, "route").orderBy(F.col("score").desc_nulls_last(), "t_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, retrieval  # noqa: F401  they register their queries
+from . import decisions, retrieval, workflow  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 from .flagship import flagship
 

@@ -20,15 +20,18 @@ from .base import (
     ROUTES_SQL,
     SCORED_SQL,
     TEXT_DIGITS,
+    WORD_GRAMS,
     dense_vectors,
     entities,
     filter_list,
     gold,
+    grams_sql,
     linkage_records,
     query,
     query_routes,
     rare_sql,
     table,
+    tfidf_sql,
 )
 
 _TOP = "SELECT s1_id, t_id, source, score, rank FROM {}"
@@ -78,50 +81,19 @@ def digit_candidates(spark, sf_dir):
     return C.rare_digits(linkage_records(spark, sf_dir), "text")
 
 
-def tfidf_sql(grams: str, max_df: float, k: int) -> str:
-    """The TF-IDF route over a list expression of grams with repeats."""
-    return f"""WITH {R_SQL},
-tt AS (SELECT source, country, entity_id AS id, gram, 1 + ln(count(*)) AS tf FROM (SELECT source, country, entity_id, unnest({grams}) AS gram FROM g) GROUP BY ALL),
-tq AS (SELECT country, entity_id AS id, gram, 1 + ln(count(*)) AS tf FROM (SELECT country, entity_id, unnest({grams}) AS gram FROM q) GROUP BY ALL),
-sz AS (SELECT source, country, count(*) AS n FROM g GROUP BY ALL),
-idf AS (
-  SELECT source, country, gram, ln((1.0 + n) / (1.0 + df)) + 1 AS idf
-  FROM (SELECT source, country, gram, count(*) AS df FROM tt GROUP BY ALL) JOIN sz USING (source, country) WHERE df <= greatest(2.0, n * {max_df}::DOUBLE)
-),
-wt AS (SELECT source, country, id, gram, tf * idf AS w FROM tt JOIN idf USING (source, country, gram)),
-wq AS (SELECT source, country, id, gram, tf * idf AS w FROM tq JOIN idf USING (country, gram)),
-nt AS (SELECT source, country, id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY ALL),
-nq AS (SELECT source, country, id, sqrt(sum(w * w)) AS norm FROM wq GROUP BY ALL),
-dots AS (SELECT source, country, wq.id AS s1_id, wt.id AS t_id, sum(wq.w * wt.w) AS dot FROM wq JOIN wt USING (source, country, gram) GROUP BY ALL),
-sc AS (
-  SELECT s1_id, t_id, dots.source, round(dot / (nt.norm * nq.norm), 6) AS score FROM dots
-  JOIN nt ON nt.source = dots.source AND nt.country = dots.country AND nt.id = t_id JOIN nq ON nq.source = dots.source AND nq.country = dots.country AND nq.id = s1_id
-)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id, source ORDER BY score DESC, t_id) AS INTEGER) AS rank FROM sc) WHERE rank <= {k}"""
-
-
-def _grams_sql(field: str) -> str:
-    part = "list_transform(generate_series(1, length({0}) - {2}), lambda i: substr({0}, i, {1}))"
-    return f"list_concat({part.format(field, 3, 2)}, {part.format(field, 4, 3)})"
-
-
-_WORDS = r"regexp_extract_all(name, '[\p{L}\p{N}_]+')"
-_WORD_GRAMS = f"list_concat({_WORDS}, list_transform(generate_series(1, len({_WORDS}) - 1), lambda i: ({_WORDS})[i] || ' ' || ({_WORDS})[i + 1]))"
-
-
-@query("char_tfidf_topk", tfidf_sql(_grams_sql("name"), 0.1, 5))
+@query("char_tfidf_topk", f"WITH {R_SQL}, {tfidf_sql('char', grams_sql('name'), 0.01)} " + _TOP.format("char_top"))
 def char_tfidf_topk(spark, sf_dir):
-    return C.name_char_tfidf(materialise(linkage_records(spark, sf_dir).drop("text"), "records"), max_df=0.1, k=5)
+    return C.name_char_tfidf(materialise(linkage_records(spark, sf_dir).drop("text"), "records"))
 
 
-@query("word_tfidf_topk", tfidf_sql(_WORD_GRAMS, 0.1, 10))
+@query("word_tfidf_topk", f"WITH {R_SQL}, {tfidf_sql('word', WORD_GRAMS, 0.1)} " + _TOP.format("word_top"))
 def word_tfidf_topk(spark, sf_dir):
-    return C.name_word_tfidf(materialise(linkage_records(spark, sf_dir).drop("text"), "records"), max_df=0.1, k=10)
+    return C.name_word_tfidf(materialise(linkage_records(spark, sf_dir).drop("text"), "records"))
 
 
-@query("address_tfidf_topk", tfidf_sql(_grams_sql("address"), 0.02, 5))
+@query("address_tfidf_topk", f"WITH {R_SQL}, {tfidf_sql('address', grams_sql('address'), 0.01)} " + _TOP.format("address_top"))
 def address_tfidf_topk(spark, sf_dir):
-    return C.address_char_tfidf(materialise(linkage_records(spark, sf_dir).drop("text"), "records"), max_df=0.02, k=5)
+    return C.address_char_tfidf(materialise(linkage_records(spark, sf_dir).drop("text"), "records"))
 
 
 @query("route_union_rrf", f"WITH {ROUTES_SQL} SELECT s1_id, t_id, route_bits, n_routes, rrf, rrf_rank FROM fused")
@@ -142,7 +114,7 @@ def route_evidence(spark, sf_dir):
 
 @query(
     "route_subset_pareto",
-    f"""WITH {ROUTES_SQL}, masks AS (SELECT range AS mask FROM range(16)),
+    f"""WITH {ROUTES_SQL}, masks AS (SELECT range AS mask FROM range(128)),
     c AS (SELECT mask, CAST(count(fused.t_id) AS BIGINT) AS pairs, CAST(count(gold.t_id) AS BIGINT) AS hits FROM masks LEFT JOIN fused ON (mask & route_bits) <> 0 LEFT JOIN gold ON gold.s1_id = fused.s1_id AND gold.t_id = fused.t_id GROUP BY mask)
     SELECT mask, pairs, hits, round(hits::DOUBLE / nullif((SELECT count(*) FROM gold), 0), 6) AS recall, round(pairs::DOUBLE / nullif((SELECT count(*) FROM q), 0), 6) AS mean_candidates,
     NOT EXISTS (SELECT 1 FROM c o WHERE o.hits >= c.hits AND o.pairs <= c.pairs AND (o.hits > c.hits OR o.pairs < c.pairs)) AS pareto FROM c""",
@@ -199,35 +171,36 @@ def candidate_quality(spark, sf_dir):
 @query("dense_knn", f"WITH {DENSE_SQL} SELECT * FROM dense")
 def dense_knn(spark, sf_dir):
     q, t = dense_vectors(spark, sf_dir)
-    return C.dense_neighbours(q, t, 10).select("s1_id", "t_id", "dense_score", "dense_rank")
+    return C.dense_neighbours(q, t).select("s1_id", "t_id", "dense_score", "dense_rank")
 
 
-# The base list for the dense queries: dense rows with an even target id.
-_BASE_SQL = "base AS (SELECT s1_id, t_id, dense_score AS filter_score, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY dense_score DESC, t_id) - 1 AS INTEGER) AS filter_rank FROM dense WHERE t_id % 2 = 0)"
+# The base list for the dense queries: the top 40 by the first quarter of the dimensions.
+_BASE_SQL = """bs AS (SELECT a.vec_id AS s1_id, b.vec_id AS t_id, round(list_cosine_similarity(a.v[1:16], b.v[1:16]), 6) AS filter_score FROM dv a JOIN dv b USING (place)),
+base AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY filter_score DESC, t_id) - 1 AS INTEGER) AS filter_rank FROM bs) WHERE filter_rank < 40)"""
 
 
 def _dense_lists(spark, sf_dir):
     q, t = dense_vectors(spark, sf_dir)
-    dense = C.dense_neighbours(q, t, 10)
-    base = L.ranked(dense.where("t_id % 2 = 0").select("s1_id", "t_id", F.col("dense_score").alias("filter_score")), "filter_score", "filter_rank")
-    return dense, base
+    part = F.slice("vector", 1, 16)
+    base = C.dense_neighbours(q.withColumn("vector", part), t.withColumn("vector", part), 40)
+    return C.dense_neighbours(q, t), base.select("s1_id", "t_id", F.col("dense_score").alias("filter_score"), F.col("dense_rank").alias("filter_rank"))
 
 
-@query("dense_new_pairs", f"WITH {DENSE_SQL}, {_BASE_SQL} SELECT s1_id, t_id, dense_score, dense_rank FROM dense ANTI JOIN base USING (s1_id, t_id) WHERE dense_rank < 6")
+@query("dense_new_pairs", f"WITH {DENSE_SQL}, {_BASE_SQL} SELECT s1_id, t_id, dense_score, dense_rank FROM dense ANTI JOIN base USING (s1_id, t_id) WHERE dense_rank < 20")
 def dense_new_pairs(spark, sf_dir):
     dense, base = _dense_lists(spark, sf_dir)
-    return C.new_dense_pairs(dense, base, 6).select("s1_id", "t_id", "dense_score", "dense_rank")
+    return C.new_dense_pairs(dense, base).select("s1_id", "t_id", "dense_score", "dense_rank")
 
 
 @query(
     "augmented_list",
-    f"""WITH {DENSE_SQL}, {_BASE_SQL}, fresh AS (SELECT * FROM dense ANTI JOIN base USING (s1_id, t_id) WHERE dense_rank < 6),
+    f"""WITH {DENSE_SQL}, {_BASE_SQL}, fresh AS (SELECT * FROM dense ANTI JOIN base USING (s1_id, t_id) WHERE dense_rank < 20),
     both_lists AS (SELECT s1_id, t_id, filter_score, filter_rank FROM base UNION ALL SELECT s1_id, t_id, -20.0, 40 + dense_rank FROM fresh)
     SELECT s1_id, t_id, filter_score, filter_rank, dense_score, coalesce(dense_rank, 999)::DOUBLE AS dense_rank FROM both_lists LEFT JOIN dense USING (s1_id, t_id)""",
 )
 def augmented_list(spark, sf_dir):
     dense, base = _dense_lists(spark, sf_dir)
-    return C.augment(base, C.new_dense_pairs(dense, base, 6), dense)
+    return C.augment(base, C.new_dense_pairs(dense, base), dense)
 
 
 @query(
@@ -252,7 +225,7 @@ def dense_coverage(spark, sf_dir):
 )
 def reverse_competition(spark, sf_dir):
     q, t = dense_vectors(spark, sf_dir)
-    rows = L.reverse_competition(C.dense_neighbours(q, t, 10))
+    rows = L.reverse_competition(C.dense_neighbours(q, t))
     return rows.select("s1_id", "t_id", "rev_best_other", F.round("rev_margin", 6).alias("rev_margin"), "rev_count_other", "rev_is_top")
 
 

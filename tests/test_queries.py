@@ -9,7 +9,7 @@ from matchloom.queries import QUERIES, SQL
 from .conftest import SF
 
 # Long model fits are covered by test_models.
-SLOW = {"flagship_link", "edit_similarity_pairs", "stacked_model", "filter_model", "street_similarity", "pair_features"}
+SLOW = {"flagship_link", "stacked_model", "filter_model"}
 
 
 def _rows(columns, rows):
