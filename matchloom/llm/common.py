@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_importable, materialise, shared_dir
 
-__all__ = ["WORD_PATTERN", "byte_groups", "hash_sample", "id_bucket", "map_batches", "materialise", "read_table", "release_memory", "shared_dir", "word_count"]
+__all__ = ["WORD_PATTERN", "byte_groups", "free_name", "hash_sample", "id_bucket", "map_batches", "materialise", "read_table", "release_memory", "shared_dir", "word_count"]
 
 # ASCII white space of the word rule used across the operators; everything else belongs to words.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -54,6 +54,15 @@ def byte_groups(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_count(column: str = "text") -> F.Column:
     """Number of words (``WORD_PATTERN``) as a long; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -22,15 +22,19 @@ is alone with such rows; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, materialise, read_table, release_memory
+from ..session import ensure_importable
+from .common import byte_groups, free_name, map_batches, materialise, read_table, release_memory
 
 RADIUS = 3
 _SLICE = 1 << 20
@@ -270,9 +274,8 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     return seen
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """Four 64-bit words: SimHash over 256 bits of the text's distinct shingles (a text of one shingle: its hash, four times)."""
-    seen = shingle_set(text, words)
+def _wide_of(seen: np.ndarray) -> np.ndarray:
+    """Four 64-bit words: SimHash over 256 bits of distinct shingles (one shingle: its hash, four times; none: zero)."""
     if len(seen) < 2:
         return np.full(4, seen[0] if len(seen) else 0, dtype=np.uint64)
     total = np.zeros(256, dtype=np.int64)
@@ -286,6 +289,11 @@ def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
     return np.packbits(2 * total > len(seen), bitorder="little").view(np.uint64)
 
 
+def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """The 256-bit SimHash of a whole text's distinct shingles."""
+    return _wide_of(shingle_set(text, words))
+
+
 def table_masks(tables: int, bits: int, seed: int = 5) -> list[list[int]]:
     """Which bits of the 256 name a bucket, for each table."""
     rng = np.random.default_rng(seed)
@@ -323,20 +331,36 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.
     return np.concatenate(left), np.concatenate(right)
 
 
-def wide_forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within the radius that join all such pairs of whole buckets (rows sorted by key, every pair compared)."""
-    return _forest(len(fps), _near_pairs(keys, fps, radius))
+def _possible_pairs(keys: np.ndarray, sizes: np.ndarray, fps: np.ndarray, radius: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a bucket within the radius whose shingle sets are not too unequal in size to be similar at ``least``."""
+    for a, b in _near_pairs(keys, fps, radius):
+        low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        fit = low >= least * high
+        if fit.any():
+            yield a[fit], b[fit]
+
+
+def wide_tables(n: int, radius_share: float, least_bits: int = 12, bucket: int = 4096, recall: float = 0.9999) -> tuple[int, int]:
+    """(tables, bits) for ``n`` fingerprints: names long enough for about ``bucket`` members, and as many tables as ``recall`` takes.
+
+    Two texts at the threshold differ in about ``radius_share`` of their bits, so a name of b sampled bits agrees in (1 - share)^b of
+    the tables; comparisons a fingerprint stay the same at every size, and tables grow with a power of ``n`` below a half.
+    """
+    bits = max(least_bits, math.ceil(math.log2(max(1, n) / bucket)))
+    agree = (1 - radius_share) ** bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - agree)), bits
 
 
 def _dealt(classes: DataFrame, masks: list[list[int]], split_at: int) -> DataFrame:
-    """(key, fp, w0, w1, w2, w3): each fingerprint in its buckets.
+    """(key, wide, n, w0, w1, w2, w3): each fingerprint in its buckets.
 
     A bucket above ``split_at`` members is dealt into blocks by digest and becomes one bucket per pair of blocks, so that
-    each two of its members still meet, in tasks of their own. The keys have room for 4,096 blocks of a bucket.
+    each two of its members still meet, in tasks of their own.
     """
+    names = ["wide", "n", *_PARTS]
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        fps = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64)
+        fps = np.stack([c.to_numpy() for c in batch.columns[2:]], axis=1).view(np.uint64)
         for i, mask in enumerate(masks):
             yield (_sampled(fps, mask) | np.uint64(i << 40)).view(np.int64)
 
@@ -344,55 +368,81 @@ def _dealt(classes: DataFrame, masks: list[list[int]], split_at: int) -> DataFra
         for batch in batches:
             for keys in keys_of(batch):
                 values, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["large", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["large", "members"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys in keys_of(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], ["key", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], ["key", *names])
 
-    parts = ["w0", "w1", "w2", "w3"]
-    sizes = classes.mapInArrow(count, "large long, n long").groupBy("large").agg(F.sum("n").alias("n")).where(F.col("n") > split_at)
+    rows = classes.select(*names)
+    sizes = rows.mapInArrow(count, "large long, members long").groupBy("large").agg(F.sum("members").alias("members")).where(F.col("members") > split_at)
     # Written out, so that its size is known and a short list of large buckets is broadcast.
-    large = materialise(sizes.select("large", F.least(F.ceil(F.col("n") / split_at), F.lit(4096)).cast("int").alias("blocks")), "wide-large")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    large = materialise(sizes.select("large", F.least(F.ceil(F.col("members") / split_at), F.lit(1 << 15)).cast("int").alias("blocks")), "wide-large")
+    mine = F.pmod(F.xxhash64("wide"), F.col("blocks")).cast("int")
     other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine)
-    cut = F.transform(other, lambda j: F.col("key").bitwiseOR(F.shiftleft((F.least(mine, j) * 4096 + F.greatest(mine, j)).cast("long"), 16)))
-    rows = classes.mapInArrow(deal, "key long, fp long, w0 long, w1 long, w2 long, w3 long").join(large, F.col("key") == F.col("large"), "left")
-    return rows.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(cut)).alias("key"), "fp", *parts)
+    cut = F.transform(other, lambda j: F.xxhash64("key", F.least(mine, j), F.greatest(mine, j)))
+    dealt = rows.mapInArrow(deal, "key long, wide long, n int, w0 long, w1 long, w2 long, w3 long").join(large, F.col("key") == F.col("large"), "left")
+    return dealt.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(cut)).alias("key"), *names)
 
 
-def _wide_labels(docs: DataFrame, words: int, radius: int, tables: int, bits: int, split_at: int = 2048, least: float = 0.8) -> DataFrame:
-    """(doc_id, uid, fp, root) of every row: fp names the wide fingerprint, root the group.
+_PARTS = ["w0", "w1", "w2", "w3"]
 
-    Fingerprints within the radius are only candidates: two texts link where their shingle sets are similar at ``least``.
+
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, uid, fp, wide, n, w0, w1, w2, w3) of every row, by one pass over the texts.
+
+    uid is a digest of id and text, fp the 64-bit fingerprint, w0 to w3 the 256-bit one with the name ``wide``, n the number of distinct
+    ``words``-word shingles.
     """
 
-    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.stack([wide_fingerprint(x.as_py(), words) for x in batch.column(2)]).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(4))], ["doc_id", "uid", "w0", "w1", "w2", "w3"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                narrow, sizes, wide = [], [], []
+                for text in part.column(2):
+                    text = text.as_py()
+                    seen = shingle_set(text, words)
+                    narrow.append(fingerprint(text)), sizes.append(len(seen)), wide.append(_wide_of(seen))
+                fps = np.stack(wide).view(np.int64)
+                columns = [pa.array(np.array(narrow, dtype=np.uint64).view(np.int64)), pa.array(np.array(sizes, dtype=np.int32))]
+                columns += [pa.array(np.ascontiguousarray(fps[:, i])) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "uid", "fp", "n", *_PARTS])
+            release_memory()
+
+    ensure_importable(docs.sparkSession)
+    source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
+    rows = source.mapInArrow(run, "doc_id long, uid long, fp long, n int, w0 long, w1 long, w2 long, w3 long")
+    return rows.select("doc_id", "uid", "fp", F.xxhash64(*_PARTS).alias("wide"), "n", *_PARTS)
+
+
+def wide_links(rows: DataFrame, docs: DataFrame, words: int, radius: int, tables: int | None = None, bits: int | None = None, split_at: int = 2048, least: float = 0.8) -> DataFrame:
+    """(node, root) of the wide fingerprints (``sketches``) that link to another one; the root names the group.
+
+    Fingerprints within the radius are only candidates: two texts link where their shingle sets are similar at ``least``.
+    """
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, *columns in _sorted_buckets(batches):
-            a, b = wide_forest(keys, np.stack(columns, axis=1).view(np.uint64), radius)
+        for keys, ids, sizes, *columns in _sorted_buckets(batches):
+            a, b = _forest(len(ids), _possible_pairs(keys, sizes, np.stack(columns, axis=1).view(np.uint64), radius, least))
             yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(ids[a]), pa.array(ids[b])], ["key", "a", "b"])
             release_memory()
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, *columns, roots in _sorted_buckets(batches):
-            for a, b in _near_pairs(keys, np.stack(columns, axis=1).view(np.uint64), radius):
+        for keys, ids, sizes, *columns, roots in _sorted_buckets(batches):
+            for a, b in _possible_pairs(keys, sizes, np.stack(columns, axis=1).view(np.uint64), radius, least):
                 apart = roots[a] != roots[b]
                 if apart.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a[apart]]), pa.array(ids[b[apart]])], ["a", "b"])
             release_memory()
 
-    parts = ["w0", "w1", "w2", "w3"]
-    source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-    rows = materialise(map_batches(source, "doc_id long, uid long, w0 long, w1 long, w2 long, w3 long", sketch).withColumn("fp", F.xxhash64(*parts)), "wide-fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(*[F.first(w).alias(w) for w in parts], F.min("uid").alias("uid")), "wide-classes")
+    classes = materialise(rows.groupBy("wide").agg(F.first("n").alias("n"), *[F.first(w).alias(w) for w in _PARTS], F.min("uid").alias("uid")), "wide-classes")
+    if tables is None or bits is None:
+        tables, bits = wide_tables(classes.count(), 39 / 256)
     texts = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "text")
-    dealt = _dealt(classes.select("fp", *parts), table_masks(tables, bits), split_at)
-    found = materialise(dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(forest, "key long, a long, b long"), "wide-forest")
+    dealt = _dealt(classes, table_masks(tables, bits), split_at)
+    found = materialise(dealt.repartition("key").sortWithinPartitions("key", "wide").mapInArrow(forest, "key long, a long, b long"), "wide-forest")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     sure = materialise(_similar(found.select(*pair).distinct(), classes, texts, words, least), "wide-sure")
     links = connect(sure, "wide-stars")
@@ -401,13 +451,11 @@ def _wide_labels(docs: DataFrame, words: int, radius: int, tables: int, bits: in
     open_ = materialise(open_, "wide-open")
     if not open_.isEmpty():
         roots = links.select("node", "root")
-        again = dealt.join(open_, F.col("key") == F.col("open"), "left_semi").join(roots, F.col("fp") == F.col("node"), "left")
-        again = again.select("key", "fp", *parts, F.coalesce("root", "fp").alias("root")).repartition("key").sortWithinPartitions("key", "fp")
+        again = dealt.join(open_, F.col("key") == F.col("open"), "left_semi").join(roots, F.col("wide") == F.col("node"), "left")
+        again = again.select("key", "wide", "n", *_PARTS, F.coalesce("root", "wide").alias("root")).repartition("key").sortWithinPartitions("key", "wide")
         more = materialise(again.mapInArrow(rest, "a long, b long").select(*pair).distinct(), "wide-rest")
         links = connect(sure.union(_similar(more, classes, texts, words, least)), "wide-stars")
-    # Written out, so that the join below meets plain exchanges and adaptive execution can split a fingerprint with many copies.
-    links = materialise(links, "wide-links")
-    return rows.join(links, F.col("fp") == F.col("node"), "left").select("doc_id", "uid", "fp", F.coalesce("root", "fp").alias("root"))
+    return links
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -415,19 +463,21 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            start = 0
+            sizes = [x.as_py() or 0 for x in pa.compute.binary_length(batch.column(1))]
+            for start, end in byte_groups(sizes, 1 << 19):
+                part = batch.slice(start, end - start)
                 sets = [shingle_set(x.as_py(), words).view(np.int64) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["wide", "shingles"])
             release_memory()
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct()
-    chosen = materialise(classes.join(needed, F.col("fp") == F.col("needed"), "left_semi").select("fp", F.col("uid").alias("chosen")), "wide-chosen")
+    chosen = materialise(classes.join(needed, F.col("wide") == F.col("needed"), "left_semi").select("wide", F.col("uid").alias("chosen")), "wide-chosen")
     # Rows repeated in full share their uid; one of them is enough.
-    one = texts.join(chosen, F.col("uid") == F.col("chosen")).groupBy("fp").agg(F.first("text").alias("text"))
-    sets = materialise(one.select("fp", "text").mapInArrow(shingle, "fp long, shingles array<bigint>"), "wide-shingles")
-    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    one = texts.join(chosen, F.col("uid") == F.col("chosen")).groupBy("wide").agg(F.first("text").alias("text"))
+    sets = materialise(one.select("wide", "text").mapInArrow(shingle, "wide long, shingles array<bigint>"), "wide-shingles")
+    left = sets.select(F.col("wide").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("wide").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -443,9 +493,11 @@ def connect(edges: DataFrame, label: str = "stars") -> DataFrame:
     before = None
     while True:
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        # Minima are written out, so that the joins meet plain exchanges and adaptive execution can split a node with many edges.
+        low = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), f"{label}-low")
         large = both.where(F.col("b") > F.col("a")).join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
+        large = materialise(large, f"{label}-large")
+        lowest = materialise(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), f"{label}-lowest")
         linked = large.join(lowest, F.col("a") == F.col("n"))
         small = linked.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
         following = materialise(small, label)
@@ -455,42 +507,61 @@ def connect(edges: DataFrame, label: str = "stars") -> DataFrame:
         current, before = following, digest
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, fp, root, component_id) for every row of ``docs`` (doc_id, text)."""
-    rows = materialise(fingerprints(docs), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+def _rooted(rows: DataFrame) -> DataFrame:
+    """(known, root, first_id) of every 64-bit fingerprint of ``rows`` (doc_id, fp)."""
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     links = connect(near_edges(classes))
-    rooted = classes.join(links, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    # Written out, so that the join below meets plain exchanges and adaptive execution can split a fingerprint with many copies.
-    lookup = materialise(rooted.join(named, "root").select(F.col("fp").alias("known"), "root", "component_id"), "components")
-    return rows.join(lookup, F.col("fp") == F.col("known")).select("doc_id", "uid", "fp", "root", "component_id")
+    return classes.join(links, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("known"), F.coalesce("root", "fp").alias("root"), "first_id")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text)."""
-    return _labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 60, tables: int = 64, bits: int = 12) -> DataFrame:
+    rows = materialise(fingerprints(docs), "fingerprints")
+    rooted = _rooted(rows)
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written out, so that the join below meets plain exchanges and adaptive execution can split a fingerprint with many copies.
+    lookup = materialise(rooted.join(named, "root").select("known", "component_id"), "components")
+    joined = rows.join(lookup, F.col("fp") == F.col("known"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_groups(docs: DataFrame, words: int = 5, radius: int = 56, tables: int | None = None, bits: int | None = None, split_at: int = 2048, least: float = 0.8) -> DataFrame:
+    """(doc_id, uid, root) of every row of ``docs`` (doc_id, text); the root names the near-duplicate group (see ``keep_one``)."""
+    rows = materialise(sketches(docs, words), "sketches")
+    narrow = materialise(_rooted(rows).select("known", F.col("root").alias("near")), "narrow-links")
+    wide = materialise(wide_links(rows, docs, words, radius, tables, bits, split_at, least), "wide-links")
+    # Both kinds of links between classes of equal fingerprints, then the classes' components.
+    pairs = rows.select("fp", "wide").distinct().join(narrow, F.col("fp") == F.col("known")).select("near", "wide").distinct()
+    pairs = pairs.join(wide, F.col("wide") == F.col("node"), "left").select("near", F.coalesce("root", "wide").alias("group")).distinct()
+    low = pairs.groupBy("near").agg(F.min("group").alias("low"))
+    merged = materialise(connect(pairs.join(low, "near").select(F.col("group").alias("a"), F.col("low").alias("b")), "merged-groups"), "merged-links")
+    group = materialise(
+        rows.select("wide").distinct().join(wide, F.col("wide") == F.col("node"), "left").select("wide", F.coalesce("root", "wide").alias("group"))
+        .join(merged.select(F.col("node").alias("of"), F.col("root").alias("top")), F.col("group") == F.col("of"), "left")
+        .select(F.col("wide").alias("known"), F.coalesce("top", "group").alias("root")),
+        "wide-groups",
+    )
+    return rows.select("doc_id", "uid", "wide").join(group, F.col("wide") == F.col("known")).select("doc_id", "uid", "root")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 56, tables: int | None = None, bits: int | None = None) -> DataFrame:
     """One row of ``docs`` per near-duplicate group, the one with the smallest id (null ids last), with all its columns.
 
     Groups join texts whose 64-bit fingerprints link, and texts whose sets of ``words``-word shingles have a Jaccard similarity
     of at least 0.8. Candidates for the latter are 256-bit fingerprints within ``radius`` that meet in one of ``tables`` samples of
-    ``bits`` bits; at exactly 0.8 they differ in 39 bits on average, so an expected 99.8 % of the pairs are candidates. Each
-    candidate's similarity is computed from the shingles before it links. Rows repeated in full count as one.
+    ``bits`` bits (by default as ``wide_tables`` has it for their number); at exactly 0.8 they differ in 39 bits on average, so an
+    expected 99.8 % of the pairs are candidates. Each candidate's similarity is computed from the shingles before it links. Rows
+    repeated in full count as one; of rows with equal id and text but other columns the one with the smallest digest stays.
     """
-    wide = _wide_labels(docs, words, radius, tables, bits).select("uid", F.col("root").alias("group"))
-    narrow = _labelled(docs).select("doc_id", "uid", F.col("root").alias("near"))
-    both = narrow.join(wide.distinct(), "uid")
-    ties = both.groupBy("near").agg(F.min("group").alias("low")).join(both.select("near", "group").distinct(), "near")
-    merged = materialise(connect(ties.select(F.col("group").alias("a"), F.col("low").alias("b")), "merged-groups"), "merged-links")
-    grouped = both.join(merged, F.col("group") == F.col("node"), "left").select("doc_id", "uid", F.coalesce("root", "group").alias("root"))
+    grouped = near_groups(docs.select("doc_id", "text"), words, radius, tables, bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("first")
-    heads = grouped.groupBy("root").agg(first).select(F.col("first.uid").alias("__head"))
-    rows = docs.withColumn("__uid", F.xxhash64("doc_id", "text")).join(heads, F.col("__uid") == F.col("__head"), "left_semi")
-    once = Window.partitionBy("__uid").orderBy(F.lit(0))
-    return rows.withColumn("__n", F.row_number().over(once)).where(F.col("__n") == 1).drop("__uid", "__n")
+    heads = materialise(grouped.groupBy("root").agg(first).select(F.col("first.uid").alias("head")), "heads")
+    mark = free_name(docs, "uid")
+    place = free_name(docs, "place")
+    plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    once = Window.partitionBy(mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    rows = docs.withColumn(mark, F.xxhash64("doc_id", "text")).withColumn(place, F.row_number().over(once)).where(F.col(place) == 1)
+    return rows.join(heads.withColumnRenamed("head", free_name(docs, "head")), F.col(mark) == F.col(free_name(docs, "head")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -415,6 +415,21 @@ def test_wide_fingerprints_follow_similarity(spark):
     assert [2 * i + 1 not in kept for i in range(120)] == near
 
 
+def wide_roots(spark, rows, radius):
+    """The groups by similarity alone, all fingerprints in one bucket."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = simhash.materialise(simhash.sketches(docs), "sketches")
+    roots = {r.node: r.root for r in simhash.wide_links(sketched, docs, 5, radius, 1, 0).collect()}
+    return {r.doc_id: roots.get(r.wide, r.wide) for r in sketched.collect()}
+
+
+def test_tables_grow_with_the_fingerprints():
+    assert simhash.wide_tables(0, 39 / 256) == simhash.wide_tables(10**7, 39 / 256) == (63, 12)
+    for n in (10**8, 10**9, 10**10):
+        tables, bits = simhash.wide_tables(n, 39 / 256)
+        assert n / 2**bits <= 4096 and (1 - (1 - 39 / 256) ** bits) ** tables <= 1.0001e-4
+
+
 def test_large_buckets_lose_no_pair(spark):
     """One bucket of 5,000 fingerprints: every pair within the radius is joined, as brute force finds it."""
     rng = random.Random(5)
@@ -428,7 +443,7 @@ def test_large_buckets_lose_no_pair(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
     fps = [simhash.wide_fingerprint(t) for _, t in rows]
     near = [i for i in range(2500) if np.bitwise_count(fps[2 * i] ^ fps[2 * i + 1]).sum() <= 44]
-    root = {r.doc_id: r.root for r in simhash._wide_labels(spark.createDataFrame(rows, "doc_id long, text string"), 5, 44, 1, 0).collect()}
+    root = wide_roots(spark, rows, 44)
     assert len(near) > 1000
     shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
     for i in near:
@@ -480,7 +495,7 @@ def test_candidates_that_fail_hide_no_link(spark):
             if similar(i, j) >= 0.8 and want[i] != want[j]:
                 low, high = sorted((want[i], want[j]))
                 want = [low if x == high else x for x in want]
-    root = {r.doc_id: r.root for r in simhash._wide_labels(spark.createDataFrame(rows, "doc_id long, text string"), 5, 256, 1, 0).collect()}
+    root = wide_roots(spark, rows, 256)
     assert 20 < len(set(want)) < len(rows)
     assert [[root[i] == root[j] for j in range(len(rows))] for i in range(len(rows))] == [[x == y for y in want] for x in want]
 
