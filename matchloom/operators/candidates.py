@@ -92,13 +92,11 @@ def rare_digits(records: DataFrame, text: str = "address", **options) -> DataFra
 
 
 def char_grams(text: Column, low: int = 3, high: int = 4) -> Column:
-    """Character n-grams over the whole string, blanks included, with repeats."""
+    """Character n-grams over the whole string, blanks included, with repeats; one pass a length, whatever the string's length.
 
-    def of(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    The second half of a surrogate pair starts no gram.
+    """
+    return F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)])
 
 
 def word_grams(text: Column) -> Column:
