@@ -288,7 +288,7 @@ def expected_f_sizes(pairs: DataFrame, width: int = 10, extra_missed: float = 0.
         outside = distribution(F.slice("p", k + 1, F.lit(width)))
 
         def value(a: Column, b: Column) -> Column:
-            return F.when(k == 0, ((a == 0) & (b == 0)).cast("double")).when(a > 0, 1.25 * a / (1.25 * a + 0.25 * b + (k - a))).otherwise(F.lit(0.0))
+            return F.when(k == 0, ((a == 0) & (b == 0)).cast("double")).when(a > 0, 1.25 * a / (1.25 * a + 0.25 * (b + extra_missed) + (k - a))).otherwise(F.lit(0.0))
 
         over_b = lambda a, pa: F.aggregate(F.transform(outside, lambda pb, b: pa * pb * value(a.cast("double"), b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
         return F.aggregate(F.transform(inside, lambda pa, a: over_b(a, pa)), F.lit(0.0), lambda s, v: s + v)

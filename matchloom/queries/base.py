@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import candidates as C
-from ..session import ensure_importable
+from ..session import ensure_importable, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def linkage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     tokens = F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " "), lambda t: t != "")
     source = (1 + F.col("doc_id") % 3).cast("int")
     return docs.withColumn("t", tokens).select(

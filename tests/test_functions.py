@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 from hypothesis import given, settings
@@ -85,6 +86,51 @@ def test_lcs(a, b):
     assert S.ratio(a, b) == S.ratio(b, a)
 
 
+def _best_window(short, long):
+    n = len(short)
+    return max(200 * _lcs(short, long[max(0, k) : k + n]) / (n + len(long[max(0, k) : k + n])) for k in range(1 - n, len(long)))
+
+
+def _partial(a, b):
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short:
+        return 100.0 if not long else 0.0
+    return max(_best_window(short, long), _best_window(long, short) if len(a) == len(b) else 0.0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("abc é", max_size=14), st.text("abc é", max_size=18)), min_size=1, max_size=12))
+def test_scorers_equal_brute_force(pairs):
+    """Blocks of pairs score as single pairs do, and the best window is the best of all windows."""
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    single = {"ratio": S.ratio, "token_sort": S.token_sort_ratio, "token_set": S.token_set_ratio, "partial": S.partial_ratio, "jaro_winkler": lambda x, y: 100 * S.jaro_winkler(x, y)}
+    for name, function in single.items():
+        assert all(abs(p - function(x, y)) < 1e-9 for p, x, y in zip(S.SCORERS[name](a, b), a, b))
+    assert all(abs(S.partial_ratio(x, y) - _partial(x, y)) < 1e-9 for x, y in pairs)
+    assert S.lcs_lengths(a, b).tolist() == [_lcs(x, y) for x, y in pairs]
+
+
+def test_long_texts_equal_brute_force():
+    rng = random.Random(4)
+    pairs = [("".join(rng.choices("abcd ", k=n)), "".join(rng.choices("abcd ", k=m))) for n, m in ((64, 64), (65, 64), (63, 90), (70, 70), (80, 140), (64, 600))]
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert S.lcs_lengths(a, b).tolist() == [_lcs(x, y) for x, y in pairs]
+    assert all(abs(p - _partial(x, y)) < 1e-9 for p, x, y in list(zip(S.partial_ratios(a, b), a, b))[:5])
+
+
+def test_similarities_column(spark):
+    df = spark.createDataFrame([("a b", "b a"), ("", "x"), (None, "x"), ("abc", "abd")], "a string, b string")
+    sims = df.withColumn("s", S.similarities(["ratio", "token_sort"], F.col("a"), F.col("b")))
+    got = [tuple(r) for r in sims.select(*[c.alias(n) for n, c in S.scored("", "s", ["ratio", "token_sort"]).items()]).collect()]
+    assert got[0][1] == 100 and got[1] == got[2] == (None, None) and abs(got[3][0] - 200 * 2 / 6) < 1e-9
+    assert [r.x for r in df.select(S.similarity("ratio", F.col("a"), F.col("b"), empty_is_null=False).alias("x")).collect()][1] == 0
+
+
+def test_digits_of_all_scripts(spark):
+    assert one(spark, "٣٤ रु १२", T.number_codes) == [34, 12]
+    assert one(spark, "x ٠٠٧", T.first_number) == 7
+
+
 def test_digit_typo(spark):
     df = spark.createDataFrame([(["12", "5"], ["13"]), (["12"], ["12"]), (["12"], ["123"]), ([], ["1"])], "a array<string>, b array<string>")
     assert [r.x for r in df.select(S.one_digit_typo(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False, False, False]

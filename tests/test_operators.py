@@ -243,3 +243,170 @@ def test_flow_finds_copies(spark):
     entities = records.where("source = 1").select(F.col("entity_id").alias("s1_id")).join(n, "s1_id", "left").fillna(0)
     found = {(r.s1_id, r.t_id) for r in link(records, links, entities).collect()}
     assert len(found & set(gold)) >= 25 and len(found - set(gold)) <= 3
+
+
+# ---- running totals, policies, training rows, checks
+
+
+def test_running_totals(spark):
+    rng = random.Random(5)
+    rows = [(i / 7, rng.randint(-5, 5)) for i in rng.sample(range(500), 300)]
+    df = spark.createDataFrame(rows, "x double, v long")
+    for down in (False, True):
+        got = {r.x: r.total for r in L.running_totals(df, "x", {"total": "v"}, descending=down, runs=16).collect()}
+        total, want = 0, {}
+        for x, v in sorted(rows, reverse=down):
+            total += v
+            want[x] = total
+        assert got == want
+    assert L.running_totals(df.limit(0), "x", {"total": "v"}).count() == 0
+
+
+def test_policies_equal_brute_force(spark):
+    rng = random.Random(8)
+    pairs, ents = [], []
+    for i in range(40):
+        truth = rng.choice([0, 1, 1, 2])
+        ents.append((f"q{i:02}", truth))
+        for j in range(rng.randint(0, 5)):
+            pairs.append((f"q{i:02}", f"t{rng.randint(0, 60):02}x{j}", round(rng.random(), 2), int(rng.random() < 0.4 * truth)))
+    e, p = spark.createDataFrame(ents, "s1_id string, truth_len long"), spark.createDataFrame(pairs, "s1_id string, t_id string, score double, label int")
+    best = {}
+    for s, _, score, _ in pairs:
+        best[s] = max(best.get(s, 0), score)
+
+    def value(rows):
+        out = 0.0
+        for s, truth in ents:
+            mine = [x for x in rows if x[0] == s]
+            tp = sum(x[3] for x in mine)
+            out += (1.0 if not mine else 0.0) if truth == 0 else (1.25 * tp / (len(mine) + 0.25 * truth) if tp else 0.0)
+        return round(out / len(ents), 9)
+
+    scores = sorted({x[2] for x in pairs})
+    found = D.tune_policies(e, p)
+    assert [(x.family, x.one_owner) for x in found] == [(f, o) for o in (False, True) for f in ("threshold", "empty_guard", "relative")]
+    assert found[0].macro_f05 == max(value([x for x in pairs if x[2] >= t]) for t in [*scores, 2.0])
+    assert found[2].macro_f05 == max([value([x for x in pairs if x[2] >= t and x[2] >= r * best[x[0]]]) for t in scores for r in D.RATIOS] + [value([])])
+    for policy in found:
+        rows = [(r.s1_id, r.t_id, r.score, r.label) for r in policy.apply(p).collect()]
+        assert value(rows) == policy.macro_f05
+    chosen = D.choose_policy(found)
+    assert chosen.macro_f05 >= max(x.macro_f05 for x in found) - 1e-5
+    assert all(x.complexity >= chosen.complexity or x.macro_f05 < max(y.macro_f05 for y in found) - 1e-5 for x in found)
+
+
+def test_training_pairs(spark):
+    truth = spark.createDataFrame([("a", "t1"), ("a", "t2"), ("b", "t3"), ("c", "t4")], "s1_id string, t_id string")
+    folds = spark.createDataFrame([("a", 1), ("b", 2), ("c", 0), ("d", 1)], "s1_id string, fold int")
+    none = spark.createDataFrame([], "s1_id string")
+    got = sampling.gold_rounds(truth, folds, [1, 2], none).collect()
+    assert sorted((r.s1_id, r.round) for r in got) == [("a", 0), ("a", 1), ("b", 0)]
+    assert {r.round for r in sampling.gold_rounds(truth, folds, [1, 2], none, most=2).collect()} == {0}
+    for bad, held in (([0, 1], none), ([1], spark.createDataFrame([("a",)], "s1_id string")), ([4], none)):
+        with pytest.raises(ValueError):
+            sampling.gold_rounds(truth, folds, bad, held)
+    with pytest.raises(ValueError):
+        sampling.training_rows(spark.createDataFrame([("a", "t", -1, 0)], "s1_id string, t_id string, label int, filter_rank int"), spark.createDataFrame([("a", 1)], "s1_id string, n_cand int"), 1, 1, 1)
+
+
+def test_same_place_negatives(spark):
+    records = spark.createDataFrame([(f"S2-{i}", 2, "x" if i < 6 else "y" if i < 8 else "") for i in range(10)], "entity_id string, source int, address string")
+    truth = spark.createDataFrame([("S1-1", "S2-0"), ("S1-1", "S2-1"), ("S1-2", "S2-2"), ("S1-3", "S2-6"), ("S1-3", "S2-7"), ("S1-4", "S2-9")], "s1_id string, t_id string")
+    rows = sampling.same_place_pairs(truth, records).collect()
+    own = {("S1-1", "S2-0"), ("S1-1", "S2-1"), ("S1-2", "S2-2"), ("S1-3", "S2-6"), ("S1-3", "S2-7"), ("S1-4", "S2-9")}
+    assert {(r.s1_id, r.t_id) for r in rows if r.label == 1} == own
+    wrong = [(r.s1_id, r.t_id) for r in rows if r.label == 0]
+    assert len(wrong) == len(set(wrong)) == 3 and not set(wrong) & own and {s for s, _ in wrong} == {"S1-1", "S1-2"}
+    assert all(t in {f"S2-{i}" for i in range(6)} for _, t in wrong)
+
+
+def test_raw_features_by_hand(spark):
+    records = [("S1-1", 1, "Acme", "12 Main Rd"), ("S2-1", 2, "Acme", "12 main road"), ("S2-2", 2, "Acme", "Main st 14"), ("S2-3", 2, "", ""), ("S1-2", 1, "Zed", ""), ("S2-4", 2, "zed", "5 x")]
+    r = spark.createDataFrame(records, "entity_id string, source int, name string, address string")
+    pairs = spark.createDataFrame([("S1-1", "S2-1", 0.9), ("S1-1", "S2-2", 0.8), ("S1-1", "S2-3", 0.1), ("S1-2", "S2-4", 0.5)], "s1_id string, t_id string, score double")
+    got = {r.t_id: r for r in X.raw_features(pairs, r, "score").collect()}
+    assert (got["S2-1"].raw_name_ratio_s1, got["S2-1"].raw_name_eq_s1, got["S2-1"].raw_name_eq_sib, got["S2-1"].street_sim_s1_exp) == (100, 1, 1, 100)
+    assert got["S2-1"].first_num_agree_sib == 0 and got["S2-1"].raw_name_ratio_sib_max == 100
+    assert abs(got["S2-1"].street_sim_sib_max - 200 * 4 / 11) < 1e-9  # road main and main st share one word
+    assert (got["S2-3"].raw_name_ratio_s1, got["S2-3"].addr_raw_ratio_s1, got["S2-3"].street_sim_s1_exp, got["S2-3"].street_sim_sib_max, got["S2-3"].first_num_agree_sib) == (0, None, None, None, None)
+    assert (got["S2-4"].raw_name_eq_sib, got["S2-4"].raw_name_ratio_sib_max, got["S2-4"].addr_raw_ratio_s1) == (0, None, None)
+
+
+def test_restrict_counts_anew(spark):
+    pairs = spark.createDataFrame([("a", "x", 1, 0.9), ("a", "y", 1, None), ("a", "z", 0, 0.5), ("b", "x", 0, 0.1)], "s1_id string, t_id string, label int, score double")
+    e = spark.createDataFrame([("a", 2, 9, 9), ("b", 0, 9, 9), ("c", 1, 9, 9)], "s1_id string, truth_len int, n_cand int, retrieved_truth int")
+    kept, counted = L.restrict(pairs, e, "score", 2)
+    assert {(r.s1_id, r.t_id) for r in kept.collect()} == {("a", "x"), ("a", "z"), ("b", "x")}
+    assert sorted(map(tuple, counted.collect())) == [("a", 2, 2, 1), ("b", 0, 1, 0), ("c", 1, 0, 0)]
+    unlabelled = L.restrict(pairs.withColumn("label", F.lit(-1)), e, "score", 2)[1]
+    assert {r.retrieved_truth for r in unlabelled.collect()} == {9}
+
+
+def test_key_classes_hold_all_links(spark):
+    records = spark.createDataFrame([(f"S{1 + i % 3}-{i}", 1 + i % 3, "x", "k" if i < 8 else "") for i in range(10)], "entity_id string, source int, country string, name string")
+    pairs = C.exact_name(records).collect()
+    classes = {r.entity_id: r for r in C.key_classes(records, F.col("name")).collect()}
+    assert sum(classes[i].n_links for i in classes if i.startswith("S1")) == len(pairs) and len({r.class_id for r in classes.values()}) == 1
+    few = {(r.s1_id, r.source): 0 for r in pairs}
+    for r in C.exact_name(records, 1).collect():
+        few[r.s1_id, r.source] += 1
+        assert r.t_id == min(p.t_id for p in pairs if p.source == r.source)
+    assert set(few.values()) == {1}
+
+
+def test_audits(spark):
+    rows = [("S2-1", "Acme", "x", "us"), ("S2-1", "ACME!", "x", "us"), ("bad", "", "é", ""), ("S2-3", "Acme", "x", "us")]
+    r = spark.createDataFrame(rows, "entity_id string, name string, address string, country string")
+    a = M.audit_records(r, "S2", r.where("entity_id = 'S2-3'")).first()
+    assert (a.n_rows, a.invalid_ids, a.repeated_ids, a.missing_name, a.missing_country, a.non_ascii_address) == (4, 1, 1, 1, 1, 1)
+    assert (a.repeated_rows, a.repeated_normalised, a.ids_elsewhere, a.rows_elsewhere, a.normalised_elsewhere) == (1, 2, 1, 2, 3)
+    truth = spark.createDataFrame([("S1-1", ["S2-1", "S2-1", "S9-1"]), ("S1-1", ["S2-1"]), ("x", ["S3-9"])], "s1_id string, matched array<string>")
+    known = spark.createDataFrame([("S1-1", 1), ("S2-1", 2)], "entity_id string, source int")
+    t = M.audit_truth(truth, known).first()
+    assert (t.n_rows, t.repeated_queries, t.invalid_queries, t.unknown_queries, t.lists_with_repeats, t.invalid_targets, t.unknown_targets, t.links_s2, t.links_s3, t.reused_targets) == (3, 1, 1, 1, 1, 1, 1, 2, 1, 1)
+
+
+def test_gates(spark):
+    assert D.adoption_gate(0.003, 0.001, {"fr": -0.004})["passed"] and not D.adoption_gate(0.003, 0.001, {"fr": -0.006})["passed"]
+    limits = {"recall_drop": 0.5, "every_match_drop": 1, "p95": 800, "slice_drop": 2}
+    pilot = {"link_recall": 0.97, "every_match_pct": 95.0}
+    good = {"link_recall": 0.966, "every_match_pct": 94.5, "p95": 700}
+    assert D.retrieval_gate(good, pilot, limits, {"fr": (0.9, 0.91), "x": (None, 0.5)})["passed"]
+    assert not D.retrieval_gate({**good, "p95": 900}, pilot, limits)["passed"] and not D.retrieval_gate(good, pilot, limits, {"fr": (0.9, 0.93)})["passed"]
+    run = {"links": 10, "every_match_pct": 90.0, "total": 100, "median": 1, "p95": 2, "p99": 3, "max": 4}
+    assert D.platform_gate(run, run, {"links": 0, "every_match_pct": 0, "total": 0})["within"]
+    assert not D.platform_gate({**run, "max": 5}, run, {"links": 0, "every_match_pct": 0, "total": 0})["within"]
+    pairs = spark.createDataFrame([("a", "x"), ("a", "y")], "s1_id string, t_id string")
+    D.check_scores(pairs.withColumn("q", F.lit(0.5)), pairs, "q")
+    for bad in (pairs.withColumn("q", F.lit(float("nan"))), pairs.limit(1).withColumn("q", F.lit(0.5)), pairs.union(pairs).withColumn("q", F.lit(0.5))):
+        with pytest.raises(ValueError):
+            D.check_scores(bad, pairs, "q")
+
+
+def test_expected_f_with_missed_gold(spark):
+    pairs = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 0.2)], "s1_id string, t_id string, score double")
+    plain, missed = (D.expected_f_sizes(pairs, extra_missed=m).first() for m in (0.0, 2.0))
+    assert (plain.k_star, round(plain.expected_f05, 6)) == (1, 0.483333)
+    one = 0.4 * 1.25 / (1.25 + 0.25 * 2) + 0.1 * 1.25 / (1.25 + 0.25 * 3)
+    assert one < 0.4 and (missed.k_star, round(missed.expected_f05, 6)) == (0, 0.4)
+
+
+def test_bags_and_transfer(spark):
+    rng = random.Random(2)
+    rows = [(f"q{i // 4}", f"t{i}", float(i % 4), rng.random(), int(i % 4 == 3), "a" if i % 8 < 4 else "b") for i in range(240)]
+    df = spark.createDataFrame(rows, "s1_id string, t_id string, x double, noise double, label int, country string")
+    fit = lambda d, f, **kw: models.fit_trees(d, f, rounds=2, depth=2, **kw)
+    bag = models.predict_bag(models.fit_bag(df, ["x", "noise"], [0, 1], fit), df, ["x", "noise"])
+    assert D.pair_auc(bag.withColumnRenamed("q", "score")).first()["auc"] > 0.95
+    oof, there, final = models.fit_with_transfer(df, ["x", "noise"], F.col("country") == "a", models.fit_logistic, folds=2)
+    assert oof.count() == 240 and {r.country for r in there.collect()} == {"b"} and final is not None
+    assert models.oof_auc(df, ["x", "noise"], 2).first()["auc"] > 0.95
+
+
+def test_plans_hold_no_global_order(spark):
+    """Thresholds, AUC and seeded prefixes: no window over all rows without a partition, but over the few runs."""
+    df = spark.createDataFrame([("a", "x", 0.5, 1)], "s1_id string, t_id string, score double, label int")
+    plan = L.running_totals(df.groupBy("score").agg(F.count("*").alias("n")), "score", {"total": "n"})._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window" in line and "windowspecdefinition" in line]
+    assert len(windows) == 2 and sum("__run#" in line.split("windowspecdefinition")[1].split(",")[0] for line in windows) == 2
