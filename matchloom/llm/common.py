@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_importable, materialise, shared_dir
+from ..session import ensure_importable, materialise, shared_dir, spread
 
-__all__ = ["WORD_PATTERN", "byte_groups", "free_name", "hash_sample", "id_bucket", "map_batches", "materialise", "read_table", "release_memory", "shared_dir", "word_count"]
+__all__ = ["WORD_PATTERN", "byte_groups", "free_name", "hash_sample", "id_bucket", "map_batches", "materialise", "read_table", "release_memory", "shared_dir", "shielded", "spread", "word_count"]
 
 # ASCII white space of the word rule used across the operators; everything else belongs to words.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -63,6 +63,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def shielded(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns that bear one of an operator's own names renamed, and the way back (for ``withColumnsRenamed``)."""
+    renamed: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in names:
+            renamed[c] = free_name(df, f"kept{len(renamed)}")
+    return df.withColumnsRenamed(renamed), {v: k for k, v in renamed.items()}
+
+
 def word_count(column: str = "text") -> F.Column:
     """Number of words (``WORD_PATTERN``) as a long; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, shielded, spread
 
 # Units of measure and given names that count as slots.
 UNITS = (
@@ -233,10 +233,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: f
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found, with all their columns."""
+    docs, back = shielded(docs, ("__bad_id", "__bad_uid"))
     bad = _found(docs, benchmark, width, share, broadcast_windows).select(F.col("doc_id").alias("__bad_id"), F.col("uid").alias("__bad_uid")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_uid")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.xxhash64("text") == F.col("__bad_uid")), "left_anti").withColumnsRenamed(back)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     """All (document, benchmark item) pairs where the document contains the item, as it is or with other parameters."""
-    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return contaminated(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), read_table(spark, sf_dir, "benchmark"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, read_table
+from .common import map_batches, read_table, spread
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -472,4 +472,4 @@ def extract_pages(pages: DataFrame, broadcast_hosts: int = 50_000) -> DataFrame:
 
 def op7_html(spark, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract_pages(read_table(spark, sf_dir, "pages"))
+    return extract_pages(spread(read_table(spark, sf_dir, "pages"), "page_id"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, id_bucket, map_batches, read_table
+from .common import hash_sample, id_bucket, map_batches, read_table, spread
 
 UNKNOWN = "und"
 REJECT_ALL = 2.0
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learns only from rows whose crc32(doc_id) mod 3 is not 1."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     texts, labels = training_sample(docs.where(id_bucket("doc_id", 3) != 1))
     model = train(texts, labels) if texts else None
     out = predict(docs, model)

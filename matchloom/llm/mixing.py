@@ -16,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import shielded, word_count
+
+_OWN = ("__key", "__run", "__run_size", "__start", "__before", "__rest", "__text")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_ratio: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -62,8 +64,9 @@ def mix(
     16^prefix runs, so a source that holds a third of all rows is still sorted by thousands of tasks' worth of keys;
     the runs' totals are summed in advance, which gives each run the offset at which it starts.
     """
+    docs, back = shielded(docs, _OWN)
     keep = [c for c in docs.columns if c not in {"size", "source_size", "target", "taken", "whole", "part"}]
-    rows = docs.select(*keep, word_count().alias("size"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], word_count().alias("size"), F.xxhash64("text").alias("__text"))
     rows = rows.withColumn("__key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")))
     rows = rows.withColumn("__run", F.substring("__key", 1, prefix))
     runs = rows.groupBy("source", "__run").agg(F.sum("size").alias("__run_size"))
@@ -76,7 +79,7 @@ def mix(
         .join(starts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.__run") == F.col("b.__run")))
         .select("a.*", "source_size", "target", "__start")
     )
-    within = Window.partitionBy("source", "__run").orderBy("__key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "__run").orderBy("__key", F.col("doc_id").asc_nulls_last(), "size", "__text").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     return (
         joined.withColumn("whole", whole)
@@ -84,7 +87,8 @@ def mix(
         .withColumn("__rest", F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size") - F.col("__before"))
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest"))).cast("long"))
         .withColumn("taken", (F.col("whole") * F.col("size") + F.col("part")).cast("long"))
-        .select(*keep, "size", "source_size", "target", "taken", "whole", "part")
+        .select(*[F.col(f"`{c}`") for c in keep], "size", "source_size", "target", "taken", "whole", "part")
+        .withColumnsRenamed(back)
     )
 
 

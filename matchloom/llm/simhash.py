@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_importable
-from .common import byte_groups, free_name, map_batches, materialise, read_table, release_memory
+from .common import byte_groups, free_name, map_batches, materialise, read_table, release_memory, spread
 
 RADIUS = 3
 _SLICE = 1 << 20
@@ -566,4 +566,4 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 56, tables: int | No
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return near_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_components(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))

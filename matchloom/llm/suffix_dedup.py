@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_importable
-from .common import materialise, read_table, release_memory
+from .common import materialise, read_table, release_memory, shielded
 
 WINDOW = 50
 GRAM = 16
@@ -546,6 +546,7 @@ def repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int =
 
 def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; all columns and rows stay."""
+    docs, back = shielded(docs, ("__uid", "__id", "__chunk"))
     fields = docs.schema.fields
     names = [f.name for f in fields]
     schema = T.StructType(fields)
@@ -565,7 +566,7 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, shard_bytes:
         return left
 
     rows, mail = _plan(docs, chunk_bytes, shard_bytes)
-    return rows.groupBy("__chunk").cogroup(mail.groupBy("target")).applyInArrow(run, schema)
+    return rows.groupBy("__chunk").cogroup(mail.groupBy("target")).applyInArrow(run, schema).withColumnsRenamed(back)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

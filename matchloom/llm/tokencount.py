@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_importable
-from .common import byte_groups, map_batches, materialise, read_table, shared_dir
+from .common import byte_groups, map_batches, materialise, read_table, shared_dir, spread
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
 _BATCH_BYTES = 1 << 20
@@ -134,6 +134,6 @@ def op3_token_counts(spark, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     cache = spark.conf.get("spark.matchloom.tokenCache", None) or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), cache)

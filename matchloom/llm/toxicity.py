@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, id_bucket, map_batches, read_table
+from .common import hash_sample, id_bucket, map_batches, read_table, spread
 
 # Group terms whose exchange must not move a score. A term is exchanged within its kind, so that sentences stay sentences.
 IDENTITY_TERMS = {
@@ -285,6 +285,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """Score of every document, learned from the labels of the training split."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     scored = score(docs, learn(docs, read_table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -22,7 +22,7 @@ ROWS = [
     (7, "\n\t  \r\n", "de", "c", 6),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["size", "target", "score", "uid", "fp", "hash", "key", "rank", "label", "toxic", "part", "digest", "words", "item_id", "host", "path", "k", "n"]
+CLASH = ["size", "target", "score", "uid", "fp", "hash", "key", "rank", "label", "toxic", "part", "digest", "words", "item_id", "host", "path", "k", "n", "__key", "__run", "__uid", "__id", "__chunk", "__n", "__start", "__place", "__text", "__bad_id"]
 
 
 def frame(spark, rows=ROWS):
