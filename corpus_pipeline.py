@@ -1,7 +1,7 @@
 """The corpus pipeline: five operators of ``matchloom.llm`` one after another, each over all rows the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result to the shared folder and
-reads it back as the next one's input, so a lost executor costs at most one stage.
+reads it back as the next one's input, so a lost executor costs at most one stage; a stage's own tables are deleted when it is done.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm.common import materialise, read_table
+from matchloom.llm.common import materialise, read_table, spread
 from matchloom.llm.decontam import drop_contaminated
 from matchloom.llm.mixing import mix
 from matchloom.llm.simhash import keep_one
 from matchloom.llm.suffix_dedup import remove_repeats
 from matchloom.llm.toxicity import reject_toxic
+from matchloom.session import only_last_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with only_last_table(spark):
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
