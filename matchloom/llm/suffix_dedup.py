@@ -18,7 +18,7 @@ work is therefore dealt out by content, so that equal strings meet:
    array by Larsson-Sadakane refinement in numpy (sort by 8 bytes, then double the order, touching only groups that are
    not yet single, until 64 bytes are ordered) and its common prefixes by Kasai's walk (many text positions in step,
    capped at 50). Runs of the array with common prefixes of 50 are the classes of equal strings, each with its smallest
-   id. Classes of different shards are merged by binary search of one shard's sorted classes in the other's.
+   id. Sorted classes of different shards are merged two lists at a time by binary search of one list in the other.
 5. Strings whose class has a smaller id than their document give spans; spans go back to the documents' chunks, where
    they are united and cut out.
 
@@ -235,26 +235,33 @@ class Shard:
         self.first = self.position[head] if len(kept) else self.position
         self.words = words
 
-    def key(self, level: int) -> np.ndarray:
-        """Bytes 8 x level to 8 x level + 7 of each class's string (the last level overlaps the one before)."""
-        return self.words[self.first + min(8 * level, WINDOW - 8)]
-
-    def merge(self, other: Shard) -> None:
-        """Binary search of this shard's classes in the other's; classes found in both take the smaller id."""
-        there, want = other.key(0), self.key(0)
-        low, high = np.searchsorted(there, want, side="left"), np.searchsorted(there, want, side="right")
-        mine = np.flatnonzero(low < high)
-        low, high = low[mine], high[mine]
-        for level in range(1, -(-WINDOW // 8)):
-            if not len(mine):
-                return
-            want, there = self.key(level)[mine], other.key(level)
-            low, high = _bound(there, want, low, high, False), _bound(there, want, low, high, True)
-            found = low < high
-            mine, low, high = mine[found], low[found], high[found]
-        if len(mine):
-            np.minimum.at(self.best, mine, other.smallest[low])
-            np.minimum.at(other.best, low, self.smallest[mine])
+
+def _find(words: np.ndarray, there: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of the strings at ``want`` among the sorted strings at ``there``: the place of each, and whether it is there.
+
+    ``words`` holds the 8 bytes from each position on; strings are compared word by word (the last one overlaps the one before).
+    """
+    key = lambda at, level: words[at + min(8 * level, WINDOW - 8)]
+    first, wanted = key(there, 0), key(want, 0)
+    low, high = np.searchsorted(first, wanted, side="left"), np.searchsorted(first, wanted, side="right")
+    alive = np.flatnonzero(low < high)
+    for level in range(1, -(-WINDOW // 8)):
+        if not len(alive):
+            break
+        own, other = key(want[alive], level), key(there, level)
+        low[alive], high[alive] = _bound(other, own, low[alive], high[alive], False), _bound(other, own, low[alive], high[alive], True)
+        alive = alive[low[alive] < high[alive]]
+    found = np.zeros(len(want), dtype=bool)
+    found[alive] = True
+    return low, found
+
+
+def _merged(words: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of classes (position of the string, smallest id) as one; a class of both takes the smaller id."""
+    low, found = _find(words, a[0], b[0])
+    smallest = a[1].copy()
+    np.minimum.at(smallest, low[found], b[1][found])
+    return np.insert(a[0], low[~found], b[0][~found]), np.insert(smallest, low[~found], b[1][~found])
 
 
 def _bound(there: np.ndarray, want: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
@@ -280,9 +287,15 @@ def segment_spans(segments: list[bytes], ids: np.ndarray, shard_bytes: int = SHA
         if total >= shard_bytes or i + 1 == len(segments):
             shards.append((first, Shard(segments[first : i + 1], ids[first : i + 1])))
             first, total = i + 1, 0
-    for i, (_, a) in enumerate(shards):
-        for _, b in shards[i + 1 :]:
-            a.merge(b)
+    if len(shards) > 1:
+        # Lists of classes are merged two by two, level by level, so that a class is moved as often as the logarithm of the shards.
+        starts = np.cumsum([0] + [len(shard.words) for _, shard in shards])
+        words = np.concatenate([shard.words for _, shard in shards])
+        lists = [(shard.first + start, shard.smallest) for (_, shard), start in zip(shards, starts)]
+        while len(lists) > 1:
+            lists = [_merged(words, *lists[i : i + 2]) if i + 1 < len(lists) else lists[i] for i in range(0, len(lists), 2)]
+        for (_, shard), start in zip(shards, starts):
+            shard.best = lists[0][1][_find(words, lists[0][0], shard.first + start)[0]]
     which, begin, end = [], [], []
     for first, shard in shards:
         n = len(shard.owner)

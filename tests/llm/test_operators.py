@@ -228,6 +228,27 @@ def test_repeats_equal_brute_force(spark, docs, chunk, shard):
     assert got == brute_repeats([(d.doc_id, d.text.encode()) for d in docs])
 
 
+@pytest.mark.parametrize("shard", [100, 300, 1 << 20])
+def test_shards_merge_as_brute_force(shard):
+    rng = random.Random(3)
+    for _ in range(15):
+        base = ["".join(rng.choices("ab", k=rng.randint(60, 200))).encode() for _ in range(5)]
+        segments = []
+        for _ in range(rng.randint(2, 40)):
+            b = rng.choice(base)
+            i = rng.randint(0, len(b) - 50)
+            segments.append(b[i : rng.randint(i + 50, len(b))] if rng.random() < 0.7 else bytes(rng.choices(b"ab", k=rng.randint(50, 120))))
+        segments = list(dict.fromkeys(segments))
+        ids = [rng.randint(0, 30) for _ in segments]
+        first = {}
+        for s, i in zip(segments, ids):
+            for p in range(len(s) - 49):
+                first[s[p : p + 50]] = min(first.get(s[p : p + 50], 1 << 60), i)
+        want = {(k, x) for k, (s, i) in enumerate(zip(segments, ids)) for p in range(len(s) - 49) if first[s[p : p + 50]] < i for x in range(p, p + 50)}
+        spans = zip(*suffix_dedup.segment_spans(segments, np.array(ids, dtype=np.int64), shard))
+        assert {(int(k), x) for k, p, q in spans for x in range(p, q)} == want
+
+
 def test_repeats_on_runs_and_ties(spark):
     rng = random.Random(4)
     base = ["".join(rng.choices("ab", k=200)) for _ in range(8)]
