@@ -340,7 +340,7 @@ def _possible_pairs(keys: np.ndarray, sizes: np.ndarray, fps: np.ndarray, radius
             yield a[fit], b[fit]
 
 
-def wide_tables(n: int, share: float, least_bits: int = 16, bucket: int = 4096, recall: float = 0.998) -> tuple[int, int]:
+def wide_tables(n: int, share: float, least_bits: int = 16, bucket: int = 4096, recall: float = 0.9999) -> tuple[int, int]:
     """(tables, bits) for ``n`` fingerprints: names long enough for about ``bucket`` members, and as many tables as ``recall`` takes.
 
     Two texts at the threshold differ in about ``share`` of their bits, so a name of b sampled bits agrees in (1 - share)^b of
@@ -550,7 +550,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 56, tables: int | No
     Groups join texts whose 64-bit fingerprints link, and texts whose sets of ``words``-word shingles have a Jaccard similarity
     of at least 0.8. Candidates for the latter are 256-bit fingerprints within ``radius`` that meet in one of ``tables`` samples of
     ``bits`` bits (by default as ``wide_tables`` has it for their number); at exactly 0.8 they differ in 39 bits on average, so an
-    expected 99.6 % of the pairs are candidates. Each candidate's similarity is computed from the shingles before it links. Rows
+    expected 99.8 % of the pairs are candidates. Each candidate's similarity is computed from the shingles before it links. Rows
     repeated in full count as one; of rows with equal id and text but other columns the one with the smallest digest stays.
     """
     grouped = near_groups(docs.select("doc_id", "text"), words, radius, tables, bits)

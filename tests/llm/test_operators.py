@@ -445,10 +445,10 @@ def wide_roots(spark, rows, radius):
 
 
 def test_tables_grow_with_the_fingerprints():
-    assert simhash.wide_tables(0, 39 / 256) == simhash.wide_tables(10**7, 39 / 256) == (85, 16)
+    assert simhash.wide_tables(0, 39 / 256) == simhash.wide_tables(10**7, 39 / 256) == (125, 16)
     for n in (10**8, 10**9, 10**10):
         tables, bits = simhash.wide_tables(n, 39 / 256)
-        assert n / 2**bits <= 4096 and (1 - (1 - 39 / 256) ** bits) ** tables <= 0.002
+        assert n / 2**bits <= 4096 and (1 - (1 - 39 / 256) ** bits) ** tables <= 1.0001e-4
 
 
 def test_large_buckets_lose_no_pair(spark):
