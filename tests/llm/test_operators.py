@@ -249,6 +249,25 @@ def test_shards_merge_as_brute_force(shard):
         assert {(int(k), x) for k, p, q in spans for x in range(p, q)} == want
 
 
+def test_lone_segments_need_no_array(monkeypatch):
+    """Only segments that can share a string with another one are sorted; 23 bytes in common send no run on."""
+    rng = random.Random(8)
+    noise = lambda n: bytes(rng.choices(range(256), k=n))
+    passage = noise(70)
+    segments = [noise(80) for _ in range(300)]
+    segments[10], segments[200] = noise(20) + passage, passage + noise(9)
+    sorted_bytes = []
+    whole = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda data, *a, **k: sorted_bytes.append(len(data)) or whole(data, *a, **k))
+    which, begin, end = suffix_dedup.segment_spans(segments, np.arange(300))
+    assert [x.tolist() for x in (which, begin, end)] == [[200], [0], [70]]
+    assert sum(sorted_bytes) == len(segments[10]) + len(segments[200])
+    texts = [noise(200) + passage[:23] + noise(200) for _ in range(20)]
+    ends = np.cumsum([len(t) for t in texts])
+    minimisers, docs_of = suffix_dedup.runs(np.frombuffer(b"".join(texts), dtype=np.uint8), ends - 423, ends)[2:]
+    assert all(len(set(docs_of[minimisers == m].tolist())) == 1 for m in np.unique(minimisers))
+
+
 def test_repeats_on_runs_and_ties(spark):
     rng = random.Random(4)
     base = ["".join(rng.choices("ab", k=200)) for _ in range(8)]
