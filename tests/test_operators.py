@@ -410,3 +410,41 @@ def test_plans_hold_no_global_order(spark):
     plan = L.running_totals(df.groupBy("score").agg(F.count("*").alias("n")), "score", {"total": "n"})._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.split("\n") if "Window" in line and "windowspecdefinition" in line]
     assert len(windows) == 2 and sum("__run#" in line.split("windowspecdefinition")[1].split(",")[0] for line in windows) == 2
+
+
+@pytest.mark.parametrize("block", [8, 1 << 21])
+def test_tfidf_blocks_equal_direct_computation(spark, block, monkeypatch):
+    """Pairs are ranked inside blocks and never exchanged, ties go by id, records that share an id count as one."""
+    import collections
+    import math
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(f"S{s}-{i}", s, c, " ".join(rng.choices(words, k=rng.randint(0, 6)))) for s, c, n in ((1, "a", 12), (2, "a", 30), (3, "a", 25), (1, "b", 6), (2, "b", 7), (1, "d", 2)) for i in range(n)]
+    rows = [(f"{e}{c}", s, c, x) for e, s, c, x in rows] + [("S2-3a", 2, "a", "w1 w2 w2"), ("S1-x", 1, None, "w1")]
+    monkeypatch.setattr(C, "_CELLS", 64)
+    df = spark.createDataFrame(rows, "entity_id string, source int, country string, name string")
+    route = C.tfidf_route(df, C.word_grams(F.col("name")), max_df=0.3, k=5, block=block)
+    plan = route._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "sum(" not in plan
+    want = set()
+    gram = lambda x: x.split() + [" ".join(p) for p in itertools.pairwise(x.split())]
+    for source, country in {(s, c) for _, s, c, _ in rows if s > 1}:
+        t, q = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+        for e, s, c, x in rows:
+            if c == country and s in (1, source):
+                (q if s == 1 else t)[e].update(gram(x))
+        n = sum(s == source and c == country for _, s, c, _ in rows)
+        dfs = collections.Counter(g for v in t.values() for g in v)
+        idf = {g: math.log((1 + n) / (1 + d)) + 1 for g, d in dfs.items() if d <= max(2, n * 0.3)}
+        weigh = lambda v: {g: (1 + math.log(m)) * idf[g] for g, m in v.items() if g in idf}  # noqa: B023, E731
+        norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+        for e, v in q.items():
+            a = weigh(v)
+            scored = []
+            for f, u in t.items():
+                b = weigh(u)
+                if a.keys() & b.keys():
+                    scored.append((-round(sum(a[g] * b[g] for g in a.keys() & b.keys()) / norm(a) / norm(b), 6), f))
+            want |= {(e, f, source, -x, r) for r, (x, f) in enumerate(sorted(scored)[:5], 1)}
+    assert {(r.s1_id, r.t_id, r.source, r.score, r["rank"]) for r in route.collect()} == want
