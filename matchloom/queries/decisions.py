@@ -178,7 +178,9 @@ def siblings(spark, sf_dir):
     LEFT JOIN qn x5 ON x5.country = c2 AND x5.name = n2""",
 )
 def corpus_context(spark, sf_dir):
+    # Addresses and texts are only compared here: digests stand for them, written once instead of derived from the texts in every branch.
     r = linkage_records(spark, sf_dir)
+    r = materialise(r.withColumns({c: F.when(F.col(c) == "", "").otherwise(F.md5(F.col(c).cast("binary"))) for c in ("address", "text")}), "records")
     return X.corpus_context(scored_pairs(r).select("s1_id", "t_id"), r.where("source = 1"), r.where("source > 1"))
 
 

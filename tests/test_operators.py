@@ -464,3 +464,20 @@ def test_dense_links_are_counted_not_listed(spark):
     found = found.select("place", "dense_rank", (F.col("dense_rank") >= 3).alias("in_list"))
     got = M.dense_coverage_counts(C.dense_link_counts(q, t, 0.2, 7), found, [1, 5, 10], "place")
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_corpus_context_moves_no_text(spark):
+    """Names and addresses are compared as digests of 16 bytes, so a long text costs no more than a short one; empty and null values keep their meaning."""
+    rows = [("S1-1", 1, "a", "n", "x" * 5000), ("S1-2", 1, "a", "", None), ("S2-1", 2, "a", "n", "x" * 5000), ("S2-2", 2, "a", "n", ""), ("S2-3", 2, "b", "", "y")]
+    r = spark.createDataFrame(rows, "entity_id string, source int, country string, name string, address string")
+    pairs = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-2", "S2-3")], "s1_id string, t_id string")
+    out = X.corpus_context(pairs, r.where("source = 1"), r.where("source > 1"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") >= 5
+    names = ["s1_same_name", "s1_same_addr", "tg_same_name", "tg_same_addr", "s1_same_tname", "t_addr_empty", "s1_addr_empty", "name_eq", "addr_eq", "list_same_tname"]
+    got = {(x.s1_id, x.t_id): [x[c] for c in names] for x in out.collect()}
+    assert got == {
+        ("S1-1", "S2-1"): [1, 1, 2, 1, 1, 0, 0, 1, 1, 2],
+        ("S1-1", "S2-2"): [1, 1, 2, 0, 1, 1, 0, 1, 0, 2],
+        ("S1-2", "S2-3"): [0, 0, 0, 1, 0, 0, None, 0, 0, 0],
+    }
