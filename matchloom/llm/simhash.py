@@ -27,14 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_importable
-from .common import byte_groups, free_name, map_batches, materialise, read_table, release_memory, spread
+from .common import free_name, map_batches, materialise, read_table, release_memory, spread
 
 RADIUS = 3
 _SLICE = 1 << 20
@@ -294,193 +293,180 @@ def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
     return _wide_of(shingle_set(text, words))
 
 
-def table_masks(tables: int, bits: int, seed: int = 5) -> list[list[int]]:
-    """Which bits of the 256 name a bucket, for each table."""
-    rng = np.random.default_rng(seed)
-    return [sorted(rng.choice(256, bits, replace=False).tolist()) for _ in range(tables)]
-
-
-def _sampled(fps: np.ndarray, mask: list[int]) -> np.ndarray:
-    """The masked bits of wide fingerprints, packed."""
-    key = np.zeros(len(fps), dtype=np.uint64)
-    for place, bit in enumerate(mask):
-        key |= (fps[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)) << np.uint64(place)
-    return key
-
-
-def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs out of ``pairs`` that join all rows which ``pairs`` joins: fewer than ``n`` of them."""
-    label = np.arange(n)
-    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for a, b in pairs:
-        while True:
-            open_ = label[a] != label[b]
-            if not open_.any():
-                break
-            a, b = a[open_], b[open_]
-            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-            order = np.lexsort((low, high))
-            first = order[np.r_[True, np.diff(high[order]) > 0]]
-            left.append(a[first]), right.append(b[first])
-            label[high[first]] = low[first]
-            while True:
-                jumped = label[label]
-                if (jumped == label).all():
-                    break
-                label = jumped
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _possible_pairs(keys: np.ndarray, sizes: np.ndarray, fps: np.ndarray, radius: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a bucket within the radius whose shingle sets are not too unequal in size to be similar at ``least``."""
-    for a, b in _near_pairs(keys, fps, radius):
-        low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-        fit = low >= least * high
-        if fit.any():
-            yield a[fit], b[fit]
-
-
 def wide_tables(n: int, share: float, least_bits: int = 16, bucket: int = 4096, recall: float = 0.9999) -> tuple[int, int]:
-    """(tables, bits) for ``n`` fingerprints: names long enough for about ``bucket`` members, and as many tables as ``recall`` takes.
+    """(tables, bits) for ``n`` wide fingerprints: names long enough for about ``bucket`` members, and as many tables as ``recall`` takes.
 
     Two texts at the threshold differ in about ``share`` of their bits, so a name of b sampled bits agrees in (1 - share)^b of
-    the tables; comparisons a fingerprint stay the same at every size, and tables grow with a power of ``n`` below a half.
+    the tables. What the near-dedup stage would need if it named buckets by bits of wide fingerprints; it names them by minima.
     """
     bits = max(least_bits, math.ceil(math.log2(max(1, n) / bucket)))
     agree = (1 - share) ** bits
     return math.ceil(math.log(1 - recall) / math.log(1 - agree)), bits
 
 
-def _dealt(classes: DataFrame, masks: list[list[int]], split_at: int) -> DataFrame:
-    """(key, wide, n, w0, w1, w2, w3): each fingerprint in its buckets.
-
-    A bucket above ``split_at`` members is dealt into blocks by digest and becomes one bucket per pair of blocks, so that
-    each two of its members still meet, in tasks of their own.
-    """
-    names = ["wide", "n", *_PARTS]
-
-    def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        fps = np.stack([c.to_numpy() for c in batch.columns[2:]], axis=1).view(np.uint64)
-        for i, mask in enumerate(masks):
-            yield (_sampled(fps, mask) | np.uint64(i << 40)).view(np.int64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys in keys_of(batch):
-                values, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["large", "members"])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys in keys_of(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], ["key", *names])
+_DEPTH = 6
+_NAMES = math.ceil(math.log(1 - 0.9999) / math.log(1 - 0.8**_DEPTH))
+_SALTS = np.random.default_rng(5).integers(0, 1 << 32, (2, _NAMES * _DEPTH), dtype=np.uint32) | np.array([[0], [1]], dtype=np.uint32)
 
-    rows = classes.select(*names)
-    sizes = rows.mapInArrow(count, "large long, members long").groupBy("large").agg(F.sum("members").alias("members")).where(F.col("members") > split_at)
-    # Written out, so that its size is known and a short list of large buckets is broadcast.
-    large = materialise(sizes.select("large", F.least(F.ceil(F.col("members") / split_at), F.lit(1 << 15)).cast("int").alias("blocks")), "wide-large")
-    mine = F.pmod(F.xxhash64("wide"), F.col("blocks")).cast("int")
-    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine)
-    cut = F.transform(other, lambda j: F.xxhash64("key", F.least(mine, j), F.greatest(mine, j)))
-    dealt = rows.mapInArrow(deal, "key long, wide long, n int, w0 long, w1 long, w2 long, w3 long").join(large, F.col("key") == F.col("large"), "left")
-    return dealt.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(cut)).alias("key"), *names)
 
+def bucket_names(seen: np.ndarray) -> np.ndarray:
+    """The ``_NAMES`` bucket names of a shingle set, each out of ``_DEPTH`` minima of the shingles under seeded orders.
 
-_PARTS = ["w0", "w1", "w2", "w3"]
+    Two sets of Jaccard similarity s agree in a name with probability s^6, so 31 names miss one in 10,000 pairs at 0.8.
+    """
+    low = np.full(_SALTS.shape[1], 0xFFFFFFFF, dtype=np.uint32)
+    short = (seen >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(short), 512):
+        mixed = short[k : k + 512, None] ^ _SALTS[0]
+        mixed *= _SALTS[1]
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        np.minimum(low, mixed.min(axis=0), out=low)
+    folded = np.arange(1, _NAMES + 1, dtype=np.uint64) * _MIX[0]
+    for column in low.reshape(_NAMES, _DEPTH).T.astype(np.uint64):
+        folded = (folded ^ column) * _MIX[1]
+        folded ^= folded >> np.uint64(29)
+    return folded.view(np.int64)
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, uid, fp, wide, n, w0, w1, w2, w3) of every row, by one pass over the texts.
+    """(doc_id, uid, fp, wide, n, names) of every row, by one pass over the texts.
 
-    uid is a digest of id and text, fp the 64-bit fingerprint, w0 to w3 the 256-bit one with the name ``wide``, n the number of distinct
-    ``words``-word shingles.
+    uid is a digest of id and text, fp the 64-bit fingerprint, wide a digest of the set of ``words``-word shingles, n their number,
+    names the set's bucket names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                narrow, sizes, wide = [], [], []
+                narrow, wide, sizes, names = [], [], [], []
                 for text in part.column(2):
                     text = text.as_py()
                     seen = shingle_set(text, words)
-                    narrow.append(fingerprint(text)), sizes.append(len(seen)), wide.append(_wide_of(seen))
-                fps = np.stack(wide).view(np.int64)
-                columns = [pa.array(np.array(narrow, dtype=np.uint64).view(np.int64)), pa.array(np.array(sizes, dtype=np.int32))]
-                columns += [pa.array(np.ascontiguousarray(fps[:, i])) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "uid", "fp", "n", *_PARTS])
+                    narrow.append(fingerprint(text)), wide.append(xxhash.xxh64_intdigest(seen.tobytes(), 42))
+                    sizes.append(len(seen)), names.append(bucket_names(seen))
+                longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (narrow, wide)]
+                named = pa.ListArray.from_arrays(pa.array(np.arange(0, len(names) * _NAMES + 1, _NAMES, dtype=np.int32)), pa.array(np.concatenate(names)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *longs, pa.array(np.array(sizes, dtype=np.int32)), named], ["doc_id", "uid", "fp", "wide", "n", "names"])
             release_memory()
 
     ensure_importable(docs.sparkSession)
     source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-    rows = source.mapInArrow(run, "doc_id long, uid long, fp long, n int, w0 long, w1 long, w2 long, w3 long")
-    return rows.select("doc_id", "uid", "fp", F.xxhash64(*_PARTS).alias("wide"), "n", *_PARTS)
+    return source.mapInArrow(run, "doc_id long, uid long, fp long, wide long, n int, names array<bigint>")
 
 
-def wide_links(rows: DataFrame, docs: DataFrame, words: int, radius: int, tables: int | None = None, bits: int | None = None, split_at: int = 2048, least: float = 0.8) -> DataFrame:
-    """(node, root) of the wide fingerprints (``sketches``) that link to another one; the root names the group.
+def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Smallest row of each row's group, where rows link if their sets have a Jaccard similarity of at least ``least``. Exact.
 
-    Fingerprints within the radius are only candidates: two texts link where their shingle sets are similar at ``least``.
+    Of each set the rarest elements are indexed, as many as a similar set cannot avoid all of; sets that meet there are compared
+    in full, unless they are in one group already.
     """
+    n = len(sets)
+    label = np.arange(n)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    if n < 2 or not sizes.any():
+        return label
+    _, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    row = np.repeat(np.arange(n), sizes)
+    flat = flat[np.lexsort((flat, often[flat], row))]
+    ahead = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+    indexed = np.flatnonzero((np.arange(len(flat)) - starts[row] < ahead[row]) & (often[flat] > 1))
+    by = indexed[np.argsort(flat[indexed], kind="stable")]
+    posted, rows_of = flat[by], row[by]
+    marked = np.zeros(len(often), dtype=bool)
+    members = {i: [i] for i in range(n)}
+    for i in range(n - 1):
+        if len(members) == 1:
+            break
+        mine = flat[starts[i] : starts[i] + ahead[i]]
+        mine = mine[often[mine] > 1]
+        low, high = np.searchsorted(posted, mine, "left"), np.searchsorted(posted, mine, "right")
+        times = high - low
+        at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        other = rows_of[at]
+        other = np.unique(other[(other > i) & (label[other] != label[i])])
+        other = other[np.minimum(sizes[other], sizes[i]) >= least * np.maximum(sizes[other], sizes[i])]
+        if not len(other):
+            continue
+        marked[flat[starts[i] : ends[i]]] = True
+        for k in range(0, len(other), 4096):
+            some = other[k : k + 4096]
+            edges = np.cumsum(sizes[some])
+            at = np.repeat(starts[some] - edges + sizes[some], sizes[some]) + np.arange(int(edges[-1]))
+            shared = np.add.reduceat(marked[flat[at]], edges - sizes[some], dtype=np.int64)
+            for j in some[shared >= least * (sizes[some] + sizes[i] - shared)].tolist():
+                a, b = int(label[i]), int(label[j])
+                if a != b:
+                    a, b = min(a, b), max(a, b)
+                    label[members[b]] = a
+                    members[a] += members.pop(b)
+        marked[flat[starts[i] : ends[i]]] = False
+    return label
 
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, sizes, *columns in _sorted_buckets(batches):
-            a, b = _forest(len(ids), _possible_pairs(keys, sizes, np.stack(columns, axis=1).view(np.uint64), radius, least))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(ids[a]), pa.array(ids[b])], ["key", "a", "b"])
-            release_memory()
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, sizes, *columns, roots in _sorted_buckets(batches):
-            for a, b in _possible_pairs(keys, sizes, np.stack(columns, axis=1).view(np.uint64), radius, least):
-                apart = roots[a] != roots[b]
-                if apart.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[apart]]), pa.array(ids[b[apart]])], ["a", "b"])
-            release_memory()
+def wide_links(rows: DataFrame, docs: DataFrame, words: int, radius: int = 256, tables: int | None = None, bits: int | None = None, split_at: int = 1 << 22, least: float = 0.8) -> DataFrame:
+    """(node, root) of the shingle sets (``sketches``) that link to another one; the root names the group.
+
+    Sets that share one of the first ``tables`` bucket names (by default all; of each, the lowest ``bits`` bits count) are candidates,
+    and candidates of candidates form a pool. A pool's texts meet in one task, which compares their sets exactly, so no pair is
+    ever a row. A pool above ``split_at`` shingles is dealt into blocks by digest, and each two blocks meet.
+    ``radius`` limited the candidates when they were found by wide fingerprints; now all are compared.
+    """
 
-    classes = materialise(rows.groupBy("wide").agg(F.first("n").alias("n"), *[F.first(w).alias(w) for w in _PARTS], F.min("uid").alias("uid")), "wide-classes")
-    if tables is None or bits is None:
-        tables, bits = wide_tables(classes.count(), 39 / 256)
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "text")
-    dealt = _dealt(classes, table_masks(tables, bits), split_at)
-    found = materialise(dealt.repartition("key").sortWithinPartitions("key", "wide").mapInArrow(forest, "key long, a long, b long"), "wide-forest")
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    sure = materialise(_similar(found.select(*pair).distinct(), classes, texts, words, least), "wide-sure")
-    links = connect(sure, "wide-stars")
-    # A forest of which every pair holds leaves nothing open in its bucket; of the other buckets, all pairs that are still apart are checked.
-    open_ = found.select("key", *pair).join(sure, ["a", "b"], "left_anti").select(F.col("key").alias("open")).distinct()
-    open_ = materialise(open_, "wide-open")
-    if not open_.isEmpty():
-        roots = links.select("node", "root")
-        again = dealt.join(open_, F.col("key") == F.col("open"), "left_semi").join(roots, F.col("wide") == F.col("node"), "left")
-        again = again.select("key", "wide", "n", *_PARTS, F.coalesce("root", "wide").alias("root")).repartition("key").sortWithinPartitions("key", "wide")
-        more = materialise(again.mapInArrow(rest, "a long, b long").select(*pair).distinct(), "wide-rest")
-        links = connect(sure.union(_similar(more, classes, texts, words, least)), "wide-stars")
-    return links
-
-
-def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts' shingle sets have a Jaccard similarity of at least ``least``."""
-
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids in _sorted_buckets(batches):
+            first = np.r_[True, keys[1:] != keys[:-1]]
+            head = ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
+            apart = head != ids
+            yield pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(head[apart])], ["a", "b"])
+
+    def linked(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        label = similar_groups(sets, least)
+        known = np.array(ids, dtype=np.int64)
+        moved = np.flatnonzero(label != np.arange(len(known)))
+        return pa.RecordBatch.from_arrays([pa.array(known[moved]), pa.array(known[label[moved]])], ["node", "root"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets = None, [], []
         for batch in batches:
-            start = 0
-            sizes = [x.as_py() or 0 for x in pa.compute.binary_length(batch.column(1))]
-            for start, end in byte_groups(sizes, 1 << 19):
-                part = batch.slice(start, end - start)
-                sets = [shingle_set(x.as_py(), words).view(np.int64) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["wide", "shingles"])
+            for key, wide, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if key != at:
+                    if len(ids) > 1:
+                        yield linked(ids, sets)
+                    at, ids, sets = key, [], []
+                if not ids or ids[-1] != wide:
+                    ids.append(wide), sets.append(shingle_set(text.as_py(), words))
             release_memory()
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct()
-    chosen = materialise(classes.join(needed, F.col("wide") == F.col("needed"), "left_semi").select("wide", F.col("uid").alias("chosen")), "wide-chosen")
+        if len(ids) > 1:
+            yield linked(ids, sets)
+
+    classes = materialise(rows.groupBy("wide").agg(F.first("n").alias("n"), F.first("names").alias("names"), F.min("uid").alias("uid")), "wide-classes")
+    names = F.slice("names", 1, _NAMES if tables is None else tables)
+    if bits is not None:
+        names = F.transform(names, lambda x, i: F.xxhash64(i, x.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))))
+    named = classes.select(F.explode(names).alias("key"), "wide").repartition("key").sortWithinPartitions("key", "wide")
+    pools = connect(named.mapInArrow(stars, "a long, b long"), "wide-pools")
+    pools = pools.union(pools.select(F.col("root").alias("node"), "root").distinct())
+    pooled = materialise(classes.select("wide", "n", F.col("uid").alias("chosen")).join(pools, F.col("wide") == F.col("node")).select("wide", "n", "chosen", F.col("root").alias("pool")), "wide-pooled")
+    sizes = pooled.groupBy("pool").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > split_at)
+    large = materialise(sizes.select(F.col("pool").alias("large"), F.ceil(2 * F.col("shingles") / split_at).cast("int").alias("blocks")), "wide-large")
+    split = not large.isEmpty()
+    members = pooled.select(F.col("pool").alias("key"), "wide", "chosen")
+    if split:
+        mine = F.pmod(F.xxhash64("wide"), F.col("blocks")).cast("int")
+        other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine)
+        cut = F.transform(other, lambda j: F.xxhash64("pool", F.least(mine, j), F.greatest(mine, j)))
+        dealt = pooled.join(large, F.col("pool") == F.col("large"), "left")
+        members = dealt.select(F.explode(F.when(F.col("blocks").isNull(), F.array("pool")).otherwise(cut)).alias("key"), "wide", "chosen")
     # Rows repeated in full share their uid; one of them is enough.
-    one = texts.join(chosen, F.col("uid") == F.col("chosen")).groupBy("wide").agg(F.first("text").alias("text"))
-    sets = materialise(one.select("wide", "text").mapInArrow(shingle, "wide long, shingles array<bigint>"), "wide-shingles")
-    left = sets.select(F.col("wide").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("wide").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "text").join(pooled.select("chosen"), F.col("uid") == F.col("chosen"), "left_semi")
+    one = texts.groupBy("uid").agg(F.first("text").alias("text"))
+    met = one.join(members, F.col("uid") == F.col("chosen")).select("key", "wide", "text").repartition("key").sortWithinPartitions("key", "wide")
+    found = materialise(met.mapInArrow(link, "node long, root long"), "wide-stars")
+    return connect(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "wide-stars") if split else found
 
 
 def connect(edges: DataFrame, label: str = "stars") -> DataFrame:
@@ -525,7 +511,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_groups(docs: DataFrame, words: int = 5, radius: int = 56, tables: int | None = None, bits: int | None = None, split_at: int = 2048, least: float = 0.8) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, radius: int = 256, tables: int | None = None, bits: int | None = None, split_at: int = 1 << 22, least: float = 0.8) -> DataFrame:
     """(doc_id, uid, root) of every row of ``docs`` (doc_id, text); the root names the near-duplicate group (see ``keep_one``)."""
     rows = materialise(sketches(docs, words), "sketches")
     narrow = materialise(_rooted(rows).select("known", F.col("root").alias("near")), "narrow-links")
@@ -544,13 +530,12 @@ def near_groups(docs: DataFrame, words: int = 5, radius: int = 56, tables: int |
     return rows.select("doc_id", "uid", "wide").join(group, F.col("wide") == F.col("known")).select("doc_id", "uid", "root")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 56, tables: int | None = None, bits: int | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 256, tables: int | None = None, bits: int | None = None) -> DataFrame:
     """One row of ``docs`` per near-duplicate group, the one with the smallest id (null ids last), with all its columns.
 
     Groups join texts whose 64-bit fingerprints link, and texts whose sets of ``words``-word shingles have a Jaccard similarity
-    of at least 0.8. Candidates for the latter are 256-bit fingerprints within ``radius`` that meet in one of ``tables`` samples of
-    ``bits`` bits (by default as ``wide_tables`` has it for their number); at exactly 0.8 they differ in 39 bits on average, so an
-    expected 99.8 % of the pairs are candidates. Each candidate's similarity is computed from the shingles before it links. Rows
+    of at least 0.8. Candidates for the latter share one of 31 bucket names (see ``bucket_names``): 99.99 % of the pairs at
+    exactly 0.8, more above. Each candidate's similarity is computed from the shingles before it links (see ``wide_links``). Rows
     repeated in full count as one; of rows with equal id and text but other columns the one with the smallest digest stays.
     """
     grouped = near_groups(docs.select("doc_id", "text"), words, radius, tables, bits)

@@ -540,6 +540,71 @@ def test_candidates_that_fail_hide_no_link(spark):
     assert [[root[i] == root[j] for j in range(len(rows))] for i in range(len(rows))] == [[x == y for y in want] for x in want]
 
 
+def _brute_groups(rows):
+    similar = _jaccards(rows)
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if want[i] != want[j] and similar(i, j) >= 0.8:
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    return want
+
+
+def _variants(n, changes, rng):
+    """``n`` copies of one text, each with its own words at ``changes`` places: near copies of each other, or just not."""
+    words = rng.choices([f"w{k}" for k in range(500)], k=150)
+    rows = []
+    for i in range(n):
+        other = list(words)
+        for k in rng.sample(range(150), rng.choice(changes)):
+            other[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(other)))
+    return rows
+
+
+@pytest.mark.parametrize("split_at", [1 << 22, 8000])
+def test_large_group_of_near_copies_makes_no_row_a_pair(spark, monkeypatch, split_at):
+    """200 texts, most pairs of them below 0.8: no table has a row for each pair, and the groups are brute force's."""
+    rows = _variants(200, [1, 2, 3, 4], random.Random(21))
+    want = _brute_groups(rows)
+    sizes = []
+    whole = simhash.materialise
+
+    def counted(df, label):
+        out = whole(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = whole(simhash.sketches(docs), "sketches")
+    roots = {r.node: r.root for r in simhash.wide_links(sketched, docs, 5, split_at=split_at, radius=256, tables=1, bits=0).collect()}
+    root = [roots.get(r.wide, r.wide) for r in sorted(sketched.collect())]
+    assert 1 < len(set(want)) < len(rows)
+    assert [[x == y for y in root] for x in root] == [[x == y for y in want] for x in want]
+    assert max(sizes) <= 8 * len(rows)  # at most a star for each two of eight blocks
+
+
+def test_similar_groups_equal_brute_force():
+    rng = random.Random(22)
+    rows = [x for k in range(12) for x in _variants(25, [0, 1, 2, 3, 6], rng)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = _brute_groups(rows)
+    assert simhash.similar_groups([simhash.shingle_set(t) for _, t in rows], 0.8).tolist() == want
+    assert simhash.similar_groups([], 0.8).tolist() == [] and simhash.similar_groups([np.zeros(0, dtype=np.uint64)] * 2, 0.8).tolist() == [0, 1]
+
+
+def test_bucket_names_miss_few_similar_pairs():
+    """Sets at a similarity of 0.818 share a name: of 1,500 pairs at most two may be missed."""
+    rng = np.random.default_rng(3)
+    missed = 0
+    for _ in range(1500):
+        pool = rng.integers(0, 2**64, 440, dtype=np.uint64)
+        missed += not (simhash.bucket_names(np.sort(pool[:400])) == simhash.bucket_names(np.sort(pool[40:]))).any()
+    assert missed <= 2
+
+
 def test_wide_fingerprint_of_slices(monkeypatch):
     text = " ".join(random.Random(1).choices(["alpha", "beta", "gamma", "d", "e"], k=3000))
     whole = simhash.wide_fingerprint(text).tolist()
