@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -514,3 +516,44 @@ def test_routes_are_ranked_behind_one_exchange(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan(L.fuse(every, deal=False)).count("Exchange hashpartitioning") == plan(every).count("Exchange hashpartitioning")
     assert sorted(L.fuse(every, deal=False).collect()) == sorted(L.fuse(every).collect())
+
+
+def _char_records(spark, n=60, words=12):
+    rng = random.Random(3)
+    pool = ["".join(rng.choices("abcdeé😀", k=rng.randint(2, 6))) for _ in range(words)]
+    rows = [(f"S{1 + i % 3}-{i}", 1 + i % 3, "ab"[i % 7 == 0], " ".join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(n)]
+    rows += [("S2-1", 2, "b", "ab cde"), ("S2-1", 2, "b", "cde ab"), ("S1-x", 1, None, "abc"), ("S3-n", 3, "b", None), ("S1-0", 1, "b", "de ab"), ("S2-z", 2, "only", "abcd"), ("S1-y", 1, "b", "abc\x00\x00")]
+    return spark.createDataFrame(rows, "entity_id string, source int, country string, name string").repartition(3)
+
+
+@pytest.mark.parametrize("cells", [5, 1 << 19])
+def test_counted_grams_equal_gram_rows(spark, cells, monkeypatch):
+    """Grams counted in numpy give the candidates of grams as rows, for repeated ids, empty and null texts and any code point."""
+    from matchloom.functions import grams
+
+    monkeypatch.setattr(grams, "CELLS", cells)
+    texts, owners = ["abab", None, "a\x00\x00\x00", "", "é😀a😀é"], np.array([0, 0, 1, 2, 2])
+    words, owner, gram, n = grams.count(texts, owners)
+    got = {(int(o), words[g]): int(c) for o, g, c in zip(owner, gram, n)}
+    assert got == collections.Counter((int(o), t[i : i + m]) for t, o in zip(texts, owners) if t for m in (3, 4) for i in range(len(t) - m + 1))
+    records = _char_records(spark)
+    want = C.tfidf_route(records, C.char_grams(F.col("name")), max_df=0.4, k=7)
+    route = C.char_tfidf_route(records, "name", max_df=0.4, k=7)
+    plan = route._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: {(r.s1_id, r.t_id, r.source, round(r.score, 6), r["rank"]) for r in df.collect()}
+    assert rows(route) == rows(want) and "regexp_extract_all" not in plan
+    monkeypatch.setattr(C, "_VOCABULARY", 1)
+    assert rows(C.char_tfidf_route(records, "name", max_df=0.4, k=7)) == rows(want)
+
+
+@pytest.mark.parametrize(("size", "frequent", "cells"), [(4, 0.3, 16), (2048, 0.0, 1 << 21), (5, 2.0, 1)])
+def test_whole_comparison_drops_no_gram(spark, size, frequent, cells, monkeypatch):
+    """Records that share only grams of every record are compared too, whatever the blocks and the grams that are columns."""
+    monkeypatch.setattr(C, "_ROWS", size)
+    monkeypatch.setattr(C, "_FREQUENT", frequent)
+    monkeypatch.setattr(C, "_CELLS", cells)
+    rows = lambda df: {(r.s1_id, r.t_id, r.source, round(r.score, 6), r["rank"]) for r in df.collect()}
+    records = _char_records(spark)
+    assert rows(C.char_tfidf_whole(records, "name", 6)) == rows(C.tfidf_route(records, C.char_grams(F.col("name")), max_df=1.0, k=6))
+    same = spark.createDataFrame([(f"S{1 + i % 3}-{i}", 1 + i % 3, "a", "abc" + "xyz"[i % 3]) for i in range(12)], "entity_id string, source int, country string, name string")
+    assert C.char_tfidf_whole(same, "name").count() == 4 * 8 and C.name_char_tfidf(same).count() == 0
