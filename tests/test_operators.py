@@ -557,3 +557,27 @@ def test_whole_comparison_drops_no_gram(spark, size, frequent, cells, monkeypatc
     assert rows(C.char_tfidf_whole(records, "name", 6)) == rows(C.tfidf_route(records, C.char_grams(F.col("name")), max_df=1.0, k=6))
     same = spark.createDataFrame([(f"S{1 + i % 3}-{i}", 1 + i % 3, "a", "abc" + "xyz"[i % 3]) for i in range(12)], "entity_id string, source int, country string, name string")
     assert C.char_tfidf_whole(same, "name").count() == 4 * 8 and C.name_char_tfidf(same).count() == 0
+
+
+@pytest.mark.parametrize("listed", [1, 1 << 17])
+def test_fusion_in_numpy_equals_fusion_of_rows(spark, listed, monkeypatch):
+    """Lists fused in numpy are those of windows over rows, whatever the batches; candidates are exchanged once and ordered by list only."""
+    monkeypatch.setattr(C, "_LISTED", listed)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = random.Random(8)
+        rows = [(f"S1-{i % 9}", f"S{s}-{rng.randint(0, 30)}", s, rng.choice([0.5, 0.25, rng.random(), None]), k) for i in range(300) for s in (2, 3) for k in (3, None)]
+        df = spark.createDataFrame(rows, "s1_id string, t_id string, source int, score double, k int").dropDuplicates(["s1_id", "t_id", "k"]).localCheckpoint()
+        one, two = (df.where(c).select("s1_id", "t_id", "source", "score", F.col("k").cast("int").alias("k")) for c in ("k = 3", "k is null"))
+        routes = {"x": lambda _: one, "y": lambda _: two}
+        ordered = lambda d: sorted(map(tuple, d.collect()), key=repr)
+        every = C.all_routes(None, routes)
+        fused = C.fused_routes(None, routes)
+        assert ordered(fused) == ordered(L.fuse(every)) and fused.columns == L.fuse(every).columns
+        wide, want = C.fused_routes(None, routes, evidence=True), L.route_evidence(every, ["x", "y"])
+        assert wide.columns == want.columns and ordered(wide) == ordered(want)
+        assert ordered(C.fused_routes(None, routes, keep=4)) == ordered(L.fuse(every).where("rrf_rank < 4"))
+        plan = fused._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan and plan.count("RepartitionByExpression [s1_id") == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
